@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,9 +42,7 @@ def _width_classes() -> tuple[str, str]:
     Hangul jamo take no column, East Asian wide and full-width ones take two.
     """
     zero, wide = [], []
-    for point in range(sys.maxunicode + 1):
-        if 0xD800 <= point <= 0xDFFF:
-            continue
+    for point in chain(range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE0200)):  # planes in use
         char = chr(point)
         if unicodedata.category(char) in ("Mn", "Me", "Cf", "Cc") or 0x1160 <= point <= 0x11FF:
             zero.append(point)

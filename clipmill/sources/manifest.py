@@ -13,12 +13,16 @@ from clipmill.schemas import MANIFEST, wire_name
 _ACCEPTED = {"string": "^STRING$", "int": "^BIGINT$", "bigint": "^BIGINT$", "double": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
 
 
+def nonblank_lines(lines: DataFrame) -> DataFrame:
+    """``line, file`` of the lines that hold more than white space."""
+    return lines.where(F.rlike("value", F.lit(r"(?U)\S"))).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")
+    )
+
+
 def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with their file. Only a line feed ends a line."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
-        clean_text(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file")
-    ).where(F.col("line").isNotNull())
+    return nonblank_lines(spark.read.option("lineSep", "\n").text(path))
 
 
 def _problem(document: Column, kinds: dict[str, Column]) -> Column:
@@ -45,17 +49,20 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     Lines go through the variant type, which keeps JSON kinds apart: a number where a string
     belongs, a repeated key or an array is a problem, not a silent conversion.
     """
-    document = F.col("_document")
-    fields = [
-        F.try_variant_get(document, f"$.{wire_name(f.name)}", f.dataType.simpleString()).alias(f.name)
-        for f in MANIFEST.fields
-    ]
-    kinds = {
-        f.name: F.schema_of_variant(F.try_variant_get(document, f"$.{wire_name(f.name)}", "variant"))
-        for f in MANIFEST.fields
-    }
-    parsed = lines.withColumn("_document", F.try_parse_json("line"))
-    return parsed.select(*fields, "line", "file", _problem(document, kinds).alias("problem"))
+
+    def record(document: Column) -> Column:
+        paths = {f.name: f"$.{wire_name(f.name)}" for f in MANIFEST.fields}
+        kinds = {name: F.schema_of_variant(F.try_variant_get(document, path, "variant")) for name, path in paths.items()}
+        fields = [
+            F.try_variant_get(document, paths[f.name], f.dataType.simpleString()).alias(f.name)
+            for f in MANIFEST.fields
+        ]
+        return F.struct(*fields, _problem(document, kinds).alias("problem"))
+
+    # One-element arrays keep the document parsed once per line: the optimizer would copy a plain
+    # column into every expression that uses it.
+    documents = F.array(F.try_parse_json(clean_text(F.col("line"))))
+    return lines.select("line", "file", F.inline(F.transform(documents, record)))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

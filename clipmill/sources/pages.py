@@ -12,15 +12,20 @@ from clipmill.schemas import PAGE_DEFAULTS, PAGE_ITEMS, wire_name, wire_schema
 def read_pages(spark: SparkSession, path: str, item_key: str) -> DataFrame:
     """Rows of all page envelopes ``{<item_key>: [...], page, pageSize, ...}`` below a path.
 
-    A page that is not JSON, or an item without a required field, fails the job. Nested JSON
-    (filter, split policy, label set) stays JSON text.
+    A file holds one envelope or several, one after the other. A page that is not JSON or lacks its
+    items, or an item without a required field, fails the job. Nested JSON (filter, split policy,
+    label set) stays JSON text.
     """
     if item_key not in PAGE_ITEMS:
         raise ValueError(f"unknown page items {item_key!r}; expected one of {tuple(PAGE_ITEMS)}")
     record = PAGE_ITEMS[item_key]
     envelope = T.StructType([T.StructField(item_key, T.ArrayType(wire_schema(record)))])
-    pages = spark.read.schema(envelope).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    items = pages.select(F.inline(item_key))
+    texts = spark.read.option("wholetext", "true").text(path)
+    # JSON strings hold no raw line feed, so one between braces separates two envelopes.
+    listed = F.concat(F.lit("["), F.regexp_replace("value", r"\}\s*\n\s*\{", "},{"), F.lit("]"))
+    pages = texts.select(F.inline(F.from_json(listed, T.ArrayType(envelope), {"mode": "FAILFAST"})))
+    no_items = F.raise_error(F.lit(f"page without {item_key}")).cast(pages.schema[item_key].dataType)
+    items = pages.select(F.inline(F.coalesce(item_key, no_items)))
 
     def column(f: T.StructField):
         value = F.col(wire_name(f.name))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clipmill.functions.text import clean_text
 from clipmill.operators.audio import canonicalize_clips
 from clipmill.operators.validate import validate_manifest
 from clipmill.plans.adapt import ADAPTERS
 from clipmill.sinks.dataset import write_splits
 from clipmill.sources.clips import attach_clips
-from clipmill.sources.manifest import checked_records, parse_manifest
+from clipmill.sources.manifest import checked_records, nonblank_lines, parse_manifest
 
 
 def adapt_stream(
@@ -40,10 +38,7 @@ def adapt_stream(
         rows = canonicalize_clips(attach_clips(session, manifest, clips_dir, profile, how))
         write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
 
-    lines = spark.readStream.option("lineSep", "\n").text(manifest_dir)
-    lines = lines.select(
-        clean_text(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file")
-    ).where(F.col("line").isNotNull())
+    lines = nonblank_lines(spark.readStream.option("lineSep", "\n").text(manifest_dir))
     return (
         lines.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)

@@ -1,6 +1,6 @@
 """Queries over the given tables, one or more per operator, with SQL to check them against."""
 
-from workload import catalogue, display, lists  # noqa: F401
+from workload import audio, catalogue, display, jobs, lists  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 from workload.tables import Tables
 
