@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from functools import cache
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,61 +16,65 @@ _FILLER = "\uffff"
 # Printable ASCII and Latin letters, one column each.
 _ONE_COLUMN = "^[\\x20-\\x7e\\xa1-\\xac\\xae-\\x{2ff}]*$"
 
+# No column: marks, format and control characters, vowel and final Hangul jamo.
+_NO_COLUMN = "\\p{Mn}\\p{Me}\\p{Cf}\\p{Cc}\\x{1160}-\\x{11ff}"
+
+# Double-width code points lie between these.
+_FIRST_WIDE, _LAST_WIDE = 0x1100, 0x3FFFD
+
+# The code points with the Unicode property White_Space.
+_WHITE_SPACE = (
+    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def truncate_chars(c: Column, n: int) -> Column:
     """At most ``n`` code points; longer text keeps ``n - 1`` and gets an ellipsis."""
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(max(n - 1, 0))), F.lit(ELLIPSIS))).otherwise(c)
 
 
-def _char_class(members) -> str:
-    """A regex class of the code points, as ranges."""
+@cache
+def _wide_class() -> str:
+    """Regex class of the double-width code points, from the Unicode database's East Asian widths."""
     ranges: list[list[int]] = []
-    for point in members:
+    for point in range(_FIRST_WIDE, _LAST_WIDE + 1):
+        if 0xD800 <= point <= 0xDFFF or unicodedata.east_asian_width(chr(point)) not in ("W", "F"):
+            continue
         if ranges and point == ranges[-1][1] + 1:
             ranges[-1][1] = point
         else:
             ranges.append([point, point])
-    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
-
-
-@cache
-def _width_classes() -> tuple[str, str]:
-    """Regex class bodies of the zero-width and the double-width code points.
-
-    Derived from the Unicode database: marks, format and control characters and the trailing
-    Hangul jamo take no column, East Asian wide and full-width ones take two.
-    """
-    zero, wide = [], []
-    for point in chain(range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE0200)):  # planes in use
-        char = chr(point)
-        if unicodedata.category(char) in ("Mn", "Me", "Cf", "Cc") or 0x1160 <= point <= 0x11FF:
-            zero.append(point)
-        elif unicodedata.east_asian_width(char) in ("W", "F"):
-            wide.append(point)
-    return _char_class(zero), _char_class(wide)
+    members = "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
+    # The outer range settles Latin text with one comparison.
+    return f"[\\x{{{_FIRST_WIDE:x}}}-\\x{{{_LAST_WIDE:x}}}&&[{members}]]"
 
 
 def truncate_width(c: Column, columns: int) -> Column:
     """Cut to a terminal width: CJK takes two columns, marks and control characters none.
 
     Text wider than ``columns`` keeps its longest prefix of at most ``columns - 1`` columns and
-    gets an ellipsis. Each double-width character is followed by a filler while counting, so that
-    one code point is one column.
+    gets an ellipsis.
     """
-    zero, wide = _width_classes()
-    budget = max(columns - 1, 0)
+    # The one-element array has the text computed once, however often it is used below.
+    return F.get(F.transform(F.array(c), lambda text: _fit(text, columns)), 0)
+
+
+def _fit(c: Column, columns: int) -> Column:
+    zero, wide, budget = f"[{_NO_COLUMN}]", _wide_class(), max(columns - 1, 0)
     # Only one-column characters up to the cut: code points are columns.
     plain = F.rlike(F.left(c, F.lit(columns + 1)), F.lit(_ONE_COLUMN))
     # If the first stretch is wide enough it settles the matter; if not, the whole text is read.
     stretch = F.left(c, F.lit(4 * (columns + 1)))
-    enough = F.length(F.regexp_replace(stretch, f"[{zero}]+", "")) > columns
+    enough = F.length(F.regexp_replace(stretch, f"{zero}+", "")) > columns
     text = F.when(enough, stretch).otherwise(c)
-    spread = F.regexp_replace(text, f"([{wide}])", f"$1{_FILLER}")
-    visible = F.regexp_replace(spread, f"[{zero}]+", "")
-    kept = F.regexp_extract(spread, f"^[{zero}]*+(?:[^{zero}][{zero}]*+){{0,{budget}}}+", 0)
-    # A double-width character whose filler did not fit goes, with the marks behind it.
-    whole = F.regexp_replace(kept, f"[{wide}]$", "")
-    cut = F.regexp_replace(whole, f"([{wide}]){_FILLER}", "$1")
+    # A filler behind each double-width character makes one code point one column.
+    spread = F.regexp_replace(text, f"({wide})", f"$1{_FILLER}")
+    visible = F.regexp_replace(spread, f"{zero}+", "")
+    kept = F.regexp_extract(spread, f"^{zero}*+(?:[^{_NO_COLUMN}]{zero}*+){{0,{budget}}}+", 0)
+    # A double-width character whose filler did not fit is dropped.
+    whole = F.regexp_replace(kept, f"{wide}$", "")
+    cut = F.regexp_replace(whole, f"({wide}){_FILLER}", "$1")
     return (
         F.when(plain, truncate_chars(c, columns))
         .when(F.length(visible) > columns, F.concat(cut, F.lit(ELLIPSIS)))
@@ -125,8 +128,7 @@ def elapsed_text(seconds: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Trim Unicode white space; blank becomes null."""
-    trimmed = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    return F.nullif(trimmed, F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(_WHITE_SPACE)), F.lit(""))
 
 
 def or_dash(c: Column, dash: str = "-") -> Column:

@@ -128,7 +128,7 @@ def settle_errors(df: DataFrame, on_error: str = "fail") -> DataFrame:
         return df
     if on_error != "fail":
         raise ValueError(f"on_error is 'fail' or 'quarantine', not {on_error!r}")
-    fine = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error("error").cast("boolean"))
+    fine = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("error")).cast("boolean"))
     return df.where(fine).drop("error")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipmill import storage
 from clipmill.functions.fields import label_to_endpoint
+from clipmill.operators.aggregates import split_counts
 from clipmill.operators.audio import settle_errors, try_canonicalize_clips
 from clipmill.operators.validate import validate_manifest
 from clipmill.schemas import DATASET
@@ -21,7 +24,6 @@ from clipmill.sources.export_dir import Export
 class AdaptResult:
     total: int
     split_counts: dict[str, int]
-    splits: list[str]
 
 
 def _required(name: str, value: Column) -> Column:
@@ -60,41 +62,28 @@ def adapt(
     All manifest rules are checked in one pass before any clip is read. With
     ``on_error='quarantine'`` rows whose clip is broken go to ``quarantine.parquet``.
     """
-    manifest = export.manifest()
-    profile = validate_manifest(manifest)
-    rows = try_canonicalize_clips(attach_clips(spark, manifest, export.clips_dir, profile, how))
-    counts, splits = _publish(rows, profile.split_counts, out_dir, ADAPTERS[adapter], language, on_error)
-    write_dataset_card(
-        spark,
-        out_dir,
-        counts,
-        {"manifest": export.manifest_path, "clips_dir": export.clips_dir, "language": language},
-    )
-    return AdaptResult(sum(counts.values()), counts, splits)
-
-
-def _publish(rows, counts, out_dir, adapter, language, on_error):
-    spark = rows.sparkSession
-    if on_error == "quarantine":
-        return _publish_good(rows, out_dir, adapter, language)
-    return counts, write_splits(adapter(settle_errors(rows, on_error), language=language), out_dir)
-
-
-def _publish_good(rows: DataFrame, out_dir: str, adapter, language: str):
-    """Decode once into a working copy, then write good rows as the dataset and bad ones aside."""
-    from clipmill import storage
-
-    spark = rows.sparkSession
-    work = storage.scratch_dir(spark, "adapt")
-    rows.write.mode("overwrite").parquet(work)
-    decoded = spark.read.parquet(work)
-    good = decoded.where(F.col("error").isNull()).drop("error")
-    bad = decoded.where(F.col("error").isNotNull()).drop("bytes")
-    bad.write.mode("overwrite").parquet(storage.join(out_dir, "quarantine.parquet"))
-    splits = write_splits(adapter(good, language=language), out_dir)
-    counts = {r["split"]: r["count"] for r in good.groupBy("split").count().collect()}  # three rows at most
-    storage.remove(spark, work)
-    return counts, splits
+    to_dataset = partial(ADAPTERS[adapter], language=language)
+    with storage.staged(export.manifest(), "manifest") as manifest:
+        profile = validate_manifest(manifest)
+        rows = try_canonicalize_clips(attach_clips(spark, manifest, export.clips_dir, profile, how))
+        if on_error == "quarantine":
+            counts = _write_good_and_bad(rows, out_dir, to_dataset)
+        else:
+            counts = profile.split_counts
+            write_splits(to_dataset(settle_errors(rows, on_error)), out_dir)
+    params = {"manifest": export.manifest_path, "clips_dir": export.clips_dir, "language": language}
+    write_dataset_card(spark, out_dir, counts, params)
+    return AdaptResult(sum(counts.values()), counts)
+
+
+def _write_good_and_bad(rows: DataFrame, out_dir: str, to_dataset) -> dict[str, int]:
+    """Decode once into a working copy; good rows become the dataset, bad ones a side table."""
+    with storage.staged(rows, "decoded") as decoded:
+        good = decoded.where(F.col("error").isNull()).drop("error")
+        bad = decoded.where(F.col("error").isNotNull()).drop("bytes")
+        bad.write.mode("overwrite").parquet(storage.join(out_dir, "quarantine.parquet"))
+        write_splits(to_dataset(good), out_dir)
+        return {r["split"]: r["n"] for r in split_counts(good).collect()}  # three rows at most
 
 
 def adapt_binary_endpoint(

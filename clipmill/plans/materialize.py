@@ -71,24 +71,28 @@ def materialize(
     require_ready(exports, export_id)
     clips_dir = storage.join(out_dir, "clips")
     storage.make_dirs(spark, clips_dir)
-    write_manifest(manifest, out_dir)
+    with storage.staged(manifest, "manifest") as rows:
+        write_manifest(rows, out_dir)
+        return _copy_pending(rows, source_clips, clips_dir, force)
 
-    rows = manifest.select("annotation_id", clip_rel_path(F.col("clip_path")).alias("rel"))
+
+def _copy_pending(manifest: DataFrame, source_clips: str, clips_dir: str, force: bool) -> MaterializeResult:
+    spark = manifest.sparkSession
+    rows = manifest.select(clip_rel_path(F.col("clip_path")).alias("rel"))
     total = rows.count()
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // CLIPS_PER_TASK))
     sized = clip_lengths(rows.repartition(tasks), source_clips).withColumnRenamed("length", "source_length")
-    lost = sized.where("source_length is null").agg(F.count(F.lit(1)).alias("n"), F.min("rel").alias("rel")).head()
-    if lost.n:
-        raise FileNotFoundError(f"{lost.n} source clip(s) are missing, such as {source_clips}/{lost.rel}")
-
-    present = F.lit(False) if force else F.col("length").eqNullSafe(F.col("source_length"))
-    found = clip_lengths(sized, clips_dir).withColumn("present", present)
-    # The plan is written down first: copying changes what a recomputed listing would see.
-    plan_dir = storage.join(storage.scratch_dir(spark, "materialize"), "plan")
-    found.write.parquet(plan_dir)
-    plan = spark.read.parquet(plan_dir)
-    skipped = plan.where("present").count()
-    # Rows that share a clip copy it once.
-    pending = plan.where("not present").select("rel").distinct().repartition(tasks)
-    copied = copy_clips(pending, source_clips, clips_dir).agg(F.sum("written").alias("n")).head()
-    return MaterializeResult(total, skipped, total - skipped, copied.n or 0)
+    here = F.lit(False) if force else F.col("length").eqNullSafe(F.col("source_length"))
+    # The plan is written down first: copying changes what a recomputed look at the files would see.
+    with storage.staged(clip_lengths(sized, clips_dir).withColumn("here", here), "materialize") as plan:
+        seen = plan.agg(
+            F.count_if("here").alias("skipped"),
+            F.count_if(F.col("source_length").isNull()).alias("lost"),
+            F.min(F.when(F.col("source_length").isNull(), F.col("rel"))).alias("lost_rel"),
+        ).head()
+        if seen.lost:
+            raise FileNotFoundError(f"{seen.lost} source clip(s) are missing, such as {source_clips}/{seen.lost_rel}")
+        # Rows that share a clip copy it once.
+        pending = plan.where("not here").select("rel").distinct().repartition(tasks)
+        copied = copy_clips(pending, source_clips, clips_dir).agg(F.sum("written").alias("n")).head()
+    return MaterializeResult(total, seen.skipped, total - seen.skipped, copied.n or 0)

@@ -100,5 +100,5 @@ def attach_clips(
     # Cheap existence pass first, so no audio is decoded for an export that is incomplete.
     _raise_missing(clip_lengths(rows.select("rel").repartition(tasks), clips_dir).where("length is null"), clips_dir)
     fetched = fetch_clips(rows.repartition(tasks), clips_dir)
-    fine = F.when(F.col("fetch_error").isNull(), F.lit(True)).otherwise(F.raise_error("fetch_error").cast("boolean"))
+    fine = F.when(F.col("fetch_error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("fetch_error")).cast("boolean"))
     return fetched.where(fine).drop("fetch_error", "rel")

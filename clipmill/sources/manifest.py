@@ -9,10 +9,6 @@ from pyspark.sql import types as T
 from clipmill.functions.text import clean_text
 from clipmill.schemas import MANIFEST, wire_name
 
-# JSON kinds each record type accepts, by the start of their variant type name.
-_ACCEPTED = {"string": "^STRING$", "int": "^BIGINT$", "bigint": "^BIGINT$", "double": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
-
-
 def nonblank_lines(lines: DataFrame) -> DataFrame:
     """``line, file`` of the lines that hold more than white space."""
     return lines.where(F.rlike("value", F.lit(r"(?U)\S"))).select(
@@ -25,21 +21,30 @@ def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     return nonblank_lines(spark.read.option("lineSep", "\n").text(path))
 
 
-def _problem(document: Column, kinds: dict[str, Column]) -> Column:
+def _accepts(kind: Column, field: T.StructField) -> Column:
+    """Whether a JSON value of this variant type may stand for the field."""
+    if isinstance(field.dataType, T.StringType):
+        return kind == "STRING"
+    if isinstance(field.dataType, T.DoubleType):
+        return kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+    return kind == "BIGINT"
+
+
+def _problem(record: Column) -> Column:
     """Why a line is not a manifest record, or null."""
-    not_object = ~F.coalesce(F.startswith(F.schema_of_variant(document), F.lit("OBJECT")), F.lit(False))
-    problem = F.when(document.isNull(), F.lit("not valid JSON")).when(not_object, F.lit("not a JSON object"))
+    problem = F.when(record["document_kind"].isNull(), F.lit("not valid JSON")).when(
+        ~F.startswith(record["document_kind"], F.lit("OBJECT")), F.lit("not a JSON object")
+    )
     for field in MANIFEST.fields:
-        kind, name = kinds[field.name], wire_name(field.name)
-        if field.nullable:
-            wrong = kind.isNotNull() & ~F.rlike(kind, F.lit("^(STRING|VOID)$"))
-        else:
-            problem = problem.when(kind.isNull() | (kind == "VOID"), F.lit(f"field {name} is missing"))
-            wrong = ~F.rlike(kind, F.lit(_ACCEPTED[field.dataType.simpleString()]))
-        problem = problem.when(wrong, F.concat(F.lit(f"field {name} has the wrong type "), kind))
+        kind, name = record["kinds"][field.name], wire_name(field.name)
+        absent = kind.isNull() | (kind == "VOID")
+        if not field.nullable:
+            problem = problem.when(absent, F.lit(f"field {name} is missing"))
+        problem = problem.when(
+            ~absent & ~_accepts(kind, field), F.concat(F.lit(f"field {name} has the wrong type "), kind)
+        )
         if isinstance(field.dataType, T.IntegerType):
-            value = F.try_variant_get(document, f"$.{name}", "int")
-            problem = problem.when(value.isNull(), F.lit(f"field {name} is out of range"))
+            problem = problem.when(record[field.name].isNull(), F.lit(f"field {name} is out of range"))
     return problem
 
 
@@ -50,19 +55,23 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     belongs, a repeated key or an array is a problem, not a silent conversion.
     """
 
-    def record(document: Column) -> Column:
-        paths = {f.name: f"$.{wire_name(f.name)}" for f in MANIFEST.fields}
-        kinds = {name: F.schema_of_variant(F.try_variant_get(document, path, "variant")) for name, path in paths.items()}
-        fields = [
-            F.try_variant_get(document, paths[f.name], f.dataType.simpleString()).alias(f.name)
-            for f in MANIFEST.fields
-        ]
-        return F.struct(*fields, _problem(document, kinds).alias("problem"))
-
-    # One-element arrays keep the document parsed once per line: the optimizer would copy a plain
-    # column into every expression that uses it.
+    def read(document: Column) -> Column:
+        values, kinds = [], []
+        for f in MANIFEST.fields:
+            path = f"$.{wire_name(f.name)}"
+            values.append(F.try_variant_get(document, path, f.dataType.simpleString()).alias(f.name))
+            kinds.append(F.schema_of_variant(F.try_variant_get(document, path, "variant")).alias(f.name))
+        whole = F.schema_of_variant(document).alias("document_kind")
+        return F.struct(*values, F.struct(*kinds).alias("kinds"), whole)
+
+    def check(record: Column) -> Column:
+        values = [record[name].alias(name) for name in MANIFEST.fieldNames()]
+        return F.struct(*values, _problem(record).alias("problem"))
+
+    # One-element arrays, so that each step is computed once per line: the optimizer would copy
+    # plain columns into every expression that uses them.
     documents = F.array(F.try_parse_json(clean_text(F.col("line"))))
-    return lines.select("line", "file", F.inline(F.transform(documents, record)))
+    return lines.select("line", "file", F.inline(F.transform(F.transform(documents, read), check)))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _fs(spark: SparkSession, path: str):
@@ -75,3 +77,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     path = join(root, f"{label}-{uuid.uuid4().hex}")
     make_dirs(spark, path)
     return path
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """The rows as a Parquet table in the shared folder, for the length of a job.
+
+    Later steps read the columns they need instead of computing ``df`` again, and a lost executor
+    costs no more than its own tasks.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    try:
+        df.write.mode("overwrite").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from clipmill import storage
 from clipmill.operators.audio import canonicalize_clips
 from clipmill.operators.validate import validate_manifest
 from clipmill.plans.adapt import ADAPTERS
@@ -30,13 +31,12 @@ def adapt_stream(
     """
 
     def handle(lines: DataFrame, batch_id: int) -> None:
-        session = lines.sparkSession
-        manifest = checked_records(parse_manifest(lines))
-        if manifest.isEmpty():
-            return
-        profile = validate_manifest(manifest)
-        rows = canonicalize_clips(attach_clips(session, manifest, clips_dir, profile, how))
-        write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
+        with storage.staged(checked_records(parse_manifest(lines)), "manifest") as manifest:
+            profile = validate_manifest(manifest, allow_empty=True)
+            if profile.total == 0:
+                return
+            rows = canonicalize_clips(attach_clips(lines.sparkSession, manifest, clips_dir, profile, how))
+            write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
 
     lines = nonblank_lines(spark.readStream.option("lineSep", "\n").text(manifest_dir))
     return (

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.functions.fields import clip_rel_path
-from clipmill.operators.joins import fits_broadcast  # noqa: F401
 from clipmill.plans import adapt as adapt_plan
 from clipmill.plans.freeze import freeze_export
 from clipmill.plans.materialize import materialize, write_clips
