@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipmill import storage
 from clipmill.functions.fields import label_to_endpoint
@@ -26,21 +27,25 @@ class AdaptResult:
     split_counts: dict[str, int]
 
 
-def _required(name: str, value: Column) -> Column:
-    """Keeps the column non-null in the written files."""
-    return F.coalesce(value, F.raise_error(F.lit(f"{name} is null"))).alias(name)
+def _required(field: T.StructField, value: Column) -> Column:
+    """A null fails the job. The closing constant is never reached; for the optimizer it makes the
+    column non-null, and so in the written files."""
+    refusal = F.raise_error(F.lit(f"{field.name} is null")).cast(field.dataType)
+    return F.coalesce(value, refusal, F.lit("0").cast(field.dataType)).alias(field.name)
 
 
 def binary_endpoint(rows: DataFrame, language: str) -> DataFrame:
     """Manifest rows with canonical ``bytes`` to the nine dataset columns, plus ``split``."""
     made = {
-        "audio": F.struct(F.col("bytes"), F.col("clip_path").alias("path")).alias("audio"),
-        "endpoint_bool": label_to_endpoint(F.col("label_key")).alias("endpoint_bool"),
-        "language": F.lit(language).alias("language"),
+        "audio": F.struct(F.col("bytes"), F.col("clip_path").alias("path")),
+        "endpoint_bool": label_to_endpoint(F.col("label_key")),
+        "language": F.lit(language),
     }
-    columns = [
-        made.get(f.name, _required(f.name, F.col(f.name).cast(f.dataType))) for f in DATASET.fields
-    ]
+    columns = []
+    for field in DATASET.fields:
+        value = made.get(field.name, F.col(field.name))
+        nested = isinstance(field.dataType, T.StructType)
+        columns.append(value.alias(field.name) if nested else _required(field, value))
     return rows.select(*columns, "split")
 
 

@@ -20,7 +20,7 @@ def read_pages(spark: SparkSession, path: str, item_key: str) -> DataFrame:
         raise ValueError(f"unknown page items {item_key!r}; expected one of {tuple(PAGE_ITEMS)}")
     record = PAGE_ITEMS[item_key]
     envelope = T.StructType([T.StructField(item_key, T.ArrayType(wire_schema(record)))])
-    texts = spark.read.option("wholetext", "true").text(path)
+    texts = spark.read.text(path, wholetext=True)
     # JSON strings hold no raw line feed, so one between braces separates two envelopes.
     listed = F.concat(F.lit("["), F.regexp_replace("value", r"\}\s*\n\s*\{", "},{"), F.lit("]"))
     pages = texts.select(F.inline(F.from_json(listed, T.ArrayType(envelope), {"mode": "FAILFAST"})))
