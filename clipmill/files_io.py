@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyarrow import fs
 
 _PIECE = 4 << 20
@@ -22,6 +23,15 @@ def _open_root(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("s3" + root[3:] if scheme == "s3a" else root)
 
 
+def can_open(root: str) -> bool:
+    """Whether this Python knows the filesystem of a root."""
+    try:
+        _open_root(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return False
+    return True
+
+
 def read_bytes(root: str, rel: str) -> bytes:
     store, base = _open_root(root)
     with store.open_input_stream(f"{base}/{rel}", compression=None) as stream:

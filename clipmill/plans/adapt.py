@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 from clipmill import storage
 from clipmill.functions.fields import label_to_endpoint
 from clipmill.operators.aggregates import split_counts
-from clipmill.operators.audio import settle_errors, try_canonicalize_clips
+from clipmill.operators.audio import settle_errors
 from clipmill.operators.validate import validate_manifest
 from clipmill.schemas import DATASET
 from clipmill.sinks.dataset import write_dataset_card, write_splits
-from clipmill.sources.clips import attach_clips
+from clipmill.sources.clips import canonical_clips
 from clipmill.sources.export_dir import Export
 
 
@@ -70,7 +70,7 @@ def adapt(
     to_dataset = partial(ADAPTERS[adapter], language=language)
     with storage.staged(export.manifest(), "manifest") as manifest:
         profile = validate_manifest(manifest)
-        rows = try_canonicalize_clips(attach_clips(spark, manifest, export.clips_dir, profile, how))
+        rows = canonical_clips(spark, manifest, export.clips_dir, profile, how)
         if on_error == "quarantine":
             counts = _write_good_and_bad(rows, out_dir, to_dataset)
         else:

@@ -42,16 +42,18 @@ def write_clips(rows: DataFrame, clips_dir: str, rel: str = "rel", content: str
 
 
 def copy_clips(rows: DataFrame, source_dir: str, clips_dir: str, rel: str = "rel") -> DataFrame:
-    """Copy files named by ``rel`` between directories, one open file at a time per task."""
+    """Copy files named by ``rel`` between directories, in pieces, a few files at a time per task."""
     spark = rows.sparkSession
     source, target = storage.qualify(spark, source_dir), storage.qualify(spark, clips_dir)
     made = T.StructType([T.StructField("written", T.LongType())])
 
-    def convert(row):
-        name = row[rel].as_py()
-        return {"written": files_io.copy(source, target, name)}, 8
+    def read(row):
+        return files_io.copy(source, target, row[rel].as_py())
+
+    def convert(row, copied):
+        return {"written": copied.result()}, 8
 
-    return map_rows(rows, convert, (rel,), made)
+    return map_rows(rows, convert, (rel,), made, read=read)
 
 
 def materialize(

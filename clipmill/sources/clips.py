@@ -1,4 +1,4 @@
-"""Clip bytes: whole-directory scans, and direct reads by path for large manifests."""
+"""Clip bytes: direct reads by path, and whole-directory scans."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from clipmill import files_io, storage
 from clipmill.functions.fields import clip_rel_path
-from clipmill.operators.audio import map_rows
+from clipmill.operators.audio import map_rows, try_canonicalize_clips, try_canonicalize_files
 from clipmill.operators.joins import missing_clips
 from clipmill.operators.validate import ManifestProfile
 
@@ -35,22 +35,18 @@ def read_clips(spark: SparkSession, clips_dir: str, pattern: str | None = "*.wav
 
 
 def fetch_clips(rows: DataFrame, clips_dir: str, rel: str = "rel") -> DataFrame:
-    """Add ``content``: each row's task opens the file itself, so only strings are ever shuffled.
-
-    A file that cannot be read gives null content and the reason in ``error``.
-    """
+    """Add ``content``: each row's task opens the file itself, so only strings are ever shuffled."""
     root = storage.qualify(rows.sparkSession, clips_dir)
-    made = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("fetch_error", T.StringType())])
+    made = T.StructType([T.StructField("content", T.BinaryType())])
+
+    def read(row):
+        return files_io.read_bytes(root, row[rel].as_py())
 
-    def convert(row):
-        name = row[rel].as_py()
-        try:
-            data = files_io.read_bytes(root, name)
-        except OSError as bad:
-            return {"content": None, "fetch_error": f"reading clip {name}: {bad}"}, 64
-        return {"content": data, "fetch_error": None}, len(data)
+    def convert(row, raw):
+        data = raw.result()
+        return {"content": data}, len(data)
 
-    return map_rows(rows, convert, (rel,), made)
+    return map_rows(rows, convert, (rel,), made, read=read)
 
 
 def clip_lengths(rows: DataFrame, clips_dir: str, rel: str = "rel") -> DataFrame:
@@ -58,10 +54,13 @@ def clip_lengths(rows: DataFrame, clips_dir: str, rel: str = "rel") -> DataFrame
     root = storage.qualify(rows.sparkSession, clips_dir)
     made = T.StructType([T.StructField("length", T.LongType())])
 
-    def convert(row):
-        return {"length": files_io.length(root, row[rel].as_py())}, 8
+    def read(row):
+        return files_io.length(root, row[rel].as_py())
 
-    return map_rows(rows, convert, (rel,), made)
+    def convert(row, length):
+        return {"length": length.result()}, 8
+
+    return map_rows(rows, convert, (rel,), made, read=read)
 
 
 def _raise_missing(missing: DataFrame, clips_dir: str) -> None:
@@ -70,7 +69,7 @@ def _raise_missing(missing: DataFrame, clips_dir: str) -> None:
         raise FileNotFoundError(f"{row.n} clip(s) of the manifest are missing, such as {clips_dir}/{row.rel}")
 
 
-def scan_is_fit(manifest: DataFrame, profile: ManifestProfile) -> bool:
+def scan_may_broadcast(manifest: DataFrame, profile: ManifestProfile) -> bool:
     """Whether broadcasting the manifest onto a directory scan is safe: measured, not guessed."""
     if profile.text_bytes > BROADCAST_BYTES:
         return False
@@ -78,27 +77,56 @@ def scan_is_fit(manifest: DataFrame, profile: ManifestProfile) -> bool:
     return shared.n <= SHARED_CLIP_ROWS
 
 
+def _choose(spark: SparkSession, clips_dir: str, how: str) -> str:
+    if how not in ("auto", "by_path", "scan"):
+        raise ValueError(f"how is 'auto', 'by_path' or 'scan', not {how!r}")
+    if how != "auto":
+        return how
+    return "by_path" if files_io.can_open(storage.qualify(spark, clips_dir)) else "scan"
+
+
+def _rows_by_path(manifest: DataFrame, clips_dir: str, profile: ManifestProfile) -> DataFrame:
+    """Manifest rows with ``rel``, spread over tasks of bounded size, after a look at every file.
+
+    Rows that share a clip are spread like any others.
+    """
+    spark = manifest.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-profile.total // CLIPS_PER_TASK))
+    rows = manifest.withColumn("rel", clip_rel_path(F.col("clip_path"))).repartition(tasks)
+    # Cheap existence pass first, so no audio is decoded for an export that is incomplete.
+    _raise_missing(clip_lengths(rows.select("rel"), clips_dir).where("length is null"), clips_dir)
+    return rows
+
+
+def _scan(manifest: DataFrame, clips_dir: str, profile: ManifestProfile) -> DataFrame:
+    clips = read_clips(manifest.sparkSession, clips_dir, pattern=None)
+    _raise_missing(missing_clips(manifest, clips), clips_dir)
+    rows = manifest.withColumn("rel", clip_rel_path(F.col("clip_path")))
+    if scan_may_broadcast(manifest, profile):
+        rows = F.broadcast(rows)
+    return clips.select("rel", "content").join(rows, "rel").drop("rel")
+
+
 def attach_clips(
     spark: SparkSession, manifest: DataFrame, clips_dir: str, profile: ManifestProfile, how: str = "auto"
 ) -> DataFrame:
     """Manifest rows with the ``content`` of their clips; a missing clip is an error naming it.
 
-    ``scan`` reads the directory and joins the broadcast manifest onto it, so clip bytes never
-    shuffle. ``by_path`` spreads the manifest rows over tasks that open their clips themselves: for
-    manifests too large to broadcast, and for clips shared by very many rows. ``auto`` measures.
+    ``by_path`` spreads the manifest rows over tasks that open their clips themselves, so that only
+    strings move between tasks, however large the manifest or however many rows share a clip.
+    ``scan`` reads the whole directory through Spark and joins the manifest onto it, broadcast when
+    its measured size allows. ``auto`` opens by path wherever the workers can.
     """
-    if how == "auto":
-        how = "scan" if scan_is_fit(manifest, profile) else "by_path"
-    rows = manifest.withColumn("rel", clip_rel_path(F.col("clip_path")))
-    if how == "scan":
-        clips = read_clips(spark, clips_dir, pattern=None)
-        _raise_missing(missing_clips(manifest, clips), clips_dir)
-        return clips.select("rel", "content").join(F.broadcast(rows), "rel").drop("rel")
-    if how != "by_path":
-        raise ValueError(f"how is 'auto', 'scan' or 'by_path', not {how!r}")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-profile.total // CLIPS_PER_TASK))
-    # Cheap existence pass first, so no audio is decoded for an export that is incomplete.
-    _raise_missing(clip_lengths(rows.select("rel").repartition(tasks), clips_dir).where("length is null"), clips_dir)
-    fetched = fetch_clips(rows.repartition(tasks), clips_dir)
-    fine = F.when(F.col("fetch_error").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("fetch_error")).cast("boolean"))
-    return fetched.where(fine).drop("fetch_error", "rel")
+    if _choose(spark, clips_dir, how) == "scan":
+        return _scan(manifest, clips_dir, profile)
+    return fetch_clips(_rows_by_path(manifest, clips_dir, profile), clips_dir).drop("rel")
+
+
+def canonical_clips(
+    spark: SparkSession, manifest: DataFrame, clips_dir: str, profile: ManifestProfile, how: str = "auto"
+) -> DataFrame:
+    """Manifest rows with canonical ``bytes`` or an ``error``. By path, reading and converting are
+    one step, and source bytes never leave the Python worker."""
+    if _choose(spark, clips_dir, how) == "scan":
+        return try_canonicalize_clips(_scan(manifest, clips_dir, profile))
+    return try_canonicalize_files(_rows_by_path(manifest, clips_dir, profile), clips_dir)

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from clipmill import storage
-from clipmill.operators.audio import canonicalize_clips
+from clipmill.operators.audio import settle_errors
 from clipmill.operators.validate import validate_manifest
 from clipmill.plans.adapt import ADAPTERS
 from clipmill.sinks.dataset import write_splits
-from clipmill.sources.clips import attach_clips
+from clipmill.sources.clips import canonical_clips
 from clipmill.sources.manifest import checked_records, nonblank_lines, parse_manifest
 
 
@@ -35,7 +35,7 @@ def adapt_stream(
             profile = validate_manifest(manifest, allow_empty=True)
             if profile.total == 0:
                 return
-            rows = canonicalize_clips(attach_clips(lines.sparkSession, manifest, clips_dir, profile, how))
+            rows = settle_errors(canonical_clips(lines.sparkSession, manifest, clips_dir, profile, how))
             write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
 
     lines = nonblank_lines(spark.readStream.option("lineSep", "\n").text(manifest_dir))

@@ -149,16 +149,28 @@ def test_shared_and_unlisted_clips_and_odd_names(spark, make_export, how):
     assert {r.annotation_id: bytes(r.content) for r in rows} == {"x1": b"B", "x2": b"B", "x3": b"C", "x4": b"S"}
 
 
-def test_auto_reads_by_path_when_the_manifest_is_large_or_a_clip_is_hot(spark, six, monkeypatch):
+def test_scan_broadcasts_only_small_manifests_without_hot_clips(spark, six, monkeypatch):
     manifest = six.manifest()
     profile = validate_manifest(manifest)
-    assert clip_source.scan_is_fit(manifest, profile)
+    assert clip_source.scan_may_broadcast(manifest, profile)
     monkeypatch.setattr(clip_source, "BROADCAST_BYTES", 10)
-    assert not clip_source.scan_is_fit(manifest, profile)
+    assert not clip_source.scan_may_broadcast(manifest, profile)
+    assert attach_clips(spark, manifest, six.clips_dir, profile, "scan").count() == 6
     monkeypatch.undo()
     monkeypatch.setattr(clip_source, "SHARED_CLIP_ROWS", 3)
     hot = manifest.withColumn("clip_path", F.lit("clips/a1.wav"))
-    assert not clip_source.scan_is_fit(hot, profile)
+    assert not clip_source.scan_may_broadcast(hot, profile)
+    for how in ("scan", "by_path"):
+        assert attach_clips(spark, hot, six.clips_dir, profile, how).count() == 6
+
+
+def test_unknown_filesystems_are_scanned(spark, six, monkeypatch):
+    monkeypatch.setattr(clip_source.files_io, "can_open", lambda root: False)
+    manifest = six.manifest()
+    rows = attach_clips(spark, manifest, six.clips_dir, validate_manifest(manifest))
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="guess"):
+        attach_clips(spark, manifest, six.clips_dir, validate_manifest(manifest), "guess")
 
 
 def test_scan_does_not_shuffle_clip_bytes(spark, six):

@@ -66,6 +66,18 @@ def test_matches_a_sample_by_sample_walk(rate, channels):
     assert pcm(wav.canonicalize(data)).tolist() == slow_canonical(samples, channels, rate)
 
 
+@pytest.mark.parametrize("rate", [32_000, 48_000, 96_000])
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_whole_rate_steps_equal_interpolation(rate, bits):
+    rng = np.random.default_rng(rate + bits)
+    for frames in (0, 1, 2, 3, 5, 100, 101):
+        for channels in (1, 2):
+            raw = rng.bytes(frames * channels * bits // 8)
+            info = wav.parse(wav.encode(raw, channels, rate, bits))
+            slow = wav.to_pcm16(wav.resample_linear(wav.downmix(wav.decode(info), channels), rate))
+            assert (pcm(wav.canonicalize(wav.encode(raw, channels, rate, bits))) == slow).all()
+
+
 def test_sample_formats():
     def decoded(raw, bits, tag=wav.FORMAT_PCM):
         return wav.decode(wav.parse(wav.encode(raw, 1, 16_000, bits, tag))).tolist()
