@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipmill import storage
 from clipmill.schemas import DEFAULT_PAGE_SIZE
 
+# Pages ending beyond this row are deep.
+FRONT_ROWS = 100_000
+
 
 def _keys(order_by: Sequence[str], id_column: str) -> list[str]:
     return [*[c for c in order_by if c != id_column], id_column]
@@ -28,12 +32,41 @@ def page(
 ) -> DataFrame:
     """One 1-based page; the id breaks ties, a page past the end is empty.
 
-    Spark keeps the best ``page * page_size`` rows per partition. For deep pages use
-    :func:`page_after`, whose cost does not grow with the page number.
+    Near the front, Spark keeps the best ``page * page_size`` rows per partition. That many rows
+    would meet in one place for a deep page, so those are looked up by row number in a sorted copy
+    instead. To walk a listing from the front, :func:`page_after` is the cheap way.
     """
     _check(page_size, page)
-    ordered = df.orderBy(*_keys(order_by, id_column))
-    return ordered.offset((page - 1) * page_size).limit(page_size)
+    skip = (page - 1) * page_size
+    if skip + page_size <= FRONT_ROWS:
+        return df.orderBy(*_keys(order_by, id_column)).offset(skip).limit(page_size)
+    copy = storage.join(storage.scratch_dir(df.sparkSession, "listing"), "rows")
+    numbered = number_rows(df, copy, order_by, id_column)
+    here = (F.col("row_number") > skip) & (F.col("row_number") <= skip + page_size)
+    return numbered.where(here).orderBy("row_number").drop("row_number")
+
+
+def number_rows(
+    df: DataFrame, path: str, order_by: Sequence[str] = (), id_column: str = "id"
+) -> DataFrame:
+    """Write the listing sorted to ``path`` and read it back with its ``row_number``.
+
+    The sort is spread over ranges. A row's number is its place within its range plus the sizes of
+    the ranges before, so no task sees more than one range.
+    """
+    keys = _keys(order_by, id_column)
+    df.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    # The upper bits of a place are the range, the lower 33 the row within it.
+    placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range: small enough for one task and for a broadcast.
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.join(F.broadcast(before), "_range")
+        .withColumn("row_number", F.col("_before") + within + 1)
+        .select(*df.columns, "row_number")
+    )
 
 
 def page_after(

@@ -15,20 +15,29 @@ from clipmill.schemas import DEFAULT_PAGE_SIZE
 
 NOT_SET = "—"
 
-# Pages up to this many rows are broadcast.
-BROADCAST_PAGE = 10_000
+# Pages up to this many rows are held by the driver and broadcast.
+HELD_PAGE = 10_000
 
 
 def _paged(df: DataFrame, page: int | None, page_size: int, order_by) -> DataFrame:
-    """The page, or with ``page=None`` the whole table unordered."""
-    return df if page is None else page_of(df, page, page_size, order_by)
+    """The page, or with ``page=None`` the whole table unordered.
+
+    A page is looked up at once and kept as a small local table: the tables joined to it would
+    otherwise each sort the listing again.
+    """
+    if page is None:
+        return df
+    chosen = page_of(df, page, page_size, order_by)
+    if page_size > HELD_PAGE:
+        return chosen
+    return df.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most page_size rows
 
 
 def _for_page(lookup: DataFrame, key: str, chosen: DataFrame, chosen_key: str, page_size: int) -> DataFrame:
     """The lookup rows a page needs, so that big tables are filtered before they are joined."""
     keys = chosen.select(F.col(chosen_key).alias(key)).distinct()
     # A page has at most page_size keys, which bounds the broadcast.
-    return lookup.join(F.broadcast(keys) if page_size <= BROADCAST_PAGE else keys, key, "left_semi")
+    return lookup.join(F.broadcast(keys) if page_size <= HELD_PAGE else keys, key, "left_semi")
 
 
 def list_annotations(
@@ -47,7 +56,9 @@ def list_annotations(
         files = _for_page(files, "id", chosen, "file_id", page_size)
         transcripts = _for_page(transcripts, "id", chosen, "id", page_size)
         salts = 1
-    joined = annotations_with_files(chosen, files, transcripts, salts)
+    # Transcripts are cut before they are joined, so that long texts are not shuffled.
+    shown = text.truncate_width(text.clean_text(F.col("asr_text")), 80)
+    joined = annotations_with_files(chosen, files, transcripts.select("id", shown.alias("asr_text")), salts)
     return joined.select(
         "id",
         text.short_id(F.col("id")).alias("id_text"),
@@ -55,7 +66,7 @@ def list_annotations(
         text.label_text(F.col("label_key"), F.col("label_value")).alias("label_text"),
         text.time_range(F.col("start_sec"), F.col("end_sec")).alias("range_text"),
         text.or_dash(F.col("review_status"), NOT_SET).alias("review_text"),
-        text.truncate_width(text.clean_text(F.col("asr_text")), 80).alias("transcript_text"),
+        F.col("asr_text").alias("transcript_text"),
     )
 
 

@@ -157,7 +157,7 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert digest(df.limit(0)).clip_count == 0
 
 
-def test_paging(spark):
+def test_paging(spark, monkeypatch):
     df = spark.createDataFrame([(f"i{n:02d}", n // 4) for n in range(23)], "id string, k int").repartition(5)
 
     def names(page):
@@ -173,6 +173,12 @@ def test_paging(spark):
     assert walked == everything
     with pytest.raises(ValueError):
         paging.page(df, 0)
+    # Deep pages come from numbered rows, with the same result.
+    monkeypatch.setattr(paging, "FRONT_ROWS", 8)
+    assert names(paging.page(df, 1, 8, ["k"])) == everything[:8]
+    assert names(paging.page(df, 2, 10, ["k"])) == everything[10:20]
+    assert names(paging.page(df, 3, 10, ["k"])) == everything[20:]
+    assert names(paging.page(df, 9, 10, ["k"])) == []
 
 
 def test_reservations_are_idempotent(files):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipmill import ExportSpec, SplitPolicy
+from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.operators import aggregates, changes, filters, joins, paging, splits, validate
 from clipmill.plans.freeze import manifest_rows
 from workload.registry import query
@@ -431,6 +431,16 @@ def _(t):
     return paging.page(t.annotations, 3, 20, ["created_at"]).select("id", "file_id", "label_key")
 
 
+@query(
+    "number_rows",
+    oracle("select id, row_number() over (order by created_at, id) as row_number from annotations", "annotations"),
+)
+def _(t):
+    rows = t.annotations.select("id", "created_at")
+    copy = storage.join(storage.scratch_dir(t.spark, "listing"), "rows")
+    return paging.number_rows(rows, copy, ["created_at"]).select("id", "row_number")
+
+
 @query(
     "page_after",
     oracle(

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.functions.fields import clip_rel_path
+from clipmill.operators.validate import validate_manifest
 from clipmill.plans import adapt as adapt_plan
 from clipmill.plans.freeze import freeze_export
 from clipmill.plans.materialize import materialize, write_clips
 from clipmill.schemas import MANIFEST, wire_name
+from clipmill.sinks.dataset import META_FILE
 from clipmill.sinks.manifest import write_manifest
-from clipmill.sources.clips import read_clips
+from clipmill.sources.clips import attach_clips, read_clips
 from clipmill.sources.dataset import read_dataset
 from clipmill.sources.export_dir import Export, open_export
 from clipmill.sources.manifest import read_manifest
@@ -195,8 +197,31 @@ def dataset_rows(dataset: DataFrame) -> DataFrame:
     return pcm_of(flat).drop("channels", "sample_rate", "bits", "format", "samples", "error")
 
 
+@query(
+    "dataset_card",
+    oracle("""select split, count(*) n, 'en' "language" from clip_manifest group by split""", "clip_manifest"),
+)
+def _(t):
+    out = storage.scratch_dir(t.spark, "dataset")
+    adapt_plan.adapt_binary_endpoint(t.spark, export_on_disk(t), out, "en")
+    meta = t.spark.read.json(storage.join(out, META_FILE), "split_counts map<string,bigint>, language string", multiLine=True)
+    return meta.select(F.explode("split_counts").alias("split", "n"), "language")
+
+
+_BYTES_SQL = "44 + 64 * case cast(annotation_id as bigint) % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end"
+
 for _how in ("scan", "by_path"):
 
+    @query(
+        f"attach_clips_{_how}",
+        oracle(f"select annotation_id, clip_path, split, {_BYTES_SQL} clip_bytes from clip_manifest", "clip_manifest"),
+    )
+    def _(t, how=_how):
+        export = export_on_disk(t)
+        manifest = export.manifest()
+        rows = attach_clips(t.spark, manifest, export.clips_dir, validate_manifest(manifest), how)
+        return rows.select("annotation_id", "clip_path", "split", F.octet_length("content").alias("clip_bytes"))
+
     @query(f"adapt_binary_endpoint_{_how}", _DATASET_SQL)
     def _(t, how=_how):
         out = storage.scratch_dir(t.spark, "dataset")
