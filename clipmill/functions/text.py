@@ -8,6 +8,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipmill.functions.once import once
+
 ELLIPSIS = "…"
 
 # Marks a second terminal column while widths are counted; a Unicode noncharacter.
@@ -56,8 +58,7 @@ def truncate_width(c: Column, columns: int) -> Column:
     Text wider than ``columns`` keeps its longest prefix of at most ``columns - 1`` columns and
     gets an ellipsis.
     """
-    # The one-element array has the text computed once, however often it is used below.
-    return F.get(F.transform(F.array(c), lambda text: _fit(text, columns)), 0)
+    return once(c, lambda text: _fit(text, columns))
 
 
 def _fit(c: Column, columns: int) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipmill.functions.once import once
 from clipmill.schemas import TARGET_RATE
 
 
@@ -24,34 +25,40 @@ def _indices(count: Column) -> Column:
 def downmix(samples: Column, channels: Column) -> Column:
     """Mean of each interleaved frame; an incomplete last frame is dropped."""
     n = channels.cast("int")
-    frames = F.floor(F.size(samples) / n).cast("int")
 
-    def mean_of(frame: Column) -> Column:
-        total = F.aggregate(
-            F.sequence(F.lit(0), n - 1), _f32(0.0), lambda acc, ch: acc + F.get(samples, frame * n + ch)
-        )
-        return (total / n.cast("float")).cast("float")
+    def mix(x: Column) -> Column:
+        def mean_of(frame: Column) -> Column:
+            total = F.aggregate(
+                F.sequence(F.lit(0), n - 1), _f32(0.0), lambda acc, ch: acc + F.get(x, frame * n + ch)
+            )
+            return (total / n.cast("float")).cast("float")
 
-    return F.when(n == 1, samples).otherwise(F.transform(_indices(frames), mean_of))
+        frames = F.floor(F.size(x) / n).cast("int")
+        return F.when(n == 1, x).otherwise(F.transform(_indices(frames), mean_of))
+
+    return once(samples, mix)
 
 
 def resample_linear(samples: Column, in_rate: Column, out_rate: int = TARGET_RATE) -> Column:
     """Linear interpolation to ``out_rate``; the last sample repeats at the edge."""
     ratio = in_rate.cast("double") / F.lit(float(out_rate))
-    size = F.size(samples)
-    out_len = F.floor(size.cast("double") / ratio).cast("int")
-
-    def at(i: Column) -> Column:
-        position = i.cast("double") * ratio
-        left = F.floor(position).cast("int")
-        weight = (position - left.cast("double")).cast("float")
-        first = F.get(samples, left)
-        second = F.get(samples, F.least(left + 1, size - 1))
-        return first * (_f32(1.0) - weight) + second * weight
-
-    return F.when((in_rate == out_rate) | (size == 0), samples).otherwise(
-        F.transform(_indices(out_len), at)
-    )
+
+    def interpolate(x: Column) -> Column:
+        size = F.size(x)
+
+        def at(i: Column) -> Column:
+            position = i.cast("double") * ratio
+            left = F.floor(position).cast("int")
+            weight = (position - left.cast("double")).cast("float")
+            first = F.get(x, left)
+            second = F.get(x, F.least(left + 1, size - 1))
+            return first * (_f32(1.0) - weight) + second * weight
+
+        out_len = F.floor(size.cast("double") / ratio).cast("int")
+        same = (in_rate == out_rate) | (size == 0)
+        return F.when(same, x).otherwise(F.transform(_indices(out_len), at))
+
+    return once(samples, interpolate)
 
 
 def to_pcm16(samples: Column) -> Column:
