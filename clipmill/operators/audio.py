@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from clipmill import files_io, storage
 from clipmill.functions import wav
+from clipmill.shipping import ship
 
 # Output batches are cut at this many payload bytes, whatever the size of the input batch.
 BATCH_BYTES = 64 << 20
@@ -96,6 +97,7 @@ def map_rows(
                 if done:
                     yield rebatch(batch, start, batch.num_rows, done)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*passed, *made.fields]))
 
 
