@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipmill.functions.once import once
 from clipmill.schemas import BINARY_LABELS
 
 
@@ -32,21 +33,25 @@ def clip_rel_path(clip_path: Column) -> Column:
     ).otherwise(clip_path)
 
 
-def _variant_field(document: Column, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(document), path, "variant")
+def _json_field(document: Column, path: str, variant_type: str, sql_type: str) -> Column:
+    """The field if its JSON kind is the one asked for, else null; the text is parsed once."""
+
+    def pick(parsed: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+        return F.when(kind == variant_type, F.try_variant_get(parsed, path, sql_type))
+
+    return once(F.try_parse_json(document), pick)
 
 
 def json_text(document: Column, path: str, default: str | None = "-") -> Column:
     """A string field of a JSON text; missing, null and non-string values give the default."""
-    field = _variant_field(document, path)
-    text = F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(F.try_parse_json(document), path, "string"))
+    text = _json_field(document, path, "STRING", "string")
     return text if default is None else F.coalesce(text, F.lit(default))
 
 
 def json_long(document: Column, path: str) -> Column:
     """An integer field of a JSON text, else null."""
-    field = _variant_field(document, path)
-    return F.when(F.schema_of_variant(field) == "BIGINT", F.try_variant_get(F.try_parse_json(document), path, "bigint"))
+    return _json_field(document, path, "BIGINT", "bigint")
 
 
 def export_spec_json(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from clipmill import storage
 from clipmill.operators.aggregates import manifest_fingerprint
 from clipmill.operators.filters import filter_export
 from clipmill.operators.joins import reserved_file_ids, resolve_label_set, spread_lookup
 from clipmill.operators.splits import assign_split
-from clipmill.schemas import MANIFEST, MANIFEST_EXTRAS
+from clipmill.schemas import MANIFEST, MANIFEST_EXTRAS, wire_name
+from clipmill.sinks.manifest import write_manifest
 from clipmill.spec import ExportSpec
 
 
@@ -60,39 +63,89 @@ def freeze_manifest(
     return manifest_rows(assign_split(chosen, spec.split, spec.use_reserved_test_files, exact))
 
 
-def freeze_export(
-    annotations: DataFrame,
-    files: DataFrame,
-    projects: DataFrame,
+def export_record(
+    manifest: DataFrame,
     spec: ExportSpec,
+    label_set_id: str,
     export_id: str,
     created_by: int,
     created_at: str,
     clips: DataFrame | None = None,
-    exact: bool = False,
-) -> FrozenExport:
-    """``clips`` (``annotation_id, length``) gives the total bytes, which are null without it."""
-    label_set = resolve_label_set(projects, spec.project_id, spec.label_set_id)
-    manifest = freeze_manifest(annotations, files, spec, label_set, exact)
+) -> DataFrame:
+    """The one-row export record of a manifest.
+
+    ``clips`` (``annotation_id, length``) gives the total bytes, which are null without it.
+    """
     total_bytes = F.lit(None).cast("bigint")
     if clips is not None:
         ids = manifest.select("annotation_id")
         total_bytes = clips.join(ids, "annotation_id", "left_semi").agg(F.sum("length")).scalar()
-    record = manifest_fingerprint(manifest).select(
+    body = F.lit(spec.to_json(label_set_id))
+    return manifest_fingerprint(manifest).select(
         F.lit(export_id).alias("id"),
         F.lit(spec.project_id).alias("project_id"),
         F.lit(spec.name).alias("name"),
         F.lit(spec.description).cast("string").alias("description"),
         F.lit("ready").alias("status"),
-        F.get_json_object(F.lit(spec.to_json(label_set)), "$.filter").alias("filter"),
-        F.get_json_object(F.lit(spec.to_json(label_set)), "$.splitPolicy").alias("split_policy"),
+        F.get_json_object(body, "$.filter").alias("filter"),
+        F.get_json_object(body, "$.splitPolicy").alias("split_policy"),
         "manifest_sha256",
         "clip_count",
         total_bytes.alias("total_bytes"),
         F.lit(created_by).cast("bigint").alias("created_by"),
         F.lit(created_at).alias("created_at"),
     )
-    held_out = reserved_file_ids(files.where(F.col("project_id") == spec.project_id))
+
+
+def _held_out(files: DataFrame, spec: ExportSpec, export_id: str) -> DataFrame:
+    """The reserved files an export used: none unless it asked for them."""
+    used = F.col("project_id") == spec.project_id
     if spec.use_reserved_test_files is not True:
-        held_out = held_out.limit(0)
-    return FrozenExport(manifest, record, held_out.withColumn("export_id", F.lit(export_id)))
+        used = F.lit(False)
+    return reserved_file_ids(files.where(used)).withColumn("export_id", F.lit(export_id))
+
+
+def freeze_export(
+    annotations: DataFrame,
+    files: DataFrame,
+    projects: DataFrame,
+    spec: ExportSpec,
+    export_id: str,
+    created_by: int,
+    created_at: str,
+    clips: DataFrame | None = None,
+    exact: bool = False,
+) -> FrozenExport:
+    """The export as lazy tables; :func:`save_export` writes it."""
+    label_set = resolve_label_set(projects, spec.project_id, spec.label_set_id)
+    manifest = freeze_manifest(annotations, files, spec, label_set, exact)
+    record = export_record(manifest, spec, label_set, export_id, created_by, created_at, clips)
+    return FrozenExport(manifest, record, _held_out(files, spec, export_id))
+
+
+def save_export(
+    annotations: DataFrame,
+    files: DataFrame,
+    projects: DataFrame,
+    spec: ExportSpec,
+    export_id: str,
+    out_dir: str,
+    created_by: int,
+    created_at: str,
+    clips: DataFrame | None = None,
+    exact: bool = False,
+) -> Row:
+    """Write ``manifest.jsonl``, ``export.json`` and ``reserved_files.parquet``; returns the record.
+
+    The manifest is computed once, so that count and fingerprint are those of the rows written.
+    """
+    spark = annotations.sparkSession
+    label_set = resolve_label_set(projects, spec.project_id, spec.label_set_id)
+    with storage.staged(freeze_manifest(annotations, files, spec, label_set, exact), "manifest") as manifest:
+        write_manifest(manifest, out_dir)
+        record = export_record(manifest, spec, label_set, export_id, created_by, created_at, clips).head()
+    _held_out(files, spec, export_id).write.mode("overwrite").parquet(storage.join(out_dir, "reserved_files.parquet"))
+    body = {wire_name(name): value for name, value in record.asDict().items()}
+    body |= {name: json.loads(body[name]) for name in ("filter", "splitPolicy")}
+    storage.write_text(spark, storage.join(out_dir, "export.json"), json.dumps(body, ensure_ascii=False, indent=2))
+    return record

@@ -23,6 +23,7 @@ def adapt_stream(
     language: str,
     adapter: str = "binary_endpoint",
     how: str = "auto",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Adapt every manifest file of a directory once, then stop; run again to take in new files.
 
@@ -38,7 +39,10 @@ def adapt_stream(
             rows = settle_errors(canonical_clips(lines.sparkSession, manifest, clips_dir, profile, how))
             write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
 
-    lines = nonblank_lines(spark.readStream.option("lineSep", "\n").text(manifest_dir))
+    reader = spark.readStream.option("lineSep", "\n")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = nonblank_lines(reader.text(manifest_dir))
     return (
         lines.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)

@@ -10,7 +10,7 @@ from clipmill import ExportSpec, SplitPolicy
 from clipmill.functions import wav
 from clipmill.operators.validate import ManifestError, validate_manifest
 from clipmill.plans.adapt import adapt, adapt_binary_endpoint
-from clipmill.plans.freeze import freeze_export
+from clipmill.plans.freeze import freeze_export, save_export
 from clipmill.plans.materialize import materialize
 from clipmill.schemas import DATASET
 from clipmill.sinks.dataset import META_FILE
@@ -275,6 +275,26 @@ def test_freeze_export(spark):
     assert counts == {"train": 96, "validation": 12, "test": 12}
 
 
+def test_saved_export_is_consistent(spark, tmp_path):
+    annotations = spark.createDataFrame(
+        [("a1", "f1", "end_of_turn", 1, 0.0, 1.0, "approved", 7, "ls1", "c", 16000, "s")],
+        "id string, file_id string, label_key string, label_value bigint, start_sec double, end_sec double, "
+        "review_status string, created_by bigint, label_set_id string, clip_sha256 string, clip_sample_rate int, "
+        "source_file_sha256 string",
+    )
+    files = spark.createDataFrame([("f1", "p1", "t")], "id string, project_id string, test_reserved_at string")
+    projects = spark.createDataFrame([("p1", "ls1")], "id string, active_label_set_id string")
+    out = tmp_path / "saved"
+    spec = ExportSpec("p1", "n", use_reserved_test_files=True, split=SplitPolicy(ratios=(0.9, 0.1, 0.0)))
+    record = save_export(annotations, files, projects, spec, "e1", str(out), 1, "2024-01-01T00:00:00Z")
+    saved = json.loads((out / "export.json").read_text())
+    assert saved["manifestSha256"] == record.manifest_sha256 and saved["clipCount"] == 1
+    assert saved["filter"]["labelSetId"] == "ls1" and saved["splitPolicy"]["ratios"] == [0.9, 0.1, 0.0]
+    (row,) = read_manifest(spark, str(out / "manifest.jsonl")).collect()
+    assert (row.annotation_id, row.split) == ("a1", "test")
+    assert [tuple(r) for r in spark.read.parquet(str(out / "reserved_files.parquet")).collect()] == [("f1", "e1")]
+
+
 def test_read_pages(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()

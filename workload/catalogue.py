@@ -350,12 +350,15 @@ _WORDS = ", ".join(
 )
 
 
+# Over rows with their hash ``h``, as given by HASHED_SQL.
+FINGERPRINT_SQL = f"sha256(concat_ws(':', cast(count(*) as varchar), {_WORDS}))"
+HASHED_SQL = f"sha256(cast(to_json({{{', '.join(f"'{c}': {c}" for c in FINGERPRINT_COLUMNS)}}}) as varchar))"
+
+
 @query(
     "manifest_fingerprint",
     oracle(
-        f"""select count(*) clip_count, sha256(concat_ws(':', cast(count(*) as varchar), {_WORDS})) manifest_sha256
-            from (select sha256(cast(to_json({{{", ".join(f"'{c}': {c}" for c in FINGERPRINT_COLUMNS)}}}) as varchar)) h
-                  from manifest)""",
+        f"""select count(*) clip_count, {FINGERPRINT_SQL} manifest_sha256 from (select {HASHED_SQL} h from manifest)""",
         "annotations",
         manifest=MANIFEST_SQL,
     ),

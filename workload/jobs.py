@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.functions.fields import clip_rel_path
 from clipmill.operators.validate import validate_manifest
 from clipmill.plans import adapt as adapt_plan
-from clipmill.plans.freeze import freeze_export
+from clipmill.plans.freeze import freeze_export, save_export
 from clipmill.plans.materialize import materialize, write_clips
-from clipmill.schemas import MANIFEST, wire_name
+from clipmill.schemas import EXPORTS, MANIFEST, wire_name, wire_schema
 from clipmill.sinks.dataset import META_FILE
 from clipmill.sinks.manifest import write_manifest
 from clipmill.sources.clips import attach_clips, read_clips
@@ -21,7 +22,7 @@ from clipmill.sources.manifest import read_manifest
 from clipmill.sources.pages import read_pages
 from clipmill.streaming.adapt_stream import adapt_stream
 from workload.audio import _DECODED, pcm_of, pcm_oracle, source_wavs
-from workload.catalogue import RESERVED_RATIOS, manifest, MANIFEST_SQL, uniform_sql
+from workload.catalogue import FINGERPRINT_SQL, HASHED_SQL, MANIFEST_SQL, RESERVED_RATIOS, manifest, uniform_sql
 from workload.registry import query
 from workload.tables import Tables, oracle
 
@@ -117,9 +118,13 @@ _FROZEN_ROWS = f"""
       and (review_status in ('approved', 'unreviewed') or review_status is null)"""
 
 
+def _clip_sizes(t: Tables) -> DataFrame:
+    return t.annotations.select(F.col("id").alias("annotation_id"), F.length("label_key").cast("bigint").alias("length"))
+
+
 def _freeze(t: Tables):
-    sizes = t.annotations.select(F.col("id").alias("annotation_id"), F.length("label_key").cast("bigint").alias("length"))
-    return freeze_export(t.annotations, t.files, t.projects, SPEC, "e1", 1, "2024-03-01T00:00:00Z", clips=sizes)
+    files, sizes = t.files, _clip_sizes(t)
+    return freeze_export(t.annotations, files, t.projects, SPEC, "e1", 1, "2024-03-01T00:00:00Z", clips=sizes)
 
 
 @query("freeze_manifest", oracle(_FROZEN_ROWS, "annotations", "files"))
@@ -127,21 +132,48 @@ def _(t):
     return _freeze(t).manifest.select(MANIFEST.fieldNames())
 
 
+_EXPORT_ROW = f"""
+    select 'e1' id, 'p3' project_id, 'frozen' name, 'ready' status, count(*) clip_count,
+           cast(sum(length(label_key)) as bigint) total_bytes, 1 created_by, {FINGERPRINT_SQL} manifest_sha256"""
+
+
 @query(
     "freeze_export",
     oracle(
-        """select 'e1' id, 'p3' project_id, 'frozen' name, 'ready' status,
-                  '{"labelSetId":"ls1","reviewStatuses":["approved","unreviewed"],"useReservedTestFiles":true}' "filter",
-                  '{"kind":"by_source_file","seed":42,"ratios":[0.9,0.1,0.0]}' split_policy,
-                  count(*) clip_count, cast(sum(length(label_key)) as bigint) total_bytes, 1 created_by
-           from frozen""",
+        f"""{_EXPORT_ROW},
+             '{{"labelSetId":"ls1","reviewStatuses":["approved","unreviewed"],"useReservedTestFiles":true}}' "filter",
+             '{{"kind":"by_source_file","seed":42,"ratios":[0.9,0.1,0.0]}}' split_policy
+           from (select *, {HASHED_SQL} h from frozen)""",
         "annotations",
         "files",
         frozen=_FROZEN_ROWS,
     ),
 )
 def _(t):
-    return _freeze(t).export.drop("manifest_sha256", "description", "created_at")
+    return _freeze(t).export.drop("description", "created_at")
+
+
+def _save(t: Tables):
+    out = storage.scratch_dir(t.spark, "saved")
+    sizes = _clip_sizes(t)
+    record = save_export(t.annotations, t.files, t.projects, SPEC, "e1", out, 1, "2024-03-01T00:00:00Z", clips=sizes)
+    return out, record
+
+
+@query("save_export_manifest", oracle(_FROZEN_ROWS, "annotations", "files"))
+def _(t):
+    return read_manifest(t.spark, storage.join(_save(t)[0], "manifest.jsonl"))
+
+
+@query(
+    "save_export_record",
+    oracle(f"{_EXPORT_ROW} from (select *, {HASHED_SQL} h from frozen)", "annotations", "files", frozen=_FROZEN_ROWS),
+)
+def _(t):
+    names = "id project_id name status clip_count total_bytes created_by manifest_sha256".split()
+    wire = T.StructType([f for f in wire_schema(EXPORTS) if f.name in map(wire_name, names)])
+    saved = t.spark.read.schema(wire).json(storage.join(_save(t)[0], "export.json"), multiLine=True)
+    return saved.select(*[F.col(wire_name(n)).alias(n) for n in names])
 
 
 @query(
