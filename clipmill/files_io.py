@@ -55,7 +55,12 @@ def _write_pieces(root: str, rel: str, pieces) -> int:
         for piece in pieces:
             stream.write(piece)
             size += len(piece)
-    store.move(partial, target)
+    try:
+        store.move(partial, target)
+    except OSError:
+        # Some filesystems do not move onto a file, such as one a repeated task left.
+        store.delete_file(target)
+        store.move(partial, target)
     return size
 
 

@@ -101,6 +101,12 @@ def resolve_label_sets(requests: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
+def of_project(annotations: DataFrame, files: DataFrame, project_id: str) -> DataFrame:
+    """The annotations of a project's files."""
+    ids = files.where(F.col("project_id") == project_id).select(F.col("id").alias("file_id"))
+    return spread_lookup(annotations, ids, "file_id", "id", how="left_semi")
+
+
 def reserved_file_ids(files: DataFrame) -> DataFrame:
     return files.where(F.col("test_reserved_at").isNotNull()).select(F.col("id").alias("file_id"))
 

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmill import storage
-from clipmill.schemas import DEFAULT_PAGE_SIZE
+from clipmill.operators.aggregates import page_info
+from clipmill.schemas import DEFAULT_PAGE_SIZE, wire_name
 
 # Pages ending beyond this row are deep.
 FRONT_ROWS = 100_000
 
+# An envelope is one JSON text.
+ENVELOPE_ROWS = 10_000
+
 
 def _keys(order_by: Sequence[str], id_column: str) -> list[str]:
     return [*[c for c in order_by if c != id_column], id_column]
@@ -37,15 +41,42 @@ def page(
     instead. To walk a listing from the front, :func:`page_after` is the cheap way.
     """
     _check(page_size, page)
-    skip = (page - 1) * page_size
-    if skip + page_size <= FRONT_ROWS:
-        return df.orderBy(*_keys(order_by, id_column)).offset(skip).limit(page_size)
+    return _rows_from(df, (page - 1) * page_size, page_size, order_by, id_column)
+
+
+def _rows_from(df: DataFrame, skip: int, size: int, order_by: Sequence[str], id_column: str) -> DataFrame:
+    if skip + size <= FRONT_ROWS:
+        return df.orderBy(*_keys(order_by, id_column)).offset(skip).limit(size)
     copy = storage.join(storage.scratch_dir(df.sparkSession, "listing"), "rows")
     numbered = number_rows(df, copy, order_by, id_column)
-    here = (F.col("row_number") > skip) & (F.col("row_number") <= skip + page_size)
+    here = (F.col("row_number") > skip) & (F.col("row_number") <= skip + size)
     return numbered.where(here).orderBy("row_number").drop("row_number")
 
 
+def page_envelope(
+    df: DataFrame,
+    item_key: str,
+    page: int = 1,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    order_by: Sequence[str] = (),
+    id_column: str = "id",
+) -> DataFrame:
+    """One row ``json``: the page as listings print it, ``{<item_key>: [...], page, pageSize, ...}``."""
+    _check(page_size, page)
+    if page_size > ENVELOPE_ROWS:
+        raise ValueError(f"an envelope holds at most {ENVELOPE_ROWS} rows; {page_size} need several pages")
+    keys = _keys(order_by, id_column)
+    item = F.struct(*[F.col(c).alias(wire_name(c)) for c in df.columns])
+    # The order keys lead the pair, so sorting the pairs (a page of them) restores the page's order.
+    pairs = F.sort_array(F.collect_list(F.struct(F.struct(*keys).alias("key"), item.alias("item"))))
+    rows = _rows_from(df, (page - 1) * page_size, page_size, order_by, id_column)
+    items = rows.agg(F.transform(pairs, lambda pair: pair["item"]).alias(item_key))
+    info = page_info(df, page, page_size).drop("next_page")
+    counts = info.select(F.struct(*[F.col(c).alias(wire_name(c)) for c in info.columns])).scalar()
+    fields = [counts.getField(wire_name(c)).alias(wire_name(c)) for c in info.columns]
+    return items.select(F.to_json(F.struct(item_key, *fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def number_rows(
     df: DataFrame, path: str, order_by: Sequence[str] = (), id_column: str = "id"
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from clipmill.functions import text
 from clipmill.functions.fields import json_text
 from clipmill.operators.aggregates import annotation_counts, with_export_stats
 from clipmill.operators.filters import filter_annotations, filter_files
-from clipmill.operators.joins import DEFAULT_SALTS, annotations_with_files, exports_with_creator
+from clipmill.operators.joins import DEFAULT_SALTS, annotations_with_files, exports_with_creator, of_project
 from clipmill.operators.paging import page as page_of
 from clipmill.schemas import DEFAULT_PAGE_SIZE
 
@@ -33,6 +33,10 @@ def _paged(df: DataFrame, page: int | None, page_size: int, order_by) -> DataFra
     return df.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most page_size rows
 
 
+def _in_project(df: DataFrame, project_id: str | None) -> DataFrame:
+    return df if project_id is None else df.where(F.col("project_id") == project_id)
+
+
 def _for_page(lookup: DataFrame, key: str, chosen: DataFrame, chosen_key: str, page_size: int) -> DataFrame:
     """The lookup rows a page needs, so that big tables are filtered before they are joined."""
     keys = chosen.select(F.col(chosen_key).alias(key)).distinct()
@@ -44,13 +48,17 @@ def list_annotations(
     annotations: DataFrame,
     files: DataFrame,
     transcripts: DataFrame,
+    project_id: str | None = None,
     page: int | None = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     order_by=("created_at",),
     **filters,
 ) -> DataFrame:
     """Short id, file, label, range, review status and transcript of each annotation."""
-    chosen = _paged(filter_annotations(annotations, **filters), page, page_size, order_by)
+    matching = filter_annotations(annotations, **filters)
+    if project_id is not None:
+        matching = of_project(matching, files, project_id)
+    chosen = _paged(matching, page, page_size, order_by)
     salts = DEFAULT_SALTS
     if page is not None:
         files = _for_page(files, "id", chosen, "file_id", page_size)
@@ -73,13 +81,14 @@ def list_annotations(
 def list_files(
     files: DataFrame,
     annotations: DataFrame,
+    project_id: str | None = None,
     page: int | None = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     order_by=("name",),
     **filters,
 ) -> DataFrame:
     """Id, name, duration, annotation count and reservation mark of each file."""
-    chosen = _paged(filter_files(files, **filters), page, page_size, order_by)
+    chosen = _paged(filter_files(_in_project(files, project_id), **filters), page, page_size, order_by)
     if page is not None:
         annotations = _for_page(annotations, "file_id", chosen, "id", page_size)
     reserved = F.when(F.col("test_reserved_at").isNotNull(), F.lit("reserved"))
@@ -96,12 +105,13 @@ def list_exports(
     exports: DataFrame,
     clips: DataFrame,
     users: DataFrame,
+    project_id: str | None = None,
     page: int | None = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     order_by=("created_at",),
 ) -> DataFrame:
     """Id, name, status, clip count, creator and any error of each export."""
-    chosen = _paged(exports, page, page_size, order_by)
+    chosen = _paged(_in_project(exports, project_id), page, page_size, order_by)
     if page is not None:
         clips = _for_page(clips, "export_id", chosen, "id", page_size)
     full = exports_with_creator(with_export_stats(chosen, clips), users)

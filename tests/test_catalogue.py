@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from clipmill import ExportSpec
 from clipmill.operators import aggregates, changes, filters, joins, paging
+from clipmill.plans import listings
+from clipmill.sources.pages import read_pages
 
 
 @pytest.fixture
@@ -181,6 +184,35 @@ def test_paging(spark, monkeypatch):
     assert names(paging.page(df, 9, 10, ["k"])) == []
 
 
+def test_page_envelopes_read_back(spark, files, tmp_path):
+    for number in (1, 2, 3):
+        rows = files.drop("project_id").withColumn("duration_sec", F.lit(1.5)).withColumn("annotation_count", F.lit(2))
+        printed = paging.page_envelope(rows, "files", number, 2, ["name"])
+        body = json.loads(printed.head().json)
+        assert (body["page"], body["pageSize"], body["total"], body["totalPages"]) == (number, 2, 3, 2)
+        assert [i["id"] for i in body["files"]] == {1: ["f1", "f2"], 2: ["f3"], 3: []}[number]
+        printed.write.mode("append").text(str(tmp_path / "pages"))
+    found = {r.id: r for r in read_pages(spark, str(tmp_path / "pages"), "files").collect()}
+    assert set(found) == {"f1", "f2", "f3"} and found["f1"].test_reserved_at is None
+    with pytest.raises(ValueError):
+        paging.page_envelope(files, "files", 1, 10**9)
+
+
+def test_listings_stay_within_a_project(spark, annotations, files):
+    transcripts = spark.createDataFrame([("a1", "  hello  "), ("a2", " ")], "id string, asr_text string")
+    marked = annotations.withColumn("label_value", F.lit(1))
+    rows = listings.list_annotations(marked, files.drop("duration_sec"), transcripts, "p1").collect()
+    assert [(r.id, r.file_text, r.transcript_text) for r in sorted(rows)] == [
+        ("a1", "Call_100%.wav", "hello"),
+        ("a2", "Call_100%.wav", None),
+        ("a3", "call_2.wav", None),
+    ]
+    timed = files.withColumn("duration_sec", F.lit(2.25))
+    rows = {r.id: r for r in listings.list_files(timed, annotations, "p1").collect()}
+    assert set(rows) == {"f1", "f2"} and rows["f1"].annotation_count == 2 and rows["f1"].duration_text == "2.2s"
+    assert rows["f2"].test_text == "reserved" and rows["f1"].test_text == "—"
+
+
 def test_reservations_are_idempotent(files):
     changed, outcomes = changes.reserve_files(files, ["f1", "f2", "f1", "nope"], "now")
     assert {r.id: r.test_reserved_at for r in changed.collect()} == {"f1": "now", "f2": "2024-01-01T00:00:00Z", "f3": "t"}

@@ -101,7 +101,7 @@ def pcm_of(df: DataFrame, content: str = "bytes") -> DataFrame:
     """Decode canonical clips again and give their 16-bit values as text."""
     decoded = audio.decode_clips(df, content)
     values = F.transform("samples", lambda x: (x * F.lit(32768.0).cast("float")).cast("int"))
-    return decoded.withColumn("n_samples", F.size("samples")).withColumn("pcm", numbers_text(values))
+    return decoded.withColumn("n_samples", F.size("samples").cast("bigint")).withColumn("pcm", numbers_text(values))
 
 
 @query(
@@ -117,7 +117,7 @@ def _(t):
     mono = waveform.downmix(F.col("samples"), F.col("channels"))
     whole = F.transform("mono", lambda x: (x * F.lit(1048576.0).cast("float")).cast("int"))
     mixed = t.waveforms.select("clip_id", mono.alias("mono"))
-    return mixed.select("clip_id", F.size("mono").alias("n_samples"), numbers_text(whole).alias("mono"))
+    return mixed.select("clip_id", F.size("mono").cast("bigint").alias("n_samples"), numbers_text(whole).alias("mono"))
 
 
 @query(
@@ -131,7 +131,7 @@ def _(t):
     mono = t.waveforms.select("clip_id", "sample_rate", waveform.downmix(F.col("samples"), F.col("channels")).alias("mono"))
     changed = mono.select("clip_id", waveform.resample_linear(F.col("mono"), F.col("sample_rate")).alias("resampled"))
     whole = F.transform("resampled", lambda x: (x * F.lit(1048576.0).cast("float")).cast("int"))
-    return changed.select("clip_id", F.size("resampled").alias("n_samples"), numbers_text(whole).alias("resampled"))
+    return changed.select("clip_id", F.size("resampled").cast("bigint").alias("n_samples"), numbers_text(whole).alias("resampled"))
 
 
 @query(
@@ -152,7 +152,7 @@ def _(t):
 def _(t):
     pcm = waveform.canonical_pcm(F.col("samples"), F.col("channels"), F.col("sample_rate"))
     clips = t.waveforms.select("clip_id", pcm.alias("pcm"))
-    return clips.select("clip_id", F.size("pcm").alias("n_samples"), numbers_text(F.col("pcm")).alias("pcm"))
+    return clips.select("clip_id", F.size("pcm").cast("bigint").alias("n_samples"), numbers_text(F.col("pcm")).alias("pcm"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.operators import aggregates, changes, filters, joins, paging, splits, validate
 from clipmill.plans.freeze import manifest_rows
+from clipmill.schemas import MANIFEST, required_fields
 from workload.registry import query
 from workload.tables import Tables, oracle
 
@@ -128,29 +129,20 @@ def _(t):
     return filters.ready_exports(t.exports).select("id", "project_id", "status")
 
 
-@query(
-    "manifest_violations",
-    oracle(
-        """select * from (
-             select 'unknown split' as "rule", count(*) filter (where split not in ('train','validation','test')) violations,
-                    min(split) filter (where split not in ('train','validation','test')) sample from manifest
-             union all
-             select 'unknown label', count(*) filter (where label_key not in ('end_of_turn','continuation')),
-                    min(label_key) filter (where label_key not in ('end_of_turn','continuation')) from manifest
-             union all
-             select 'label_key is missing', count(*) filter (where label_key is null),
-                    min('label_key') filter (where label_key is null) from manifest
-             union all
-             select 'annotation_id is missing', count(*) filter (where annotation_id is null),
-                    min('annotation_id') filter (where annotation_id is null) from manifest
-           )""",
-        "annotations",
-        manifest=MANIFEST_SQL,
-    ),
-)
+def _rule_sql(rule: str, broken: str, shown: str) -> str:
+    return f"""select '{rule}' as "rule", count(*) filter (where {broken}) violations,
+                      min({shown}) filter (where {broken}) sample from manifest"""
+
+
+_RULES_SQL = [_rule_sql(f"{c} is missing", f"{c} is null", f"'{c}'") for c in required_fields(MANIFEST)] + [
+    _rule_sql("unknown split", "split not in ('train', 'validation', 'test')", "split"),
+    _rule_sql("unknown label", "label_key not in ('end_of_turn', 'continuation')", "label_key"),
+]
+
+
+@query("manifest_violations", oracle(" union all ".join(_RULES_SQL), "annotations", manifest=MANIFEST_SQL))
 def _(t):
-    shown = ["unknown split", "unknown label", "label_key is missing", "annotation_id is missing"]
-    return validate.manifest_violations(manifest(t)).where(F.col("rule").isin(shown))
+    return validate.manifest_violations(manifest(t))
 
 
 # ---- joins ----------------------------------------------------------------------------------
@@ -346,7 +338,7 @@ FINGERPRINT_COLUMNS = sorted(
     "source_file_sha256 labeller_id review_status split".split()
 )
 _WORDS = ", ".join(
-    f"cast(sum(('0x' || substr(h, {s}, 6))::BIGINT) as varchar)" for s in range(1, 65, 6)
+    f"cast(coalesce(sum(('0x' || substr(h, {s}, 6))::BIGINT), 0) as varchar)" for s in range(1, 65, 6)
 )
 
 
@@ -434,6 +426,30 @@ def _(t):
     return paging.page(t.annotations, 3, 20, ["created_at"]).select("id", "file_id", "label_key")
 
 
+@query(
+    "page_envelope",
+    oracle(
+        """select cast(i.id as varchar) id, i.name, i.duration_sec, 2 page, 25 page_size, (select count(*) from files) total,
+                  (select cast(ceil(count(*) / 25.0) as bigint) from files) total_pages
+           from (select id, name, duration_sec from files order by name, id limit 25 offset 25) i""",
+        "files",
+    ),
+)
+def _(t):
+    files = t.files.select("id", "name", "duration_sec")
+    printed = paging.page_envelope(files, "files", 2, 25, ["name"])
+    kind = (
+        "files array<struct<id:string,name:string,durationSec:double>>, page int, pageSize int, total bigint, totalPages bigint"
+    )
+    return printed.select(F.from_json("json", kind).alias("p")).select(
+        F.inline("p.files").alias("id", "name", "duration_sec"),
+        F.col("p.page").alias("page"),
+        F.col("p.pageSize").alias("page_size"),
+        F.col("p.total").alias("total"),
+        F.col("p.totalPages").alias("total_pages"),
+    )
+
+
 @query(
     "number_rows",
     oracle("select id, row_number() over (order by created_at, id) as row_number from annotations", "annotations"),

@@ -57,7 +57,7 @@ def _(t):
     "read_clips",
     oracle(
         """select concat(clip_id, '.wav') rel,
-                  44 + 64 * case clip_id % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end length from waveforms""",
+                  cast(44 + 64 * case clip_id % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as bigint) length from waveforms""",
         "waveforms",
     ),
 )
@@ -134,7 +134,7 @@ def _(t):
 
 _EXPORT_ROW = f"""
     select 'e1' id, 'p3' project_id, 'frozen' name, 'ready' status, count(*) clip_count,
-           cast(sum(length(label_key)) as bigint) total_bytes, 1 created_by, {FINGERPRINT_SQL} manifest_sha256"""
+           cast(sum(length(label_key)) as bigint) total_bytes, 1::BIGINT created_by, {FINGERPRINT_SQL} manifest_sha256"""
 
 
 @query(

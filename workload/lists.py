@@ -121,6 +121,47 @@ def _(t):
     return listings.list_projects(t.projects, page=2, page_size=10)
 
 
+@query(
+    "list_annotations_of_project",
+    oracle(
+        _ANNOTATION_ROWS.replace("from_source", "chosen"),
+        *_VIEWS,
+        chosen="""select * from annotations where file_id in (select id from files where project_id = 'p3')
+                  order by created_at, id limit 20 offset 20""",
+    ),
+)
+def _(t):
+    return listings.list_annotations(t.annotations, t.files, t.transcripts, "p3", page=2)
+
+
+@query(
+    "list_files_of_project",
+    oracle(
+        _FILE_ROWS.replace("from_source", "chosen"),
+        "files",
+        "annotations",
+        chosen="select * from files where project_id = 'p3' order by name, id limit 20",
+    ),
+)
+def _(t):
+    return listings.list_files(t.files, t.annotations, "p3")
+
+
+@query(
+    "list_exports_of_project",
+    oracle(
+        _EXPORT_ROWS.replace("from_source", "chosen"),
+        "exports",
+        "export_clips",
+        "users",
+        stats=_STATS,
+        chosen="select * from exports where project_id = 'p3' order by created_at, id limit 20",
+    ),
+)
+def _(t):
+    return listings.list_exports(t.exports, t.export_clips, t.users, "p3").drop("created_at")
+
+
 @query(
     "show_projects",
     oracle(
