@@ -21,6 +21,10 @@ from clipmill.sources.clips import canonical_clips
 from clipmill.sources.export_dir import Export
 
 
+# Spark reads Parquet in batches of 4,096 rows, which is too much memory for rows with audio.
+AUDIO_ROWS_PER_BATCH = "128"
+
+
 @dataclass(frozen=True)
 class AdaptResult:
     total: int
@@ -83,7 +87,8 @@ def adapt(
 
 def _write_good_and_bad(rows: DataFrame, out_dir: str, to_dataset) -> dict[str, int]:
     """Decode once into a working copy; good rows become the dataset, bad ones a side table."""
-    with storage.staged(rows, "decoded") as decoded:
+    small_batches = storage.setting(rows.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", AUDIO_ROWS_PER_BATCH)
+    with storage.staged(rows, "decoded") as decoded, small_batches:
         good = decoded.where(F.col("error").isNull()).drop("error")
         bad = decoded.where(F.col("error").isNotNull()).drop("bytes")
         bad.write.mode("overwrite").parquet(storage.join(out_dir, "quarantine.parquet"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,16 +15,6 @@ META_FILE = "export_meta.json"
 RECORDS_PER_FILE = 20_000
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def write_splits(
     df: DataFrame, out_dir: str, batch: int | None = None, records_per_file: int = RECORDS_PER_FILE
 ) -> list[str]:
@@ -40,7 +29,7 @@ def write_splits(
     """
     spark = df.sparkSession
     staging = storage.join(out_dir, f"_staging-{uuid.uuid4().hex}")
-    with _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(SPLITS) + 1)):
+    with storage.setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(SPLITS) + 1)):
         (
             df.write.partitionBy("split")
             .option("compression", "snappy")
