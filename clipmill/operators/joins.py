@@ -1,9 +1,9 @@
 """Lookups between catalogue tables.
 
-The lookup side is unique on its key. No side is forced to broadcast here: Spark broadcasts when
-its statistics are below ``spark.sql.autoBroadcastJoinThreshold``. Where a key may repeat without
-bound on the annotation side (one source file or creator can hold a large share of the rows) the
-rows are spread over salts, so a hot key never ends up in one task.
+The lookup side is unique on its key. Small lookups are left to Spark, which broadcasts them when
+its statistics are below ``spark.sql.autoBroadcastJoinThreshold``. Otherwise, since one source file
+or creator can hold a large share of the rows, the rows of hot keys are spread over salts, so that a
+hot key never ends up in one task.
 """
 
 from __future__ import annotations
@@ -13,27 +13,34 @@ from pyspark.sql import functions as F
 
 from clipmill.functions.fields import clip_rel_path
 
-DEFAULT_SALTS = 16
+# A key is hot with more than this share of the rows; there can be no more than a thousand such keys.
+HOT_SHARE = 0.001
 
 
 def spread_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    spread_by: str,
-    how: str = "left",
-    salts: int = DEFAULT_SALTS,
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, how: str = "left", plain: bool = False
 ) -> DataFrame:
     """Join of ``rows`` to ``lookup`` (unique on ``key``) that tolerates hot keys.
 
-    Every row gets a salt from a hash of its ``spread_by`` column and every lookup row is repeated
-    once per salt, so the rows of one key are shared by ``salts`` tasks. A lookup that Spark can
-    broadcast is joined as it is: nothing is shuffled then.
+    Rows are counted per key first, combining on the map side. Rows of a hot key get a salt from a
+    hash of their ``spread_by`` column, and the key's lookup row is repeated for each salt; all other
+    rows keep one salt. A lookup that Spark can broadcast, or one the caller knows to be small
+    (``plain``), is joined as it is.
     """
-    if salts <= 1 or fits_broadcast(lookup):
+    if plain or fits_broadcast(lookup):
         return rows.join(lookup, key, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where(F.col("_n") > total * HOT_SHARE).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)  # 1 / HOT_SHARE keys at most
+
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    # Null keys find nothing, wherever they go.
+    spread = F.col("_hot") | F.col(key).isNull()
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0))).drop("_hot")
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.join(hot, key, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
@@ -67,18 +74,18 @@ def missing_clips(manifest: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def annotations_with_files(
-    annotations: DataFrame, files: DataFrame, transcripts: DataFrame, salts: int = DEFAULT_SALTS
+    annotations: DataFrame, files: DataFrame, transcripts: DataFrame, plain: bool = False
 ) -> DataFrame:
     """File name and transcript next to each annotation, null where there is none."""
     names = files.select(F.col("id").alias("file_id"), F.col("name").alias("file_name"))
     texts = transcripts.select("id", "asr_text")
-    return spread_lookup(annotations, names, "file_id", "id", salts=salts).join(texts, "id", "left")
+    return spread_lookup(annotations, names, "file_id", "id", plain=plain).join(texts, "id", "left")
 
 
-def exports_with_creator(exports: DataFrame, users: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
+def exports_with_creator(exports: DataFrame, users: DataFrame) -> DataFrame:
     """Creator's login next to each export, null for unknown users."""
     logins = users.select(F.col("id").alias("created_by"), F.col("login").alias("created_by_login"))
-    return spread_lookup(exports, logins, "created_by", "id", salts=salts)
+    return spread_lookup(exports, logins, "created_by", "id")
 
 
 def resolve_label_set(projects: DataFrame, project_id: str, explicit: str | None = None) -> str:

@@ -9,7 +9,7 @@ from clipmill.functions import text
 from clipmill.functions.fields import json_text
 from clipmill.operators.aggregates import annotation_counts, with_export_stats
 from clipmill.operators.filters import filter_annotations, filter_files
-from clipmill.operators.joins import DEFAULT_SALTS, annotations_with_files, exports_with_creator, of_project
+from clipmill.operators.joins import annotations_with_files, exports_with_creator, of_project
 from clipmill.operators.paging import page as page_of
 from clipmill.schemas import DEFAULT_PAGE_SIZE
 
@@ -59,14 +59,12 @@ def list_annotations(
     if project_id is not None:
         matching = of_project(matching, files, project_id)
     chosen = _paged(matching, page, page_size, order_by)
-    salts = DEFAULT_SALTS
     if page is not None:
         files = _for_page(files, "id", chosen, "file_id", page_size)
         transcripts = _for_page(transcripts, "id", chosen, "id", page_size)
-        salts = 1
     # Transcripts are cut before they are joined, so that long texts are not shuffled.
     shown = text.truncate_width(text.clean_text(F.col("asr_text")), 80)
-    joined = annotations_with_files(chosen, files, transcripts.select("id", shown.alias("asr_text")), salts)
+    joined = annotations_with_files(chosen, files, transcripts.select("id", shown.alias("asr_text")), plain=page is not None)
     return joined.select(
         "id",
         text.short_id(F.col("id")).alias("id_text"),

@@ -92,19 +92,29 @@ def test_mark_reserved(annotations, files):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_lookup_equals_plain_join_with_a_hot_key(spark, conf, how):
+def test_salted_lookup_equals_plain_join_with_a_hot_key(spark, conf, monkeypatch, how):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
-    # One key holds a third of the rows.
-    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).cast("string")
+    # One key holds a third of the rows, another third has none; the rest are not hot.
+    monkeypatch.setattr(joins, "HOT_SHARE", 0.05)
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id") % 50).cast("string")
     rows = spark.range(3000).select("id", key.alias("k"))
     lookup = spark.range(5, 30).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
-    salted = joins.spread_lookup(rows, lookup, "k", "id", how, salts=8)
+    salted = joins.spread_lookup(rows, lookup, "k", "id", how)
     plain = rows.join(lookup, "k", how)
     assert salted.columns == plain.columns
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-    # The rows of the hot key are spread over more than one salt.
-    spread = rows.where("k = '7'").select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("s")).distinct().count()
-    assert spread == 8
+
+
+def test_rows_of_a_hot_key_meet_in_several_tasks(spark, conf, monkeypatch):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "8")
+    monkeypatch.setattr(joins, "HOT_SHARE", 0.05)
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    lookup = spark.range(4000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = joins.spread_lookup(rows, lookup, "k", "id").withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in joined.where("k = 7").groupBy("task").count().collect()]
+    assert sum(per_task) == 2001 and len(per_task) > 3 and max(per_task) < 1000
 
 
 def test_small_lookup_is_not_salted(spark):
