@@ -36,12 +36,19 @@ def store_clips(wavs: DataFrame, clips_dir: str) -> int:
     return write_clips(files, clips_dir).agg(F.count("written")).head()[0]
 
 
+# Exports written by this process, by application and data directory. Jobs only read them.
+_EXPORTS: dict[tuple[str, str], Export] = {}
+
+
 def export_on_disk(t: Tables) -> Export:
-    """Manifest and WAV files of the waveforms, in a fresh shared directory."""
-    root = storage.scratch_dir(t.spark, "export")
-    store_clips(source_wavs(t), storage.join(root, "clips"))
-    write_manifest(t.clip_manifest, root)
-    return open_export(t.spark, root)
+    """Manifest and WAV files of all waveforms, in a shared directory."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _EXPORTS:
+        root = storage.scratch_dir(t.spark, "export")
+        store_clips(source_wavs(t), storage.join(root, "clips"))
+        write_manifest(t.clip_manifest, root)
+        _EXPORTS[key] = open_export(t.spark, root)
+    return _EXPORTS[key]
 
 
 # ---- sources and sinks ------------------------------------------------------------------------
