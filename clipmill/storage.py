@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,26 +61,29 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode("utf-8"))
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
+_local_roots: list[str] = []
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh directory in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder of this machine.
+    Where it is unset, a local-mode session gets one temporary folder for the process, removed at its
+    end; on a cluster the setting must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="clipmill-")
-    path = join(root, f"{label}-{uuid.uuid4().hex}")
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local_roots:
+        _local_roots.append(tempfile.mkdtemp(prefix="clipmill-"))
+        atexit.register(shutil.rmtree, _local_roots[0], ignore_errors=True)
+    return _local_roots[0]
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh directory in the shared folder."""
+    path = join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
     make_dirs(spark, path)
     return path
 
