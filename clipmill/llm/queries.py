@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import quality_rules, sharding
+from clipmill.llm import near_dedup, quality_rules, sharding
 from clipmill.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,7 +35,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near copies."""
+    return near_dedup.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_near_dedup": op7_near_dedup,
 }
