@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import near_dedup, quality_rules, sharding
+from clipmill.llm import decontaminate, near_dedup, quality_classifier, quality_rules, sharding
+from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +31,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document; documents without one are clean and have no row."""
+    documents, benchmark = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.find_passages(documents, benchmark)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot on a ring of 16 shards."""
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -40,8 +47,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; the fold with remainder 2 of 4 teaches nothing."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 4, 2))
+    model = quality_classifier.train(documents, labels)
+    rows = quality_classifier.score(documents, model)
+    return rows.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
 }

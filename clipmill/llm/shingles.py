@@ -16,7 +16,7 @@ _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _BACK = pow(_STEP, -1, 2**64)
 _NEXT = np.uint64(0xD1342543DE82EF95)
 #: Bytes of text handled at a time; a longer text is handled alone and whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
