@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipmill import storage
 
@@ -44,6 +45,12 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def scored(rows: DataFrame) -> T.StructType:
+    """The columns of ``rows`` with a classifier's ``score`` and ``predicted``."""
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return T.StructType([*rows.schema.fields, *added])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as written to the shared checkpoint folder, with the lineage cut there."""
     spark = df.sparkSession

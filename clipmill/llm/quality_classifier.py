@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmill.llm.common import others, quoted
+from clipmill.llm.common import others, quoted, scored
 from clipmill.shipping import ship
 
 ADDED = ("score", "predicted")
@@ -140,4 +140,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names = [*batch.schema.names, *ADDED]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), marks], names=names)
 
-    return rows.mapInArrow(run, rows.schema.add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(run, scored(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import decontaminate, near_dedup, quality_classifier, quality_rules, sharding
+from clipmill.llm import decontaminate, near_dedup, quality_classifier, quality_rules, sharding, toxicity
 from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
@@ -37,6 +37,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(documents, benchmark)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; the fold with remainder 1 of 3 teaches nothing."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 3, 1))
+    rows = toxicity.score(documents, toxicity.train(documents, labels))
+    return rows.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot on a ring of 16 shards."""
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -59,6 +67,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
