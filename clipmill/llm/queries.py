@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
@@ -37,6 +37,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(documents, benchmark)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded once."""
+    documents = _table(spark, sf_dir, "documents")
+    return token_counts.attribute(documents, token_counts.read_vocabulary())
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share in the mix of all sources."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -73,6 +79,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
