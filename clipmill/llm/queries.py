@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
 from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
@@ -76,6 +76,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; a page is labelled through the document whose number ends its path."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_rules.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    numbered = pages.select("url", number.try_cast("long").alias("doc_id"))
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("quality") == 0).alias("block"))
+    mined = url_rules.mine(numbered.join(labels, "doc_id").select("url", "block"))
+    return url_rules.judge(pages, mined).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -85,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_url_filter": op9_url_filter,
 }
