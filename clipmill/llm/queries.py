@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
+from clipmill.llm import decontaminate, html_extract, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
 from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
@@ -86,6 +86,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, mined).drop("url")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train(pages)).drop("html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -96,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extraction": op10_html_extraction,
 }
