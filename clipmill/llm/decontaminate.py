@@ -112,14 +112,14 @@ class Passages:
         rank = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         entry = np.repeat(self.first[slot], counts) + rank
         item = self.item[entry]
-        diagonal = np.repeat(at, counts) - self.place[entry] + self.largest
+        diagonal = np.repeat(at, counts) - self.place[entry] + 2 * self.largest
         width = self.edits[item] + 1
         low = diagonal // width
-        span = np.int64(len(data) + 2 * self.largest + 2)
+        span = np.int64(len(data) + 3 * self.largest + 2)
         keys, shared = np.unique(np.concatenate((item * span + low, item * span + low - 1)), return_counts=True)
         items, low = keys // span, keys % span
         enough = shared >= self.bound[items]
-        return [(int(i), int(b * (self.edits[i] + 1) - self.largest)) for i, b in zip(items[enough], low[enough])]
+        return [(int(i), int(b * (self.edits[i] + 1) - 2 * self.largest)) for i, b in zip(items[enough], low[enough])]
 
     @property
     def largest(self) -> int:
@@ -132,14 +132,14 @@ def aligned(
     """Fewest edits between ``passage`` and a stretch of ``data``, and where the stretch ends.
 
     Only diagonals ``low`` to ``low + width - 1`` are filled. With ``free`` the stretch may start on
-    any of them, else at ``low``. Stops as soon as more than ``most`` edits are certain.
+    any of them, else at the first letter. Stops as soon as more than ``most`` edits are certain.
     """
     steps = np.arange(width)
     padded = np.full(len(passage) + width, 256, dtype=np.int16)  # 256 matches nothing
     a, b = max(low, 0), min(low + len(padded), len(data))
     if b > a:
         padded[a - low : b - low] = data[a:b]
-    cost = np.zeros(width, dtype=np.int64) if free else steps.astype(np.int64)
+    cost = np.zeros(width, dtype=np.int64) if free else np.where(steps + low < 0, 2 * len(passage) + width, steps + low)
     for i, letter in enumerate(passage):
         best = cost + (padded[i : i + width] != letter)
         best[:-1] = np.minimum(best[:-1], cost[1:] + 1)
@@ -173,7 +173,7 @@ def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int,
             if cost > edits:
                 continue
             end = min(max(end, 0), len(body))
-            back = aligned(passage[::-1], body[:end][::-1], 0, edits + 1, edits, free=False)
+            back = aligned(passage[::-1], body[:end][::-1], -edits, 2 * edits + 1, edits, free=False)
             start = max(end - back[1], 0)
         key = (text, item, end)
         if key not in found or cost < found[key][1]:
