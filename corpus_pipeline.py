@@ -33,9 +33,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by_text = -1 - F.xxhash64(F.col("text")).bitwiseAND((1 << 62) - 1)
     key = F.coalesce(F.col("doc_id").cast("long"), by_text)
     groups = near_dedup.link_components(docs.select(key.alias("doc_id"), "text"))
-    kept = cut(groups.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    once = docs.join(kept.where("rows = 1"), key == kept.doc_id, "left_semi")
-    more = docs.join(kept.where("rows > 1"), key == kept.doc_id, "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = cut(groups.where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    once = docs.join(kept.where("_rows = 1"), key == F.col("_kept"), "left_semi")
+    more = docs.join(kept.where("_rows > 1"), key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(more)
 
 
