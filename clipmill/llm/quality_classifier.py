@@ -109,7 +109,7 @@ class Model:
         if not texts:
             return np.empty(0)
         x = np.array([self.numbers((t or "").encode("utf-8", "surrogatepass")) for t in texts])
-        return 1 / (1 + np.exp(-np.clip(self._inputs(x) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self._inputs(x) * self.weights).sum(1), -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
