@@ -132,5 +132,10 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.btrim(c, F.lit(_WHITE_SPACE)), F.lit(""))
 
 
+def unless_blank(c: Column) -> Column:
+    """The text as it is; one of white space only becomes null."""
+    return F.when(clean_text(c).isNotNull(), c)
+
+
 def or_dash(c: Column, dash: str = "-") -> Column:
     return F.coalesce(c.cast("string"), F.lit(dash))

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmill import storage
 from clipmill.operators.aggregates import page_info
 from clipmill.schemas import DEFAULT_PAGE_SIZE, wire_name
 
-# Pages ending beyond this row are deep.
-FRONT_ROWS = 100_000
 
-# An envelope is one JSON text.
-ENVELOPE_ROWS = 10_000
 
+def _orders(order_by: Sequence[str], id_column: str) -> list[tuple[str, bool]]:
+    """(column, descending) of each key; the id comes last and breaks ties."""
+    keys = [(c.removeprefix("-"), c.startswith("-")) for c in order_by]
+    return keys if any(c == id_column for c, _ in keys) else [*keys, (id_column, False)]
 
-def _keys(order_by: Sequence[str], id_column: str) -> list[str]:
-    return [*[c for c in order_by if c != id_column], id_column]
+
+def _sorting(order_by: Sequence[str], id_column: str) -> list[Column]:
+    return [F.desc(c) if down else F.asc(c) for c, down in _orders(order_by, id_column)]
 
 
 def _check(page_size: int, page: int = 1) -> None:
@@ -36,20 +36,20 @@ def page(
 ) -> DataFrame:
     """One 1-based page; the id breaks ties, a page past the end is empty.
 
-    Near the front, Spark keeps the best ``page * page_size`` rows per partition. That many rows
-    would meet in one place for a deep page, so those are looked up by row number in a sorted copy
-    instead. To walk a listing from the front, :func:`page_after` is the cheap way.
+    A column named with a leading ``-`` is ordered downwards. Nulls come first upwards, last
+    downwards. Spark keeps the best ``page * page_size`` rows of each partition, so this is for pages
+    near the front: to walk a listing use :func:`page_after`, to jump about in it :func:`number_rows`
+    and :func:`numbered_page`.
     """
     _check(page_size, page)
-    return _rows_from(df, (page - 1) * page_size, page_size, order_by, id_column)
+    return df.orderBy(*_sorting(order_by, id_column)).offset((page - 1) * page_size).limit(page_size)
 
 
-def _rows_from(df: DataFrame, skip: int, size: int, order_by: Sequence[str], id_column: str) -> DataFrame:
-    if skip + size <= FRONT_ROWS:
-        return df.orderBy(*_keys(order_by, id_column)).offset(skip).limit(size)
-    copy = storage.join(storage.scratch_dir(df.sparkSession, "listing"), "rows")
-    numbered = number_rows(df, copy, order_by, id_column)
-    here = (F.col("row_number") > skip) & (F.col("row_number") <= skip + size)
+def numbered_page(numbered: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """One page of a listing that :func:`number_rows` has written, without sorting it again."""
+    _check(page_size, page)
+    last = page * page_size
+    here = (F.col("row_number") > last - page_size) & (F.col("row_number") <= last)
     return numbered.where(here).orderBy("row_number").drop("row_number")
 
 
@@ -63,13 +63,13 @@ def page_envelope(
 ) -> DataFrame:
     """One row ``json``: the page as listings print it, ``{<item_key>: [...], page, pageSize, ...}``."""
     _check(page_size, page)
-    if page_size > ENVELOPE_ROWS:
-        raise ValueError(f"an envelope holds at most {ENVELOPE_ROWS} rows; {page_size} need several pages")
-    keys = _keys(order_by, id_column)
+    sorting = _sorting(order_by, id_column)
     item = F.struct(*[F.col(c).alias(wire_name(c)) for c in df.columns])
-    # The order keys lead the pair, so sorting the pairs (a page of them) restores the page's order.
-    pairs = F.sort_array(F.collect_list(F.struct(F.struct(*keys).alias("key"), item.alias("item"))))
-    rows = _rows_from(df, (page - 1) * page_size, page_size, order_by, id_column)
+    start = (page - 1) * page_size
+    rows = df.orderBy(*sorting).offset(start).limit(page_size)
+    # The place on the page leads the pair, so sorting the pairs restores the page's order.
+    rows = rows.withColumn("_place", F.row_number().over(Window.orderBy(*sorting)))
+    pairs = F.sort_array(F.collect_list(F.struct("_place", item.alias("item"))))
     items = rows.agg(F.transform(pairs, lambda pair: pair["item"]).alias(item_key))
     info = page_info(df, page, page_size).drop("next_page")
     counts = info.select(F.struct(*[F.col(c).alias(wire_name(c)) for c in info.columns])).scalar()
@@ -85,8 +85,7 @@ def number_rows(
     The sort is spread over ranges. A row's number is its place within its range plus the sizes of
     the ranges before, so no task sees more than one range.
     """
-    keys = _keys(order_by, id_column)
-    df.orderBy(*keys).withColumn("_place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    df.orderBy(*_sorting(order_by, id_column)).withColumn("_place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     # The upper bits of a place are the range, the lower 33 the row within it.
     placed = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_place", 33))
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -109,13 +108,22 @@ def page_after(
 ) -> DataFrame:
     """The page after the row with the key values ``last`` (``None``: the first page).
 
-    The bound on the leading key reaches the scan as a filter. Order keys must not be null.
+    Order and nulls are those of :func:`page`. The bound on the leading key reaches the scan as a
+    filter, unless nulls on its far side may follow.
     """
     _check(page_size)
-    keys = _keys(order_by, id_column)
     if last is not None:
-        row_key = F.struct(*keys)
-        last_key = F.struct(*[F.lit(last[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
-        lead = F.col(keys[0]) >= F.lit(last[keys[0]]).cast(df.schema[keys[0]].dataType)
-        df = df.where(lead & (row_key > last_key))
-    return df.orderBy(*keys).limit(page_size)
+        after, same = F.lit(False), F.lit(True)
+        for k, (name, down) in enumerate(_orders(order_by, id_column)):
+            key, bound = F.col(name), F.lit(last[name]).cast(df.schema[name].dataType)
+            if last[name] is None:  # nulls come first upwards, last downwards
+                beyond, reached = (F.lit(False), key.isNull()) if down else (key.isNotNull(), F.lit(True))
+            elif down:
+                beyond, reached = (key < bound) | key.isNull(), (key <= bound) | key.isNull()
+            else:
+                beyond, reached = key > bound, key >= bound
+            if k == 0:
+                df = df.where(reached)
+            after, same = after | (same & beyond), same & key.eqNullSafe(bound)
+        df = df.where(F.coalesce(after, F.lit(False)))
+    return df.orderBy(*_sorting(order_by, id_column)).limit(page_size)

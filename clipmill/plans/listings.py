@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipmill import storage
 from clipmill.functions import text
 from clipmill.functions.fields import json_text
 from clipmill.operators.aggregates import annotation_counts, with_export_stats
@@ -15,33 +16,27 @@ from clipmill.schemas import DEFAULT_PAGE_SIZE
 
 NOT_SET = "—"
 
-# Pages up to this many rows are held by the driver and broadcast.
-HELD_PAGE = 10_000
-
 
 def _paged(df: DataFrame, page: int | None, page_size: int, order_by) -> DataFrame:
     """The page, or with ``page=None`` the whole table unordered.
 
-    A page is looked up at once and kept as a small local table: the tables joined to it would
-    otherwise each sort the listing again.
+    A page is looked up at once and kept in the shared folder: the tables joined to it would otherwise
+    each sort the listing again.
     """
     if page is None:
         return df
-    chosen = page_of(df, page, page_size, order_by)
-    if page_size > HELD_PAGE:
-        return chosen
-    return df.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most page_size rows
+    return storage.checkpointed(page_of(df, page, page_size, order_by))
 
 
 def _in_project(df: DataFrame, project_id: str | None) -> DataFrame:
     return df if project_id is None else df.where(F.col("project_id") == project_id)
 
 
-def _for_page(lookup: DataFrame, key: str, chosen: DataFrame, chosen_key: str, page_size: int) -> DataFrame:
+def _for_page(lookup: DataFrame, key: str, chosen: DataFrame, chosen_key: str) -> DataFrame:
     """The lookup rows a page needs, so that big tables are filtered before they are joined."""
     keys = chosen.select(F.col(chosen_key).alias(key)).distinct()
-    # A page has at most page_size keys, which bounds the broadcast.
-    return lookup.join(F.broadcast(keys) if page_size <= HELD_PAGE else keys, key, "left_semi")
+    # The page is one task's rows already, so its keys may go to every task.
+    return lookup.join(F.broadcast(keys), key, "left_semi")
 
 
 def list_annotations(
@@ -60,8 +55,8 @@ def list_annotations(
         matching = of_project(matching, files, project_id)
     chosen = _paged(matching, page, page_size, order_by)
     if page is not None:
-        files = _for_page(files, "id", chosen, "file_id", page_size)
-        transcripts = _for_page(transcripts, "id", chosen, "id", page_size)
+        files = _for_page(files, "id", chosen, "file_id")
+        transcripts = _for_page(transcripts, "id", chosen, "id")
     # Transcripts are cut before they are joined, so that long texts are not shuffled.
     shown = text.truncate_width(text.clean_text(F.col("asr_text")), 80)
     joined = annotations_with_files(chosen, files, transcripts.select("id", shown.alias("asr_text")), plain=page is not None)
@@ -88,7 +83,7 @@ def list_files(
     """Id, name, duration, annotation count and reservation mark of each file."""
     chosen = _paged(filter_files(_in_project(files, project_id), **filters), page, page_size, order_by)
     if page is not None:
-        annotations = _for_page(annotations, "file_id", chosen, "id", page_size)
+        annotations = _for_page(annotations, "file_id", chosen, "id")
     reserved = F.when(F.col("test_reserved_at").isNotNull(), F.lit("reserved"))
     return annotation_counts(chosen, annotations).select(
         "id",
@@ -111,7 +106,7 @@ def list_exports(
     """Id, name, status, clip count, creator and any error of each export."""
     chosen = _paged(_in_project(exports, project_id), page, page_size, order_by)
     if page is not None:
-        clips = _for_page(clips, "export_id", chosen, "id", page_size)
+        clips = _for_page(clips, "export_id", chosen, "id")
     full = exports_with_creator(with_export_stats(chosen, clips), users)
     return full.select(
         "id",
@@ -132,7 +127,7 @@ def show_exports(exports: DataFrame, clips: DataFrame, users: DataFrame) -> Data
     return full.select(
         "id",
         "name",
-        text.clean_text(description).alias("description"),
+        text.unless_blank(description).alias("description"),
         "project_id",
         "status",
         "clip_count",
@@ -166,7 +161,7 @@ def show_projects(details: DataFrame, document: str = "detail") -> DataFrame:
     return details.select(
         field("id").alias("id"),
         field("name").alias("name"),
-        text.clean_text(field("description", None)).alias("description"),
+        text.unless_blank(field("description", None)).alias("description"),
         field("createdAt").alias("created_at"),
         field("updatedAt").alias("updated_at"),
         field("activeLabelSetId", None).alias("label_set"),

@@ -472,6 +472,24 @@ def _(t):
     return found.select("id", "name", "duration_sec")
 
 
+_REVIEW_SQL = "select id, review_status, created_at from annotations order by review_status {down} nulls {nulls}, id"
+
+
+@query("page_after_nulls", oracle(_REVIEW_SQL.format(down="", nulls="first") + " limit 500 offset 300", "annotations"))
+def _(t):
+    """The page after a row whose order key is null."""
+    rows = t.annotations.select("id", "review_status", "created_at")
+    last = paging.page(rows, 300, 1, ["review_status"]).first()
+    return paging.page_after(rows, last.asDict(), 500, ["review_status"])
+
+
+@query("page_after_descending", oracle(_REVIEW_SQL.format(down="desc", nulls="last") + " limit 500 offset 300", "annotations"))
+def _(t):
+    rows = t.annotations.select("id", "review_status", "created_at")
+    last = paging.page(rows, 300, 1, ["-review_status"]).first()
+    return paging.page_after(rows, last.asDict(), 500, ["-review_status"])
+
+
 # ---- table changes --------------------------------------------------------------------------
 
 # Ids to reserve: every part key, of which only some are files.

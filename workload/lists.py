@@ -98,7 +98,7 @@ _SIZE = """case when total_bytes < 1024 then concat(total_bytes, ' B')
                 when total_bytes < 1048576 then printf('%.1f KB', total_bytes / 1024.0::DOUBLE)
                 else printf('%.1f MB', total_bytes / 1048576.0::DOUBLE) end"""
 _SHOW = f"""
-    select e.id, e.name, cast(null as varchar) description, e.project_id, e.status, s.clip_count,
+    select e.id, e.name, case when trim(e.description) <> '' then e.description end description, e.project_id, e.status, s.clip_count,
            case when s.total_bytes is not null then {_SIZE} end bytes_text, e.error_message, u.login created_by_login
     from exports e left join stats s on s.export_id = e.id left join users u on u.id = e.created_by where_clause"""
 
@@ -165,7 +165,7 @@ def _(t):
 @query(
     "show_projects",
     oracle(
-        """select id, name, case when active_label_set_id is not null then 'about ' || name end description, created_at,
+        """select id, name, case when active_label_set_id is not null then ' about ' || name || ' ' end description, created_at,
                   '-' updated_at, active_label_set_id label_set, 'user' as "role" from projects""",
         "projects",
     ),
@@ -175,7 +175,9 @@ def _(t):
         F.struct(
             "id",
             "name",
-            F.when(F.col("active_label_set_id").isNotNull(), F.concat(F.lit(" about "), "name", F.lit(" "))).alias("description"),
+            F.when(F.col("active_label_set_id").isNotNull(), F.concat(F.lit(" about "), "name", F.lit(" ")))
+            .otherwise(F.lit(" \t "))
+            .alias("description"),
             F.col("created_at").alias("createdAt"),
             F.col("active_label_set_id").alias("activeLabelSetId"),
             F.lit("user").alias("role"),

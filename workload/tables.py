@@ -34,13 +34,14 @@ VIEWS = {
                case when n_regionkey <> 4 then concat('ls', cast(n_regionkey as string)) end active_label_set_id,
                concat('2024-01-', lpad(cast(n_nationkey + 1 as string), 2, '0'), 'T00:00:00Z') created_at
         from {nation}""",
-    "users": "select s_suppkey id, s_name login from {supplier} where s_suppkey < 5",
+    "users": "select s_suppkey id, s_name login from {supplier}",
     "exports": """
         select cast(o_orderkey as string) id, concat('p', cast(o_custkey % 25 as string)) project_id,
                concat('export ', cast(o_orderkey as string)) name,
                case o_orderstatus when 'F' then 'ready' when 'O' then 'pending' else 'failed' end status,
-               o_custkey % 7 created_by, o_orderdate created_at,
-               case when o_orderstatus = 'P' then concat('priority ', o_orderpriority) end error_message
+               o_custkey % 1500 created_by, o_orderdate created_at,
+               case when o_orderstatus = 'P' then concat('priority ', o_orderpriority) end error_message,
+               case o_orderkey % 3 when 0 then concat('  asked for as ', o_orderpriority, ' ') when 1 then '   ' end description
         from {orders}""",
     "export_clips": """
         select cast(l_orderkey as string) export_id, cast(l_quantity * 1000 as bigint) length from {lineitem}""",
