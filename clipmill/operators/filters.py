@@ -53,6 +53,10 @@ def _comparable(df: DataFrame, bound: str) -> tuple[Column, Column]:
     created, kind = F.col("created_at"), df.schema["created_at"].dataType
     if isinstance(kind, T.TimestampNTZType):
         return created, F.lit(at.replace(tzinfo=None).isoformat(" ")).cast(kind)
+    if isinstance(kind, T.StringType):  # a zone is Z or an offset behind a time of day
+        zoned, timed = created.rlike(r"[T ].*(Z|[+-]\d{2}:?\d{2})\s*$"), created.rlike("[T ]")
+        utc = F.concat(created, F.when(timed, F.lit("Z")).otherwise(F.lit("T00:00:00Z")))
+        created = F.when(zoned, created).otherwise(utc)
     return created.cast("timestamp"), F.lit(at.isoformat()).cast("timestamp")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmill.schemas import SPLITS
-from clipmill.spec import SplitPolicy
+from clipmill.spec import SplitPolicy, check_ratios
 
 # Column whose value decides a row's split, per kind.
 SPLIT_KEYS = {"random": "id", "by_source_file": "file_id", "by_labeller": "created_by"}
@@ -61,6 +61,7 @@ def assign_split(
     ``exact`` hits the quotas to the row, for kind ``random`` only.
     """
     reserved = use_reserved is True
+    check_ratios(tuple(policy.ratios), reserved)
     limits = split_limits(policy.ratios, reserved)
     if exact:
         if policy.kind != "random":

@@ -11,12 +11,26 @@ from clipmill.schemas import DEFAULT_SEED, SPLIT_KINDS
 RATIO_TOLERANCE = 1e-6
 
 
-def parse_ratios(raw: str, reserved: bool = False) -> tuple[float, float, float]:
-    """Read ``"train,validation,test"`` shares.
+def check_ratios(shares: tuple[float, ...], reserved: bool = False) -> tuple[float, float, float]:
+    """The shares of train, validation and test, or an error.
 
-    With reserved test files the test share comes from those files, so the text is either a pair
-    or a triple ending in 0, and the result always ends in 0.
+    With reserved test files the test share comes from those files, so it must be left out or 0.
     """
+    if any(not math.isfinite(share) or share < 0 for share in shares):
+        raise ValueError(f"ratios must be finite and not negative, got {shares}")
+    if len(shares) != 3 and not (reserved and len(shares) == 2):
+        raise ValueError(f"three ratios are needed (two if test files are reserved), got {shares}")
+    if reserved:
+        if len(shares) == 3 and shares[2] > RATIO_TOLERANCE:
+            raise ValueError(f"with reserved test files the test ratio must be 0, got {shares}")
+        shares = (shares[0], shares[1], 0.0)
+    if abs(math.fsum(shares) - 1.0) > RATIO_TOLERANCE:
+        raise ValueError(f"ratios must sum to 1.0, got {shares}")
+    return tuple(shares)
+
+
+def parse_ratios(raw: str, reserved: bool = False) -> tuple[float, float, float]:
+    """Read ``"train,validation,test"`` shares, with reserved test files also a pair."""
     texts = [part.strip() for part in raw.split(",")]
     if len(texts) not in (2, 3):
         raise ValueError(f"ratios need two or three comma-separated numbers, got {raw!r}")
@@ -24,17 +38,7 @@ def parse_ratios(raw: str, reserved: bool = False) -> tuple[float, float, float]
         shares = [float(text) for text in texts]
     except ValueError as bad:
         raise ValueError(f"ratios {raw!r} hold something that is not a number: {bad}") from None
-    if any(not math.isfinite(share) or share < 0 for share in shares):
-        raise ValueError(f"ratios must be finite and not negative, got {raw!r}")
-    if not reserved and len(shares) != 3:
-        raise ValueError(f"three ratios are needed unless test files are reserved, got {raw!r}")
-    if reserved:
-        if len(shares) == 3 and shares[2] > RATIO_TOLERANCE:
-            raise ValueError(f"with reserved test files the test ratio must be 0, got {raw!r}")
-        shares = [shares[0], shares[1], 0.0]
-    if abs(math.fsum(shares) - 1.0) > RATIO_TOLERANCE:
-        raise ValueError(f"ratios must sum to 1.0, got {raw!r}")
-    return tuple(shares)
+    return check_ratios(tuple(shares), reserved)
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,7 @@ class SplitPolicy:
     def __post_init__(self):
         if self.kind not in SPLIT_KINDS:
             raise ValueError(f"unknown split kind {self.kind!r}; expected one of {SPLIT_KINDS}")
+        check_ratios(tuple(self.ratios))
 
 
 @dataclass(frozen=True)
@@ -65,6 +70,9 @@ class ExportSpec:
     use_reserved_test_files: bool | None = None
     split: SplitPolicy = field(default_factory=SplitPolicy)
 
+    def __post_init__(self):
+        check_ratios(tuple(self.split.ratios), self.use_reserved_test_files is True)
+
     @property
     def statuses(self) -> tuple[str, ...]:
         return tuple(self.review_statuses) or ("approved",)

@@ -68,3 +68,20 @@ def test_spec_json_keeps_set_fields():
         "createdAtFrom": "2024-01-01T00:00:00Z",
         "useReservedTestFiles": False,
     }
+
+
+@pytest.mark.parametrize("ratios", [(5, -3, 9), (0.5, 0.4, 0.2), (0.5, 0.5), (float("nan"), 0.5, 0.5), (0.2, 0.2, 0.2)])
+def test_a_policy_refuses_what_the_text_refuses(ratios):
+    with pytest.raises(ValueError):
+        SplitPolicy(ratios=ratios)
+
+
+@pytest.mark.parametrize("ratios, fits", [((0.8, 0.1, 0.1), False), ((0.0, 0.0, 1.0), False), ((0.9, 0.1, 0.0), True), ((1.0, 0.0, 0.0), True)])
+def test_a_reserved_export_leaves_the_test_share_empty(ratios, fits):
+    make = lambda: ExportSpec("p", "n", use_reserved_test_files=True, split=SplitPolicy(ratios=ratios))
+    if fits:
+        assert make().split.ratios == ratios
+    else:
+        with pytest.raises(ValueError, match="test ratio"):
+            make()
+    assert ExportSpec("p", "n", split=SplitPolicy(ratios=ratios)).split.ratios == ratios
