@@ -53,6 +53,8 @@ def binary_endpoint(rows: DataFrame, language: str) -> DataFrame:
     return rows.select(*columns, "split")
 
 
+QUARANTINE = "quarantine.parquet"
+
 # name -> function(rows with canonical bytes, **options) -> dataset rows plus split
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {"binary_endpoint": binary_endpoint}
 
@@ -76,23 +78,28 @@ def adapt(
         profile = validate_manifest(manifest)
         rows = canonical_clips(spark, manifest, export.clips_dir, profile, how)
         if on_error == "quarantine":
-            counts = _write_good_and_bad(rows, out_dir, to_dataset)
+            counts = write_good_and_bad(rows, out_dir, to_dataset)
         else:
             counts = profile.split_counts
             write_splits(to_dataset(settle_errors(rows, on_error)), out_dir)
+            storage.remove(spark, storage.join(out_dir, QUARANTINE))  # of an earlier run
     params = {"manifest": export.manifest_path, "clips_dir": export.clips_dir, "language": language}
     write_dataset_card(spark, out_dir, counts, params)
     return AdaptResult(sum(counts.values()), counts)
 
 
-def _write_good_and_bad(rows: DataFrame, out_dir: str, to_dataset) -> dict[str, int]:
-    """Decode once into a working copy; good rows become the dataset, bad ones a side table."""
+def write_good_and_bad(rows: DataFrame, out_dir: str, to_dataset, batch: int | None = None) -> dict[str, int]:
+    """Decode once into a working copy; good rows become the dataset, bad ones a side table.
+
+    With ``batch`` only that batch's part of both is replaced.
+    """
+    aside = storage.join(out_dir, QUARANTINE, *([] if batch is None else [f"batch={batch}"]))
     small_batches = storage.setting(rows.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", AUDIO_ROWS_PER_BATCH)
     with storage.staged(rows, "decoded") as decoded, small_batches:
         good = decoded.where(F.col("error").isNull()).drop("error")
         bad = decoded.where(F.col("error").isNotNull()).drop("bytes")
-        bad.write.mode("overwrite").parquet(storage.join(out_dir, "quarantine.parquet"))
-        write_splits(to_dataset(good), out_dir)
+        bad.write.mode("overwrite").parquet(aside)
+        write_splits(to_dataset(good), out_dir, batch=batch)
         return {r["split"]: r["n"] for r in split_counts(good).collect()}  # three rows at most
 
 

@@ -55,6 +55,19 @@ DATASET = T.StructType(
     ]
 )
 
+#: What the dataset's fields hold, for readers of its card.
+DATASET_FIELDS = {
+    "annotation_id": "the labelled stretch this clip was cut for",
+    "audio": f"the sound as a {TARGET_RATE} Hz one-channel WAV, with its place in the export",
+    "endpoint_bool": ", ".join(f"{value} if labelled {label}" for label, value in BINARY_LABELS.items()),
+    "language": "the tag given when the dataset was made",
+    "clip_sha256": "digest of the clip before conversion",
+    "source_file_id": "the recording the clip comes from; keep one recording in one split",
+    "source_file_sha256": "digest of that recording",
+    "labeller_id": "who labelled it",
+    "clip_duration_sec": "length before conversion, in seconds",
+}
+
 ANNOTATIONS = T.StructType(
     [
         _field("id", T.StringType()),

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from clipmill import storage
 from clipmill.operators.audio import settle_errors
 from clipmill.operators.validate import validate_manifest
-from clipmill.plans.adapt import ADAPTERS
-from clipmill.sinks.dataset import write_splits
+from clipmill.plans.adapt import ADAPTERS, write_good_and_bad
+from clipmill.schemas import SPLITS
+from clipmill.sinks.dataset import write_dataset_card, write_splits
 from clipmill.sources.clips import canonical_clips
 from clipmill.sources.manifest import checked_records, nonblank_lines, parse_manifest
 
 
+def _on_disk(spark: SparkSession, out_dir: str) -> dict[str, int]:
+    """Rows of each split written so far, as the files' footers tell."""
+    paths = {split: storage.join(out_dir, f"{split}.parquet") for split in SPLITS}
+    return {split: spark.read.parquet(path).count() for split, path in paths.items() if storage.exists(spark, path)}
+
+
 def adapt_stream(
     spark: SparkSession,
     manifest_dir: str,
@@ -23,12 +32,15 @@ def adapt_stream(
     language: str,
     adapter: str = "binary_endpoint",
     how: str = "auto",
+    on_error: str = "fail",
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Adapt every manifest file of a directory once, then stop; run again to take in new files.
 
     The checkpoint remembers the files done. Each micro-batch is validated like a whole manifest
     and goes to ``{split}.parquet/batch=<id>``; a bad manifest stops the stream before it writes.
+    With ``on_error='quarantine'`` rows whose clip is broken go to ``quarantine.parquet``, by batch
+    too. The card is written anew after each batch, from the rows on disk.
     """
 
     def handle(lines: DataFrame, batch_id: int) -> None:
@@ -36,9 +48,16 @@ def adapt_stream(
             profile = validate_manifest(manifest, allow_empty=True)
             if profile.total == 0:
                 return
-            rows = settle_errors(canonical_clips(lines.sparkSession, manifest, clips_dir, profile, how))
-            write_splits(ADAPTERS[adapter](rows, language=language), out_dir, batch=batch_id)
+            session = lines.sparkSession
+            rows = canonical_clips(session, manifest, clips_dir, profile, how)
+            to_dataset = partial(ADAPTERS[adapter], language=language)
+            if on_error == "quarantine":
+                write_good_and_bad(rows, out_dir, to_dataset, batch_id)
+            else:
+                write_splits(to_dataset(settle_errors(rows, on_error)), out_dir, batch=batch_id)
+            write_dataset_card(session, out_dir, _on_disk(session, out_dir), params)
 
+    params = {"manifest": manifest_dir, "clips_dir": clips_dir, "language": language}
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -170,7 +170,7 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert digest(df.limit(0)).clip_count == 0
 
 
-def test_paging(spark, monkeypatch):
+def test_paging(spark, tmp_path):
     df = spark.createDataFrame([(f"i{n:02d}", n // 4) for n in range(23)], "id string, k int").repartition(5)
 
     def names(page):
@@ -186,12 +186,22 @@ def test_paging(spark, monkeypatch):
     assert walked == everything
     with pytest.raises(ValueError):
         paging.page(df, 0)
-    # Deep pages come from numbered rows, with the same result.
-    monkeypatch.setattr(paging, "FRONT_ROWS", 8)
-    assert names(paging.page(df, 1, 8, ["k"])) == everything[:8]
-    assert names(paging.page(df, 2, 10, ["k"])) == everything[10:20]
-    assert names(paging.page(df, 3, 10, ["k"])) == everything[20:]
-    assert names(paging.page(df, 9, 10, ["k"])) == []
+    numbered = paging.number_rows(df, str(tmp_path / "numbered"), ["k"])
+    assert names(paging.numbered_page(numbered, 1, 8)) == everything[:8]
+    assert names(paging.numbered_page(numbered, 2, 10)) == everything[10:20]
+    assert names(paging.numbered_page(numbered, 3, 10)) == everything[20:]
+    assert names(paging.numbered_page(numbered, 9, 10)) == []
+
+
+@pytest.mark.parametrize("order", [["k"], ["-k"], ["k", "-j"], ["-j", "k"], ["-id"]])
+def test_walks_with_null_keys_are_complete(spark, order):
+    rows = [(f"i{n:02d}", None if n % 3 == 0 else n % 4, None if n % 5 == 1 else n % 2) for n in range(24)]
+    df = spark.createDataFrame(rows, "id string, k int, j int").repartition(4)
+    walked, last = [], None
+    while found := paging.page_after(df, last, 5, order).collect():
+        walked += [r.id for r in found]
+        last = found[-1].asDict()
+    assert walked == [r.id for r in paging.page(df, 1, 24, order).collect()] and len(walked) == 24
 
 
 def test_page_envelopes_read_back(spark, files, tmp_path):
@@ -204,8 +214,8 @@ def test_page_envelopes_read_back(spark, files, tmp_path):
         printed.write.mode("append").text(str(tmp_path / "pages"))
     found = {r.id: r for r in read_pages(spark, str(tmp_path / "pages"), "files").collect()}
     assert set(found) == {"f1", "f2", "f3"} and found["f1"].test_reserved_at is None
-    with pytest.raises(ValueError):
-        paging.page_envelope(files, "files", 1, 10**9)
+    whole = json.loads(paging.page_envelope(files, "files", 1, 50_000).head().json)
+    assert [len(whole["files"]), whole["pageSize"]] == [3, 50_000]
 
 
 def test_listings_stay_within_a_project(spark, annotations, files):
@@ -249,3 +259,21 @@ def test_deleting_exports(spark):
         return ids(changes.purge_candidates(gone, F.lit(now).cast("timestamp")))
 
     assert due("2024-03-07 23:59:59") == [] and due("2024-03-08 00:00:00") == ["e1"]
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark, conf):
+    conf("spark.sql.session.timeZone", "Asia/Tokyo")
+    times = ["2024-01-05T10:00:00", "2024-01-05T10:00:00Z", "2024-01-05T19:00:00+09:00", "2024-01-05 10:00:00", "2024-01-05", None]
+    df = spark.createDataFrame([(str(i), t, "approved") for i, t in enumerate(times)], "id string, created_at string, review_status string")
+    at = "2024-01-05T10:00:00"
+    spec = ExportSpec("p", "n", created_at_from=at, created_at_to=at)
+    assert ids(filters.filter_export(df, spec)) == ["0", "1", "2", "3"]
+    day = ExportSpec("p", "n", created_at_from="2024-01-05", created_at_to="2024-01-05")
+    assert ids(filters.filter_export(df, day)) == ["4"]
+
+
+def test_descriptions_keep_their_spaces(spark):
+    texts = ["  spaced out ", " \t", "", None]
+    details = spark.createDataFrame([(json.dumps({"id": str(i), "description": t}),) for i, t in enumerate(texts)], "detail string")
+    shown = {r.id: r.description for r in listings.show_projects(details).collect()}
+    assert shown == {"0": "  spaced out ", "1": None, "2": None, "3": None}

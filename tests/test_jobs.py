@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import numpy as np
 import pytest
@@ -56,7 +57,7 @@ def test_six_clips_in_three_splits(spark, six, tmp_path, how):
     for i, (name, label, split) in enumerate(SIX):
         row = rows[name]
         assert (row.split, row.endpoint_bool, row.language) == (split, int(label == "end_of_turn"), "zh")
-        assert row.audio.path == f"clips/{name}.wav" and row.clip_sha256 == "sha"
+        assert row.audio.path == f"clips/{name}.wav" and row.clip_sha256 == f"digest of {name}"
         assert bytes(row.audio.bytes) == wav.canonicalize(make_wav(np.linspace(-0.9, 0.9, 50 + i)))
 
     meta = json.loads((tmp_path / "out" / META_FILE).read_text())
@@ -91,7 +92,8 @@ def test_corrupt_clip_is_named(spark, make_export, tmp_path, how):
     with pytest.raises(Exception, match="bad.wav") as caught:
         adapt_binary_endpoint(spark, export, str(tmp_path / "out"), "zh", how=how)
     assert "WAV" in str(caught.value)
-    assert not (tmp_path / "out" / "train.parquet").exists()
+    left = os.listdir(tmp_path / "out") if (tmp_path / "out").exists() else []
+    assert not [name for name in left if not name.startswith(".")]
 
 
 def test_corrupt_clip_can_be_set_aside(spark, make_export, tmp_path):
@@ -103,6 +105,21 @@ def test_corrupt_clip_can_be_set_aside(spark, make_export, tmp_path):
     assert [r.annotation_id for r in read_dataset(spark, out, "train").collect()] == ["good"]
     (aside,) = spark.read.parquet(f"{out}/quarantine.parquet").collect()
     assert aside.annotation_id == "bad" and "clips/bad.wav" in aside.error
+    shutil.copy(os.path.join(export.clips_dir, "good.wav"), os.path.join(export.clips_dir, "bad.wav"))
+    assert adapt_binary_endpoint(spark, export, out, "zh").split_counts == {"train": 2}
+    assert not os.path.exists(f"{out}/quarantine.parquet")
+
+
+def test_stream_sets_aside_and_writes_a_card(spark, make_export, tmp_path):
+    lines = [manifest_line("good"), manifest_line("bad", split="test")]
+    root = make_export(lines, {"good": make_wav([0.1] * 9), "bad": b"noise"})
+    out = str(tmp_path / "out")
+    (tmp_path / "incoming").mkdir()
+    shutil.copy(f"{root}/manifest.jsonl", tmp_path / "incoming" / "first.jsonl")
+    adapt_stream(spark, str(tmp_path / "incoming"), f"{root}/clips", out, str(tmp_path / "cp"), "zh", on_error="quarantine").awaitTermination()
+    assert [r.annotation_id for r in spark.read.parquet(f"{out}/quarantine.parquet").collect()] == ["bad"]
+    meta = json.loads((tmp_path / "out" / "export_meta.json").read_text())
+    assert meta["split_counts"] == {"train": 1} and "train: 1 clips" in (tmp_path / "out" / "README.md").read_text()
 
 
 @pytest.mark.parametrize("how", ["scan", "by_path"])

@@ -24,7 +24,7 @@ def test_reads_records_and_skips_blank_lines(spark, write):
     path = write(manifest_line("a1"), "", "   \t", "  " + manifest_line("a2", split="test") + "  \r")
     rows = {r.annotation_id: r for r in read_manifest(spark, path).collect()}
     assert set(rows) == {"a1", "a2"}
-    assert rows["a2"].split == "test" and rows["a1"].clip_duration_sec == 1.5
+    assert rows["a2"].split == "test" and rows["a1"].clip_duration_sec == 2.25
     assert read_manifest(spark, path).columns == MANIFEST.fieldNames()
 
 
