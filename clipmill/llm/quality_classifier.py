@@ -4,7 +4,8 @@ A text is compressed with each dictionary, in pieces of `Fit.piece` bytes so tha
 the same at any length. Text like the good sample comes out smaller with the
 good dictionary, so the difference of the two sizes, divided by the smaller, tells the classes apart;
 how far the text compresses at all is read off the same sizes. Both numbers become a
-probability by a logistic fit (Newton steps in numpy) on labelled texts that no dictionary has seen.
+probability by a logistic fit (Newton steps in numpy) on labelled texts that no dictionary has seen, moved to the share
+of good texts among all labels.
 
 The dictionaries and the fit use a bounded sample: `Fit.per_class` labelled texts a class, those with
 the smallest hash of their id, each of at most `Fit.most_bytes` bytes. Scoring reads whole texts, in
@@ -34,11 +35,11 @@ ADDED = ("score", "predicted")
 
 @dataclass(frozen=True)
 class Fit:
-    per_class: int = 1500
+    per_class: int = 2000
     most_bytes: int = 1 << 16
-    dictionary_bytes: int = 1 << 17
-    level: int = 3
-    piece: int = 1000
+    dictionary_bytes: int = 1 << 18
+    level: int = 6
+    piece: int = 500
     threshold: float = 0.7
     ridge: float = 1e-3
 
@@ -46,10 +47,11 @@ class Fit:
 class Model:
     """Two dictionaries and the weights of the logistic fit."""
 
-    def __init__(self, good: list[bytes], bad: list[bytes], fit: Fit):
+    def __init__(self, good: list[bytes], bad: list[bytes], fit: Fit, share: float | None = None):
+        """``share`` of all labels are good; the sample's own share without it."""
         self.fit, self.weights = fit, None
         labels = len(good) + len(bad)
-        self.base = len(good) / labels if labels else 0.5
+        self.base = share if share is not None else len(good) / labels if labels else 0.5
         if min(len(good), len(bad)) < 4:
             return
         half = lambda texts: (texts[0::2], texts[1::2])
@@ -59,6 +61,9 @@ class Model:
         y = np.array([1.0] * len(good_fit) + [0.0] * len(bad_fit))
         self.center, self.scale = x.mean(0), x.std(0) + 1e-9
         self.weights = self._logistic(self._inputs(x), y)
+        # The sample takes as many of either class; the score is for the classes as they come.
+        sampled = np.log(len(good_fit) / len(bad_fit))
+        self.weights[0] += np.log(self.base / (1 - self.base)) - sampled if 0 < self.base < 1 else 0.0
 
     def _dictionary(self, texts: list[bytes]) -> bytes:
         """Equal shares of all texts as dictionary content, whole short texts first to last."""
@@ -122,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "tex
         some = rows.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(fit.per_class)
         found = texts.join(F.broadcast(some), "i").dropDuplicates(["i"])  # bounded by per_class
         sample[y] = [r.t.encode("utf-8", "surrogatepass") for r in sorted(found.collect(), key=lambda r: r.i)]
-    return Model(sample[1], sample[0], fit)
+    counts = dict(rows.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect())
+    labels = sum(counts.values())
+    return Model(sample[1], sample[0], fit, counts.get(1, 0) / labels if labels else None)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
