@@ -54,17 +54,23 @@ class Model:
         self.base = share if share is not None else len(good) / labels if labels else 0.5
         if min(len(good), len(bad)) < 4:
             return
-        half = lambda texts: (texts[0::2], texts[1::2])
-        (good_dict, good_fit), (bad_dict, bad_fit) = half(good), half(bad)
-        self.dictionaries = [self._dictionary(t) for t in (good_dict, bad_dict)]
-        x = np.array([self.numbers(t) for t in good_fit + bad_fit])
-        y = np.array([1.0] * len(good_fit) + [0.0] * len(bad_fit))
+        x, y = [], []
+        for k in (0, 1):  # each half is measured with dictionaries of the other
+            self._use(good[1 - k :: 2], bad[1 - k :: 2])
+            x += [self.numbers(t) for t in good[k::2] + bad[k::2]]
+            y += [1.0] * len(good[k::2]) + [0.0] * len(bad[k::2])
+        x, y = np.array(x), np.array(y)
+        self._use(good, bad)
         self.center, self.scale = x.mean(0), x.std(0) + 1e-9
         self.weights = self._logistic(self._inputs(x), y)
         # The sample takes as many of either class; the score is for the classes as they come.
-        sampled = np.log(len(good_fit) / len(bad_fit))
+        sampled = np.log(len(good) / len(bad))
         self.weights[0] += np.log(self.base / (1 - self.base)) - sampled if 0 < self.base < 1 else 0.0
 
+    def _use(self, good: list[bytes], bad: list[bytes]) -> None:
+        self.dictionaries = [self._dictionary(good), self._dictionary(bad)]
+        self.__dict__.pop("_ready", None)
+
     def _dictionary(self, texts: list[bytes]) -> bytes:
         """Equal shares of all texts as dictionary content, whole short texts first to last."""
         share = max(64, self.fit.dictionary_bytes // len(texts))
