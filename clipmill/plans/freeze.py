@@ -74,7 +74,9 @@ def export_record(
 ) -> DataFrame:
     """The one-row export record of a manifest.
 
-    ``clips`` (``annotation_id, length``) gives the total bytes, which are null without it.
+    It has every field of `EXPORTS`, so a page of records reads back. ``clips`` (``annotation_id,
+    length``) gives the total bytes, which are null without it. The export is ready as soon as it is
+    frozen, and its files belong under ``exports/<id>``.
     """
     total_bytes = F.lit(None).cast("bigint")
     if clips is not None:
@@ -89,11 +91,18 @@ def export_record(
         F.lit("ready").alias("status"),
         F.get_json_object(body, "$.filter").alias("filter"),
         F.get_json_object(body, "$.splitPolicy").alias("split_policy"),
+        F.to_json(F.struct(F.lit(label_set_id).alias("id"))).alias("label_set_snapshot"),
+        F.lit(f"exports/{export_id}").alias("r2_prefix"),
         "manifest_sha256",
         "clip_count",
         total_bytes.alias("total_bytes"),
         F.lit(created_by).cast("bigint").alias("created_by"),
+        F.lit(None).cast("string").alias("created_by_login"),
         F.lit(created_at).alias("created_at"),
+        F.lit(created_at).alias("ready_at"),
+        F.lit(None).cast("string").alias("error_message"),
+        F.lit(True).alias("can_download"),
+        F.lit(True).alias("can_delete"),
     )
 
 
@@ -146,6 +155,6 @@ def save_export(
         record = export_record(manifest, spec, label_set, export_id, created_by, created_at, clips).head()
     _held_out(files, spec, export_id).write.mode("overwrite").parquet(storage.join(out_dir, "reserved_files.parquet"))
     body = {wire_name(name): value for name, value in record.asDict().items()}
-    body |= {name: json.loads(body[name]) for name in ("filter", "splitPolicy")}
+    body |= {name: json.loads(body[name]) for name in ("filter", "splitPolicy", "labelSetSnapshot")}
     storage.write_text(spark, storage.join(out_dir, "export.json"), json.dumps(body, ensure_ascii=False, indent=2))
     return record

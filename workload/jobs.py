@@ -10,6 +10,7 @@ from clipmill import ExportSpec, SplitPolicy, storage
 from clipmill.functions.fields import clip_rel_path
 from clipmill.operators.validate import validate_manifest
 from clipmill.plans import adapt as adapt_plan
+from clipmill.operators.paging import page_envelope
 from clipmill.plans.freeze import freeze_export, save_export
 from clipmill.plans.materialize import materialize, write_clips
 from clipmill.schemas import EXPORTS, MANIFEST, wire_name, wire_schema
@@ -157,7 +158,29 @@ _EXPORT_ROW = f"""
     ),
 )
 def _(t):
-    return _freeze(t).export.drop("description", "created_at")
+    names = "id project_id name status clip_count total_bytes created_by manifest_sha256 filter split_policy".split()
+    return _freeze(t).export.select(*names)
+
+
+@query(
+    "freeze_export_page",
+    oracle(
+        f"""{_EXPORT_ROW}, 'exports/e1' r2_prefix, '2024-03-01T00:00:00Z' ready_at, true can_download, true can_delete,
+             '{{"id":"ls1"}}' label_set_snapshot
+           from (select *, {HASHED_SQL} h from frozen)""",
+        "annotations",
+        "files",
+        frozen=_FROZEN_ROWS,
+    ),
+)
+def _(t):
+    """The record printed as a page of exports and read back."""
+    path = storage.join(storage.scratch_dir(t.spark, "pages"), "exports")
+    page_envelope(_freeze(t).export, "exports").write.text(path)
+    names = "id project_id name status clip_count total_bytes created_by manifest_sha256".split()
+    return read_pages(t.spark, path, "exports").select(
+        *names, "r2_prefix", "ready_at", "can_download", "can_delete", "label_set_snapshot"
+    )
 
 
 def _save(t: Tables):
