@@ -43,6 +43,24 @@ def _json_field(document: Column, path: str, variant_type: str, sql_type: str) -
     return once(F.try_parse_json(document), pick)
 
 
+def json_texts(document: Column, defaults: dict[str, str | None]) -> Column:
+    """String fields of a JSON text as one struct, which parses the text once for all of them.
+
+    ``defaults`` maps a top-level field to what stands for a missing, null or non-string value.
+    """
+
+    def pick(parsed: Column) -> Column:
+        fields = []
+        for name, default in defaults.items():
+            path = f"$.{name}"
+            kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+            text = F.when(kind == "STRING", F.try_variant_get(parsed, path, "string"))
+            fields.append((text if default is None else F.coalesce(text, F.lit(default))).alias(name))
+        return F.struct(*fields)
+
+    return once(F.try_parse_json(document), pick)
+
+
 def json_text(document: Column, path: str, default: str | None = "-") -> Column:
     """A string field of a JSON text; missing, null and non-string values give the default."""
     text = _json_field(document, path, "STRING", "string")

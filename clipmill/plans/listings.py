@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmill import storage
 from clipmill.functions import text
-from clipmill.functions.fields import json_text
+from clipmill.functions.fields import json_texts
 from clipmill.operators.aggregates import annotation_counts, with_export_stats
 from clipmill.operators.filters import filter_annotations, filter_files
 from clipmill.operators.joins import annotations_with_files, exports_with_creator, of_project
@@ -155,15 +155,14 @@ def list_projects(
 def show_projects(details: DataFrame, document: str = "detail") -> DataFrame:
     """Summary of project details kept as JSON text; label set and role are optional."""
 
-    def field(name: str, default: str | None = "-"):
-        return json_text(F.col(document), f"$.{name}", default)
-
-    return details.select(
-        field("id").alias("id"),
-        field("name").alias("name"),
-        text.unless_blank(field("description", None)).alias("description"),
-        field("createdAt").alias("created_at"),
-        field("updatedAt").alias("updated_at"),
-        field("activeLabelSetId", None).alias("label_set"),
-        field("role", None).alias("role"),
+    names = {"id": "-", "name": "-", "description": None, "createdAt": "-", "updatedAt": "-"}
+    parsed = details.select(json_texts(F.col(document), names | {"activeLabelSetId": None, "role": None}).alias("p"))
+    return parsed.select(
+        "p.id",
+        "p.name",
+        text.unless_blank(F.col("p.description")).alias("description"),
+        F.col("p.createdAt").alias("created_at"),
+        F.col("p.updatedAt").alias("updated_at"),
+        F.col("p.activeLabelSetId").alias("label_set"),
+        "p.role",
     )

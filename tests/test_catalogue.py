@@ -277,3 +277,5 @@ def test_descriptions_keep_their_spaces(spark):
     details = spark.createDataFrame([(json.dumps({"id": str(i), "description": t}),) for i, t in enumerate(texts)], "detail string")
     shown = {r.id: r.description for r in listings.show_projects(details).collect()}
     assert shown == {"0": "  spaced out ", "1": None, "2": None, "3": None}
+    plan = listings.show_projects(details)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") <= 1
