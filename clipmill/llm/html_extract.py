@@ -105,7 +105,6 @@ class Features:
             path = [x for x in b.path if drop is None or drop.random() > 0.1]
             deep = [f"<{x}" for x in path[-3:]]
             paths.append([self._bucket(x) for x in (*path, *deep)] or [0])
-            # a block's first and last words show its kind (labels, links, sentences); all are read once
             words.append([self._bucket(f"w{w}") for w in set(b.text.lower().split())] or [0])
             n = len(b.text)
             numbers[i] = (
