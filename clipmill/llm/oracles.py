@@ -43,4 +43,29 @@ with d as (
 select *, failed_bits & 3 <> 0 base_failed, failed_bits = 0 kept from b
 """
 
-ORACLES = {"op1_quality_rules": _QUALITY_RULES}
+_NEAR_DEDUP = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') ws
+  from documents
+), s as (
+  select doc_id, case when len(ws) >= 5
+                      then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: hash(ws[i:i + 4])))
+                      when len(ws) > 0 then [hash(ws)] else [] end sh
+  from w
+), u as (
+  select doc_id, len(sh) n, unnest(sh) h from s
+), e as (
+  select a.doc_id a, b.doc_id b from u a join u b on a.h = b.h and a.doc_id <> b.doc_id
+  group by 1, 2, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r as (
+  select doc_id node, doc_id root from s
+  union
+  select e.b, r.root from r join e on e.a = r.node
+)
+select doc_id, cast(len(sh) as bigint) n_shingles, c.root component_id, doc_id = c.root kept
+from s join (select node, min(root) root from r group by 1) c on c.node = s.doc_id
+"""
+
+ORACLES = {"op1_quality_rules": _QUALITY_RULES, "op7_near_dedup": _NEAR_DEDUP}
