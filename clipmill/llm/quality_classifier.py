@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "tex
     for y in sample:
         some = rows.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(fit.per_class)
         found = texts.join(F.broadcast(some), "i").dropDuplicates(["i"])  # bounded by per_class
-        sample[y] = [r.t.encode("utf-8", "surrogatepass") for r in sorted(found.collect(), key=lambda r: r.i)]
+        # in the order of the hash, so that halves of the sample do not follow the ids
+        rows_of_class = sorted(found.select(F.xxhash64("i").alias("x"), "i", "t").collect())
+        sample[y] = [r.t.encode("utf-8", "surrogatepass") for r in rows_of_class]
     counts = dict(rows.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect())
     labels = sum(counts.values())
     return Model(sample[1], sample[0], fit, counts.get(1, 0) / labels if labels else None)
