@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Hint for the many small joins of a loop: each broadcast would leave a hash table of a megabyte or
+#: more with the driver until its garbage is collected.
+MERGE = "merge"
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -53,22 +56,8 @@ def scored(rows: DataFrame) -> T.StructType:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows as written to the shared checkpoint folder, with the lineage cut there."""
-    spark = df.sparkSession
-    ensure_shared(spark)
-    return df.checkpoint(eager=True)
-
-
-def ensure_shared(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(storage.shared_root(spark))
+    return storage.checkpointed(df)
 
 
 def partitions_for(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-
-
-def single_threaded() -> None:
-    """One thread for numerical libraries: a task has one core."""
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-        os.environ.setdefault(name, "1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmill.llm.common import cut
+from clipmill.llm.common import MERGE, cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")))
     while True:
-        heard = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        lower = labels.join(heard, "node", "left").select(
+        heard = edges.join(labels.hint(MERGE), edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        lower = labels.join(heard.hint(MERGE), "node", "left").select(
             "node", "comp", F.least("comp", F.coalesce("m", "comp")).alias("next")
         )
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        moved = lower.join(jump, "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
+        moved = lower.join(jump.hint(MERGE), "next", "left").select("node", "comp", F.least("next", F.coalesce("far", "next")).alias("next"))
         moved = cut(moved)
         labels = moved.select("node", F.col("next").alias("comp"))
         if moved.where("comp != next").isEmpty():

@@ -9,11 +9,13 @@ similarity s meet in some table with probability (1 - (1 - s^4)^12)^2: over 0.99
    of any number cost one row in an aggregate.
 2. A table key can be shared only if both its halves are, so half keys held by a single node go first;
    pairs of the remaining halves form the table keys, and keys of a single node go too.
-3. In each bucket one node, the pivot, is paired with all others: pairs grow with the bucket, not with
+3. In each bucket one node, the pivot, is paired with all others (the node that shares most half keys
+   with others, which in a group of copies is its original, so buckets agree on it): pairs grow with the bucket, not with
    its square. Candidates are confirmed on the full sets. A pivot has then met everyone in its bucket
-   and leaves it. Buckets whose members are all in one component are done; the others go on with eight
-   times as many pivots, until no bucket holds two components. No pair of a bucket is skipped unless
-   its two nodes are known to be connected already, so there is no cap on buckets or partners.
+   and leaves it. Buckets whose members are known to be connected are done; the others go on with eight
+   times as many pivots, until no bucket is left. No pair of a bucket is skipped unless its two nodes
+   are known to be connected already, so there is no cap on buckets or partners. Components are those
+   of all confirmed links.
 
 Defined results: a null or empty text has an empty set (n_shingles 0) and is linked with nothing, its
 component is itself. Rows with equal texts are linked whatever their ids; repeated rows get equal
@@ -32,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.llm import shingles
-from clipmill.llm.common import cut, quoted
+from clipmill.llm.common import MERGE, cut, quoted
 from clipmill.llm.components import components
 from clipmill.shipping import ship
 
 #: Pivots a bucket, and how their number grows from round to round.
 PIVOTS, PIVOT_GROWTH = 1, 8
+#: Links followed for the labels of a round; components are found once, at the end.
+HOPS = 4
+#: Rows that may be sent to every task (under 60 bytes each); beyond, the same joins shuffle.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -94,42 +100,126 @@ def _signatures(docs: DataFrame, banding: Banding) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n long, node binary, halves array<bigint>")
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """A set with 40 of each shingle's 64 bits: two sets of 500 agree by chance once in 4 million pairs."""
+    high = values >> np.uint64(24)
+    return (high >> np.uint64(8)).astype(np.uint32).tobytes() + high.astype(np.uint8).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    high = np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)
+    return high | np.frombuffer(data, np.uint8, n, 4 * n)
+
+
 def _sets(docs: DataFrame, banding: Banding) -> DataFrame:
     """(node, set) of each row with a non-empty set."""
-    schema = pa.schema([("node", pa.binary()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.binary()), ("set", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in shingles.chunks(batch.column(0).to_pylist()):
                 sets = [s for s in shingles.shingle_sets(texts, banding.shingle) if len(s)]
-                columns = [[_node(s) for s in sets], [s.view(np.int64) for s in sets]]
+                columns = [[_node(s) for s in sets], [_pack(s) for s in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("text").mapInArrow(build, "node binary, set array<bigint>")
+    return docs.select("text").mapInArrow(build, "node binary, set binary")
 
 
-def _buckets(nodes: DataFrame, tables: int) -> DataFrame:
-    """(key, node, n): the nodes of every table key that at least two nodes share."""
+def _near(nodes: DataFrame, tables: int) -> DataFrame:
+    """(node, n, weight, x, y): the half keys (t, half) of each side that at least two nodes share.
+
+    ``weight`` counts the nodes it shares them with. The original of a group of copies shares more with
+    each copy than two copies do with each other, so it weighs most.
+    """
     halves = nodes.select("node", "n", F.posexplode("halves").alias("t", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    near = halves.join(shared, "half", "left_semi").groupBy("node", "n")
-    sides = near.agg(
-        F.collect_list(F.when(F.col("t") < tables, F.col("half"))).alias("x"),
-        F.collect_list(F.when(F.col("t") >= tables, F.col("half"))).alias("y"),
-    )  # at most `tables` halves a side
-    keys = sides.select("node", "n", F.explode("x").alias("a"), "y").select("node", "n", "a", F.explode("y").alias("b"))
-    rows = cut(keys.select(F.xxhash64("a", "b").alias("key"), "node", "n"))
-    several = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return rows.join(several, "key", "left_semi")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
+    side = lambda which: F.collect_list(F.when(which, F.struct("t", "half")))
+    near = halves.join(shared, "half").groupBy("node", "n")
+    return near.agg(F.sum("c").alias("weight"), side(F.col("t") < tables).alias("x"), side(F.col("t") >= tables).alias("y"))  # <= tables each
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to every task if it is known to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _open(near: DataFrame, labels: DataFrame | None, tables: int, every: bool) -> DataFrame:
+    """(key, node, n, weight, comp) of the buckets that hold two labels or more.
+
+    First in tables (i, i), which show most links, then in every table.
+    """
+    comp = F.col("node")
+    if labels is not None:
+        near = near.join(labels.withColumnRenamed("comp", "known").hint(MERGE), "node", "left")
+        comp = F.coalesce("known", "node")
+    pairs = near.select("node", "n", "weight", comp.alias("comp"), F.explode("x").alias("a"), "y")
+    pairs = pairs.select("node", "n", "weight", "comp", "a", F.explode("y").alias("b"))
+    i, j = F.col("a.t"), F.col("b.t") - tables
+    keys = pairs if every else pairs.where(i == j)
+    keys = keys.select(F.xxhash64("a.half", "b.half").alias("key"), "node", "n", "weight", "comp")
+    mixed = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    return cut(keys.join(_small(cut(mixed.select("key"))), "key", "left_semi"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, banding: Banding) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    Texts of the nodes at hand become sets where they are read; each set goes to its pairs.
+    """
+    sides = pairs.select(F.col("a").alias("node"), "a", "b").union(pairs.select("b", "a", "b"))
+    wanted = cut(sides.select("node").distinct().join(reps.hint(MERGE), "node").select("rep").distinct())
+    if 2 * pairs.count() <= BROADCAST_ROWS:
+        sides = F.broadcast(sides)
+    texts = docs.join(_small(wanted), docs.id.eqNullSafe(F.col("rep")), "left_semi")
+    sets = _sets(texts, banding).join(sides, "node")
+    side = lambda name: F.first(F.when(F.col("node") == F.col(name), F.col("set")), ignorenulls=True)
+    both = sets.groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
+    percent = banding.percent
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                same = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) if x and y else 0
+                keep.append(x is not None and y is not None and 100 * same >= percent * ((len(x) + len(y)) // 5 - same))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(confirm, "a binary, b binary")
+
+
+def _round(rows: DataFrame, pivots: int) -> DataFrame:
+    """The rows of buckets with two labels or more, each marked whether it is a pivot of its bucket."""
+    heaviest = F.max(F.struct("weight", "node"))["node"]
+    stats = rows.groupBy("key").agg(
+        F.count("*").alias("c"), heaviest.alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    chance = F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.col("c")) < (pivots - 1)
+    marked = rows.join(stats.where("lo != hi").hint(MERGE), "key")
+    marked = marked.withColumn("pivot", (F.col("node") == F.col("first")) | chance)
+    return cut(marked.select("key", "node", "n", "weight", "comp", "pivot"))
+
+
+def _pairs(marked: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Pivots with the other members of their buckets, where labels differ and sizes are close enough."""
+    picks = marked.where("pivot").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp")])
+    close = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+    pairs = marked.join(picks.hint(MERGE), "key").where((F.col("comp") != F.col("p_comp")) & close)
+    pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+    return cut(pairs if tested is None else pairs.join(tested.hint(MERGE), ["a", "b"], "left_anti"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, comp): the least node within `HOPS` links.
+
+    Equal labels mean one component. Unequal ones may too, which costs pairs but loses no link.
+    """
+    edges = links.select("a", "b").union(links.select("b", "a"))
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp"))
+    for _ in range(HOPS - 1):
+        heard = edges.join(labels.hint(MERGE), F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
+        labels = heard.select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+    return cut(labels)
 
 
 def link_components(docs: DataFrame, banding: Banding = Banding(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -143,35 +233,28 @@ def link_components(docs: DataFrame, banding: Banding = Banding(), text: str = "
         )
     )
     reps = nodes.select("node", "rep")
-    open_rows = cut(_buckets(nodes, banding.tables).withColumn("comp", F.col("node")))
-    comps, tested, pivots = None, None, PIVOTS
-    while not open_rows.isEmpty():
-        stats = open_rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-        chance = F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.col("c")) < (pivots - 1)
-        marked = open_rows.join(stats, "key").withColumn("pivot", (F.col("node") == F.col("least")) | chance)
-        marked = cut(marked.select("key", "node", "n", "comp", "pivot"))
-        picks = marked.where("pivot").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "comp")])
-        close = 100 * F.least("n", "p_n") >= banding.percent * F.greatest("n", "p_n")
-        pairs = marked.join(picks, "key").where((F.col("comp") != F.col("p_comp")) & close)
-        pairs = pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = cut(wanted.join(reps, "node"))
-        texts = docs.join(wanted.select("rep").distinct(), docs.id.eqNullSafe(F.col("rep")), "left_semi")
-        sets = cut(_sets(texts, banding).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-        links = cut(_confirmed(pairs, sets, banding.percent))
-        rest = marked.where("not pivot").select("key", "node", "n", "comp")
-        if not links.isEmpty():
-            comps = _merged(comps, links)
-            known = comps.select("node", F.col("comp").alias("new"))
-            rest = rest.join(known, "node", "left").select("key", "node", "n", F.coalesce("new", "comp").alias("comp"))
-        rest = cut(rest)
-        unsettled = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        open_rows = cut(rest.join(unsettled.select("key"), "key", "left_semi"))
+    near = cut(_near(nodes, banding.tables))
+    links, labels, tested = None, None, None
+    rows, every, pivots = _open(near, None, banding.tables, False), False, PIVOTS
+    while True:
+        marked = _round(rows, pivots)
+        if marked.isEmpty():
+            if every:
+                break
+        else:
+            pairs = _pairs(marked, tested, banding.percent)
+            tested = pairs if tested is None else tested.union(pairs)
+            more = cut(_confirmed(pairs, docs, reps, banding))
+            links = more if links is None else links.union(more)
+            labels = _labels(links)
+        if not every:  # one round over the first tables, then all tables until they are settled
+            rows, every = _open(near, labels, banding.tables, True), True
+            continue
+        known = labels.withColumnRenamed("comp", "known").hint(MERGE)
+        rest = marked.where("not pivot").join(known, "node", "left")
+        rows = rest.select("key", "node", "n", "weight", F.coalesce("known", "comp").alias("comp"))
         pivots *= PIVOT_GROWTH
+    comps = None if links is None else components(links)
     found = reps
     if comps is not None:
         joined = reps.join(comps, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -184,10 +267,3 @@ def link_components(docs: DataFrame, banding: Banding = Banding(), text: str = "
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )
-
-
-def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after adding links: (node, comp) with the old components as links to their least."""
-    if comps is not None:
-        links = links.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a != b"))
-    return components(links)
