@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps; its rows are w
 read again as the next stage's documents. All but the last return the columns of the documents.
 
     quality        rejects documents that the compression classifier, trained on `labels`, calls bad
-    near_dedup     keeps one document of each group of near copies
+    near_dedup     keeps one document of each group of near copies: five-word shingles, Jaccard 0.80 or more
     decontaminate  drops documents that hold a passage of `benchmark`
     mix            repeats documents so that sources come near their target weights
     shard          places every row on one of 16 shards
@@ -23,6 +23,11 @@ from clipmill.llm import decontaminate, mixing, near_dedup, quality_classifier,
 from clipmill.llm.common import cut, quoted
 
 
+#: Links of the near_dedup stage. A pair at 0.80 meets in one of the 20 x 20 tables with a probability over
+#: 0.9999 (12 x 12 would give 0.996). The query op7_near_dedup has its own bound, 85.
+NEAR = near_dedup.Banding(tables=20, percent=80)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_classifier.score(docs, quality_classifier.train(docs, labels))
@@ -32,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by_text = -1 - F.xxhash64(F.col("text")).bitwiseAND((1 << 62) - 1)
     key = F.coalesce(F.col("doc_id").cast("long"), by_text)
-    groups = near_dedup.link_components(docs.select(key.alias("doc_id"), "text"))
+    groups = near_dedup.link_components(docs.select(key.alias("doc_id"), "text"), NEAR)
     kept = cut(groups.where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
     once = docs.join(kept.where("_rows = 1"), key == F.col("_kept"), "left_semi")
     more = docs.join(kept.where("_rows > 1"), key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])

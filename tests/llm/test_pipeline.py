@@ -1,7 +1,9 @@
 import os
+import random
 
 import pytest
 from cases import SCHEMA, awkward, prose
+from test_near_dedup import brute, variants
 
 import corpus_pipeline as c
 
@@ -46,3 +48,19 @@ def test_every_stage_survives_awkward_and_empty_tables(spark):
         if name == "near_dedup":
             assert sorted(str(r.doc_id) for r in rows).count("5") == 1 and len(rows) == docs.count() - 1
         assert stage(spark, docs.where("false"), SF_DIR).count() == 0
+
+
+def test_near_dedup_equals_brute_force_at_80_percent(spark):
+    texts = [prose(40 + i, i) for i in range(30)]
+    for k, (n, changes) in enumerate([(10, 1), (20, 2), (30, 3), (20, 4), (10, 6)]):
+        texts += variants(prose(150, 700 + k), n, changes, k)
+    for k in range(25):  # pairs whose similarity is known: two copies with 4 to 28 more words on one
+        words = prose(100, 800 + k).split()
+        texts += [" ".join(words), " ".join(words + prose(4 + k, 900 + k).split())]
+    rows = list(enumerate(texts))
+    random.Random(2).shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    kept = {r.doc_id for r in dict(c.STAGES)["near_dedup"](spark, docs, SF_DIR).collect()}
+    want = {i for i, (_, root) in brute(rows, 80).items() if i == root}
+    assert kept == want
+    assert want < {i for i, (_, root) in brute(rows, 85).items() if i == root}
