@@ -6,7 +6,10 @@ other. Diagonals are cut into bands of 2(k + 1) that overlap by half, so one ban
 Shared q-grams are counted by passage and band; bands that reach the bound are aligned, letter by
 letter within the band, and kept if the alignment needs at most k edits.
 
-Letters A-Z count as lower case and runs of white space as one space, in passages and documents.
+Case is folded over all of Unicode, character by character, and runs of ASCII white space count as one
+space, in passages and documents, before the bytes are cut; so shouting costs no edit in any script.
+Sharp s is ss, the sigmas are one letter, and so are the dotted and dotless i of Turkish. Lengths and
+edits count bytes of the folded text.
 Documents are scanned whole, in numpy, where they lie: no document is shuffled. Passages are read in
 blocks of at most `Budget.block_bytes` (their sizes are summed first); each block goes to all tasks.
 
@@ -17,6 +20,7 @@ documents are each reported. An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +40,9 @@ _BITS = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
+#: No character from here on has a case.
+_CASED = 0x20000
+_DOT_ABOVE = 0x307
 
 
 @dataclass(frozen=True)
@@ -51,14 +58,48 @@ class Budget:
         return max(0, min(math.floor(self.share * length), (length - Q) // Q))
 
 
-def _plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes without repeated spaces, and the place of each in ``data``."""
-    folded = _LOWER[data]
+def fold(char: str) -> str:
+    """The one form of a character and its capitals and small letters; most often one character."""
+    return "i" if char == "\u0130" else char.upper().casefold()
+
+
+@functools.cache
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """Three characters for each below `_CASED`, filled up with zeros, and how many there are."""
+    table, count = np.zeros((_CASED, 3), dtype=np.uint32), np.ones(_CASED, dtype=np.int64)
+    table[:, 0] = np.arange(_CASED)
+    table[[9, 10, 11, 12, 13], 0] = 32
+    for code in range(65, _CASED):
+        folded = fold(chr(code))
+        table[code, : len(folded)], count[code] = [ord(c) for c in folded], len(folded)
+    return table, count
+
+
+def _plain(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the folded text without repeated spaces, and the character in ``raw`` of each."""
+    if raw.isascii():
+        folded = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+        places = np.arange(len(folded))
+    else:
+        codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        table, count = _folds()
+        cased = np.where(codes < _CASED, codes, 0)
+        counts = count[cased]
+        places = np.repeat(np.arange(len(codes)), counts)
+        nth = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
+        folded = np.where(codes[places] < _CASED, table[cased[places], nth], codes[places])
+        keep = np.ones(len(folded), dtype=bool)
+        keep[1:] = (folded[1:] != _DOT_ABOVE) | (folded[:-1] != ord("i"))  # what lower() leaves of a dotted capital
+        folded, places = folded[keep], places[keep]
     space = folded == 32
     keep = np.ones(len(folded), dtype=bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    places = np.flatnonzero(keep)
-    return folded[places], places
+    folded, places = folded[keep], places[keep]
+    if folded.dtype == np.uint8:
+        return folded, places
+    text = folded.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    widths = 1 + (folded >= 0x80) + (folded >= 0x800) + (folded >= 0x10000)
+    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), np.repeat(places, widths)
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -78,8 +119,7 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
         self.ids, self.data = [], []
         for item_id, text in items:
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").replace(b"\0", b" ").strip(), dtype=np.uint8)
-            data = _plain(raw)[0]
+            data = _plain((text or "").encode("utf-8", "surrogatepass").replace(b"\0", b" ").strip())[0]
             if len(data) >= max(budget.least, Q):
                 self.ids.append(item_id)
                 self.data.append(data)
@@ -152,8 +192,7 @@ def aligned(
 
 def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, passage id, first character, end character, edits) of every passage found."""
-    raw = np.frombuffer(b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in texts) + b"\0", dtype=np.uint8)
-    data, places = _plain(raw)
+    data, places = _plain(b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in texts) + b"\0")
     borders = np.flatnonzero(data == 0)
     found: dict[tuple[int, int, int], tuple[int, int]] = {}
     for item, low in passages.bands(data):
@@ -182,8 +221,10 @@ def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int,
     for (text, item, end), (start, cost) in sorted(_apart(found)):
         left = int(borders[text]) + 1
         origin = int(places[borders[text]]) + 1
-        first, last = int(places[left + start]) - origin, int(places[left + end - 1]) + 1 - origin
-        rows.append((text, passages.ids[item], *(len(texts[text][:x].decode("utf-8", "ignore")) for x in (first, last)), cost))
+        first = int(places[left + start]) - origin
+        # one past the last character that is matched to its last byte
+        last = min(int(places[left + end - 1]) + 1, int(places[left + end])) - origin
+        rows.append((text, passages.ids[item], first, last, cost))
     return rows
 
 

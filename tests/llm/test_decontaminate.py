@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 from cases import SCHEMA, awkward, prose
@@ -81,3 +82,47 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(awkward()) - 2
     assert d.find_passages(docs, bench.where("false")).count() == 0
     assert d.without_passages(docs.where("false"), bench).count() == 0
+
+
+SPOKEN = {
+    "fr": "l'été dernier, à l'opéra, élise a été gênée par une fenêtre fermée; où êtes-vous allés après, là-bas?",
+    "de": "die größte straße führt über die brücke, wo süße äpfel und weiße öfen für außergewöhnliche gäste stehen",
+    "ru": "съешь же ещё этих мягких французских булок, да выпей чаю, и приходи к нам на широкую улицу",
+    "el": "ο πρώτος φίλος μας είναι ο γιώργος, ένας άνθρωπος της θάλασσας και των μεγάλων δρόμων της πόλης",
+    "tr": "ışıl ışıl istanbul'da iyi bir sınıf için güzel bir şiir yazdık ve ığdır ilinde çay içtik dün",
+}
+
+
+def test_shouted_passages_of_other_scripts_are_verbatim():
+    passages = d.Passages(list(enumerate(SPOKEN.values())), d.Budget())
+    shouts = [t.upper() for t in SPOKEN.values()]
+    shouts[-1] = SPOKEN["tr"].replace("i", "İ").upper()
+    for write in (str, str.lower, str.title, lambda t: t.replace(" ", " \n ")):
+        texts = [f"Ünï {write(t)} Ж ÇA" for t in shouts]
+        found = d.search(passages, [t.encode() for t in texts])
+        assert [(r[0], r[1], r[4]) for r in found] == [(i, i, 0) for i in range(len(texts))]
+        assert all(texts[r[0]][r[2] : r[3]] == write(shouts[r[0]]) for r in found)
+
+
+def test_only_real_edits_count_in_shouted_passages():
+    for lang, text in SPOKEN.items():
+        passages = d.Passages([(7, text)], d.Budget())
+        most = int(passages.edits[0])
+        for n in (most, most + 1):
+            spots = range(5, 5 + 6 * n, 6)
+            spoiled = "".join(c + "x" if i in spots else c for i, c in enumerate(text)).upper()
+            found = d.search(passages, [f"ÀÉ {spoiled} öÜ".encode()])
+            assert [r[4] for r in found] == ([n] if n <= most else []), (lang, n)
+
+
+def test_fold_joins_all_forms_of_every_letter():
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        one = d.fold(char)
+        assert one == char or code < d._CASED
+        assert len(one) <= 3
+        if char not in "\u0130":  # its lower() has two characters, joined in texts
+            assert "".join(map(d.fold, char.lower())) == "".join(map(d.fold, char.upper())) == one, hex(code)
+    plain = d._plain("a İi̇ \t É\ud800 😀ẞ".encode("utf-8", "surrogatepass"))
+    assert plain[0].tobytes() == "a ii é\ud800 😀ss".encode("utf-8", "surrogatepass")
+    assert plain[1].tolist() == [0, 1, 2, 3, 5, 8, 8, 9, 9, 9, 10, 11, 11, 11, 11, 12, 12]
