@@ -8,8 +8,10 @@ probability by a logistic fit (Newton steps in numpy) on labelled texts that no
 of good texts among all labels.
 
 The dictionaries and the fit use a bounded sample: `Fit.per_class` labelled texts a class, those with
-the smallest hash of their id, each of at most `Fit.most_bytes` bytes. Scoring reads whole texts, in
-one pass without a shuffle.
+the smallest hash of their id; of these, texts over `Fit.most_bytes` bytes are left out. The fit reads
+them whole. A dictionary holds up to `Fit.text_bytes` = 512 bytes of each, however many there are: a
+shorter text whole, of a longer one `Fit.windows` = 4 windows, one at a random place (seeded by the
+text) of each quarter. So it has 1 MB at most. Scoring reads whole texts, in one pass without a shuffle.
 
 Defined results: null and empty texts have both numbers 0 and get the fitted base score. Rows with a
 null label teach nothing. With a class missing from the sample every score is the share of good
@@ -18,6 +20,7 @@ labels, 0.5 without labels. Repeated rows get equal scores; clashing input colum
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +40,8 @@ ADDED = ("score", "predicted")
 class Fit:
     per_class: int = 2000
     most_bytes: int = 1 << 16
-    dictionary_bytes: int = 1 << 18
+    text_bytes: int = 512
+    windows: int = 4
     level: int = 6
     piece: int = 500
     threshold: float = 0.7
@@ -72,9 +76,17 @@ class Model:
         self.__dict__.pop("_ready", None)
 
     def _dictionary(self, texts: list[bytes]) -> bytes:
-        """Equal shares of all texts as dictionary content, whole short texts first to last."""
-        share = max(64, self.fit.dictionary_bytes // len(texts))
-        return b"".join(t[:share] for t in texts)[-self.fit.dictionary_bytes :]
+        """The windows of all texts as dictionary content."""
+        return b"".join(part for t in texts for part in self._windows(t))
+
+    def _windows(self, text: bytes) -> list[bytes]:
+        """At most `Fit.text_bytes` of ``text``, the same in whatever sample: spread over all of it, or all of it."""
+        if len(text) <= self.fit.text_bytes:
+            return [text]
+        n, size = self.fit.windows, self.fit.text_bytes // self.fit.windows
+        step = len(text) / n
+        places = np.random.default_rng(zlib.crc32(text)).random(n)
+        return [text[(at := int(k * step + x * (step - size))) : at + size] for k, x in enumerate(places)]
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.center) / self.scale

@@ -41,6 +41,28 @@ def test_quality_does_not_depend_on_length_or_batches():
     assert scores[0] > 0.9 and scores[1] < 0.1 and scores[1] == model.scores(long[1:])[0]
 
 
+def test_quality_learns_from_whole_texts_at_the_full_sample():
+    head = prose(60, 1)  # over 200 bytes that all texts begin with
+    good = [f"{head} {prose(60, i)}".encode() for i in range(2000)]
+    bad = [f"{head} {prose(60, -i).upper()}".encode() for i in range(2000)]
+    model = quality_classifier.Model(good, bad, quality_classifier.Fit())
+    scores = model.scores([f"{head} {prose(60, 5000 + i)}" for i in range(20)])
+    assert scores.min() > 0.9
+    scores = model.scores([f"{head} {prose(60, 6000 + i).upper()}" for i in range(20)])
+    assert scores.max() < 0.1
+
+
+def test_quality_dictionaries_hold_the_same_bytes_of_a_text_at_every_size():
+    model = quality_classifier.Model([], [], quality_classifier.Fit())
+    short, long = prose(20, 1).encode(), prose(4000, 2).encode()
+    parts = model._windows(long)
+    assert model._windows(short) == [short] and sum(map(len, parts)) == 512
+    places = [long.index(p) * 4 // len(long) for p in parts]
+    assert places == [0, 1, 2, 3]
+    for n in (3, 3000):
+        assert model._dictionary([long] * n + [short]) == b"".join(parts) * n + short
+
+
 MILD = ("blorgish", "snivel", "gronk")
 
 
