@@ -8,9 +8,15 @@ Labels belong to documents, not words: a document is toxic if any of its words i
 is 1 - prod(1 - p(word)) over its distinct words, and the loss of that probability trains embeddings
 and softmax together (Adam, full batches). A few insults in a long clean-looking text are not diluted.
 
+The more words a text has, the likelier a harmless one looks like an insult. So beyond `Fit.words`
+distinct words the odds of the document are divided by (words / `Fit.words`) ** s. The power s is fitted
+out of sample: each half of the labelled texts is scored by a model of the other half, and a logistic
+fit with -log(1 - p) and the log of the number of words as inputs says how much the one weighs in units
+of the other. It is at least 1, as small chances add up in proportion to the words. A text's score so does not rise with its length; a few certain insults outweigh it.
+
 Training takes a bounded sample: `Fit.per_class` labelled texts a class, those with the smallest hash
-of their id, of at most `Fit.most_bytes` bytes each. Scoring reads whole texts in one pass; each worker
-scores a distinct word once.
+of their id; of these, texts over `Fit.most_bytes` bytes are left out. Scoring reads whole texts in one
+pass; each worker scores a distinct word once.
 
 Defined results: null and empty texts, and texts without letters, score 0. Rows with a null label teach
 nothing; with a class missing from the sample every score is the share of toxic labels, 0 without
@@ -51,6 +57,7 @@ class Fit:
     decay: float = 1e-5
     threshold: float = 0.7
     seed: int = 11
+    words: int = 64
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +96,48 @@ def distinct_words(text: str | None) -> set[str]:
 class Model:
     """Embeddings and softmax weights; `words` maps a word to the log of its clean probability."""
 
-    def __init__(self, toxic: list[str], clean: list[str], fit: Fit):
-        self.fit, self.weights, self.known = fit, None, {}
+    def __init__(self, toxic: list[str], clean: list[str], fit: Fit, by_length: bool = True):
+        self.fit, self.weights, self.known, self.power = fit, None, {}, 1.0 if by_length else 0.0
         labels = len(toxic) + len(clean)
         self.base = len(toxic) / labels if labels else 0.0
         if toxic and clean:
             self._train([distinct_words(t) for t in toxic + clean], np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+            if by_length and min(len(toxic), len(clean)) >= 4:
+                self.power = self._power(toxic, clean)
+
+    def _power(self, toxic: list[str], clean: list[str]) -> float:
+        """How the odds fall with the number of words, from halves that are scored by each other's model."""
+        rng = np.random.default_rng(self.fit.seed)
+        toxic, clean = ([texts[i] for i in rng.permutation(len(texts))] for texts in (toxic, clean))
+        p, lengths, y = [], [], []
+        for k in (0, 1):
+            half = Model(toxic[1 - k :: 2], clean[1 - k :: 2], self.fit, by_length=False)
+            if half.weights is None:
+                return 1.0
+            texts = toxic[k::2] + clean[k::2]
+            p += half.scores(texts).tolist()
+            lengths += [self._excess(len(distinct_words(t))) for t in texts]
+            y += [1.0] * len(toxic[k::2]) + [0.0] * len(clean[k::2])
+        y = np.array(y)
+        # -log(1 - p) is the log odds of a likely toxic text; of the others, all that counts is that they are not
+        x = np.column_stack((np.ones(len(y)), -np.log1p(-np.minimum(p, 1 - 1e-5)), lengths))
+        balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        ridge, w = 1e-3 * len(y) * np.diag([0.0, 1.0, 1.0]), np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w = w + np.linalg.solve((x * (balance * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (balance * (y - p)) - ridge @ w)
+        return max(1.0, float(-w[2] / w[1])) if w[1] > 0 else 1.0
+
+    def _excess(self, words: int) -> float:
+        return max(0.0, math.log(max(words, 1) / self.fit.words))
+
+    def _score(self, words: set[str]) -> float:
+        mass = math.fsum(map(self.known.__getitem__, words))  # -log of the probability that all are clean
+        less = self.power * self._excess(len(words))  # 0 for texts of few words
+        if not less:
+            return -math.expm1(-mass)
+        odds = math.expm1(min(mass, 500.0)) * math.exp(-less)
+        return odds / (1 + odds)
 
     def _train(self, docs: list[set[str]], y: np.ndarray) -> None:
         fit, rng = self.fit, np.random.default_rng(self.fit.seed)
@@ -165,7 +208,7 @@ class Model:
             new = sorted(set().union(*docs) - known.keys())
             if new:
                 self._learn(new)
-            out[part] = [-math.expm1(-math.fsum(map(known.__getitem__, d))) for d in docs]
+            out[part] = [self._score(d) for d in docs]
         return out
 
 

@@ -103,6 +103,21 @@ def test_toxicity_scores_equal_word_by_word():
         assert model.scores([text])[0] == pytest.approx(1 - clean, abs=1e-4)
 
 
+def test_toxicity_of_clean_documents_does_not_rise_with_length():
+    rng, toxic, clean = random.Random(4), [], []
+    for i in range(240):
+        words = prose(rng.choice((20, 60, 200, 600)), 40_000 + i).split()
+        if i % 3 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(MILD))
+        (clean if i % 3 else toxic).append(" ".join(words))
+    model = toxicity.Model(toxic, clean, toxicity.Fit())
+    long = [prose(6000, 50_000 + i) for i in range(60)]
+    assert np.mean(model.scores(long) >= 0.7) <= 0.05
+    assert np.mean(model.scores([prose(40, 60_000 + i) for i in range(60)]) >= 0.7) <= 0.05
+    assert np.mean(model.scores([f"{t} {' '.join(MILD)}" for t in long]) >= 0.7) > 0.9
+
+
 @pytest.mark.parametrize("kind", [quality_classifier, toxicity])
 def test_awkward_rows(spark, kind):
     df = spark.createDataFrame([(*r, "x") for r in awkward()], SCHEMA + ", Score string")
