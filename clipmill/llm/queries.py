@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.llm import decontaminate, html_extract, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_rules
+from clipmill import storage
+from clipmill.llm import decontaminate, html_extract, lexical_search, mixing, near_dedup, quality_classifier, quality_rules, sharding
+from clipmill.llm import token_counts, token_files, toxicity, url_rules, vector_codes
 from clipmill.llm.common import in_fold
 from clipmill.llm.oracles import ORACLES
 
@@ -92,6 +96,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages)).drop("html")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest in token files, read back from them."""
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    path = storage.scratch_dir(spark, "token-files")
+    documents = _table(spark, sf_dir, "documents")
+    token_files.write(documents, path, vocabulary, end_id=2, by_word=True, keep=("lang", "source"))
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(*(_table(spark, sf_dir, t) for t in ("documents", "benchmark")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of eight parts, with errors and the digest of the codebooks."""
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_decontamination": op2_decontamination,
@@ -103,4 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filter": op9_url_filter,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_files": op11_token_files,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_vector_codes": op13_vector_codes,
 }

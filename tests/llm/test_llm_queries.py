@@ -30,6 +30,7 @@ def test_query_agrees_with_sql(spark, name):
         ("op8_quality_classifier", "documents", "doc_id held_out score predicted"),
         ("op9_url_filter", "pages", "page_id host path rule verdict"),
         ("op10_html_extraction", "pages", "page_id url text n_chars"),
+        ("op11_token_files", "documents", "doc_id start n_tokens ids_crc32"),
     ],
 )
 def test_every_row_has_a_result(spark, name, table, columns):
@@ -40,7 +41,7 @@ def test_every_row_has_a_result(spark, name, table, columns):
 
 def test_every_operator_is_registered():
     names = queries().keys()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
 
 

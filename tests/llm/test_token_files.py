@@ -1,0 +1,133 @@
+import glob
+import unicodedata
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from cases import SCHEMA, awkward, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from clipmill import storage
+from clipmill.llm import token_files as t
+
+END = 2
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def brute(vocabulary, rows):
+    """(doc_id, start, n, crc32) of rows in the order of the files, each text encoded whole."""
+    tokenizer, at, out = Tokenizer.from_str(vocabulary), 0, []
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, END], dtype="<u4")
+        out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+@pytest.fixture
+def written(spark, vocabulary, tmp_path):
+    def write(rows, schema="doc_id long, text string", **options):
+        docs = rows if hasattr(rows, "columns") else spark.createDataFrame(rows, schema)
+        t.write(docs, str(tmp_path / "out"), vocabulary, END, **{"by_word": True, **options})
+        return str(tmp_path / "out")
+
+    return write
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+@pytest.mark.parametrize("encoding", t.ENCODINGS)
+def test_files_equal_whole_encodings(spark, vocabulary, written, by_word, encoding):
+    rows = [(i, prose(5 + 40 * (i % 7), i)) for i in range(60)] + [(60, "Wow! It's <|endoftext|> 3!!\tÉté, İ. ok"), (61, "!"), (62, "")]
+    path = written(rows[::-1], by_word=by_word, layout=t.Layout(encoding, files=5))
+    got = t.digests(t.read(spark, path)).orderBy("start").collect()
+    assert [tuple(r) for r in got] == brute(vocabulary, rows)
+
+
+def test_awkward_rows(spark, vocabulary, written):
+    schema = SCHEMA.replace("lang", "ids").replace("source", "start")
+    path = written(awkward(), schema, keep=("ids", "start"), layout=t.Layout(files=4))
+    got = t.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5, 6]
+    assert [(r.meta.ids, r.meta.start) for r in got] == [(r[2], r[3]) for r in awkward()]
+    want = brute(vocabulary, [r[:2] for r in awkward()])
+    assert [tuple(r) for r in t.digests(t.read(spark, path)).orderBy("start").collect()] == want
+    assert [r.ids for r in got if r.doc_id in (1, 2, 3)] == [[END]] * 3
+    again = written(spark.createDataFrame([], SCHEMA))
+    assert t.read(spark, again).count() == 0  # and nothing is left of the run before
+
+
+def test_one_id_with_most_rows_is_spread(spark, written):
+    rows = [(7, "one text")] * 300 + [(i, "other") for i in range(20)]
+    got = t.read(spark, path := written(rows, layout=t.Layout(files=8))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()]
+    assert max(r["rows"] for r in spark.read.parquet(f"{path}/offsets").collect()) < 150
+
+
+@pytest.mark.parametrize("encoding, kind", [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_layout_of_the_files(written, encoding, kind):
+    rows = [(i, prose(60, i)) for i in range(600)]
+    layout = t.Layout(encoding, files=1, group_bytes=64 << 10, page_rows=50)
+    (file,) = glob.glob(f"{written(rows, layout=layout)}/data/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 2
+    columns = {meta.row_group(0).column(c).path_in_schema: meta.row_group(0).column(c) for c in range(meta.num_columns)}
+    assert kind in columns["ids.list.element"].encodings
+    assert set(columns["doc_id"].encodings) == {"DELTA_BINARY_PACKED"}
+    assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+
+
+def test_reads_are_selective(spark, written):
+    path = written([(i, prose(30, i), f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string", keep=("source",))
+    some = t.read(spark, path, "doc_id between 40 and 49")
+    plan = some.select("doc_id", "meta.source")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,40)" in plan and "ReadSchema: struct<part:int,doc_id:bigint,meta:struct<source:string>>" in plan
+    assert sorted(r.doc_id for r in some.collect()) == list(range(40, 50))
+    assert [r.start for r in some.orderBy("doc_id").collect()] == [
+        r.start for r in t.read(spark, path).where("doc_id between 40 and 49").orderBy("doc_id").collect()
+    ]
+
+
+def test_output_without_offsets_is_not_finished(spark, written):
+    path = written([(1, "a b c")])
+    storage.remove(spark, f"{path}/offsets")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        t.read(spark, path)
+    with pytest.raises(ValueError):
+        written([(1, "a")], layout=t.Layout("plain"))
+    with pytest.raises(ValueError):
+        written([(1, "a")], layout=t.Layout(files=t.MOST_FILES + 1))
+
+
+LETTERS = st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \t\n!.,'<|>sStT0é́İ़क़Åﬁ"), max_size=40)
+
+
+def test_words_encode_like_whole_texts(vocabulary):
+    encoder = t.Encoder(vocabulary, True)
+
+    @settings(max_examples=400, deadline=None)
+    @given(texts=st.lists(LETTERS, min_size=1, max_size=6))
+    def holds(texts):
+        texts = texts + [unicodedata.normalize("NFD", texts[0])]
+        assert encoder.encode(texts) == encoder.ids(texts)
+
+    holds()
+
+
+def test_memory_of_words_is_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(t, "WORDS", 50)
+    encoder = t.Encoder(vocabulary, True)
+    for i in range(20):
+        texts = [prose(40, i), "x" * 500]
+        assert encoder.encode(texts) == encoder.ids(texts)
+        assert len(encoder.words) < 200 and all(len(w) <= t.WORD_BYTES for w in encoder.words)
