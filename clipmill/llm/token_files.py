@@ -18,7 +18,8 @@ finished output, and a run that was broken off is repeated over what it left.
 
 Encoding goes word by word where the vocabulary allows it (`by_word`): if white space is dropped and always
 ends a token, the ids of a text are those of its words in a row. Words that recur are encoded once per task
-or so, in batches, and a text of any length costs no more memory than its words and ids.
+or so, and a text of any length costs no more memory than its words and ids. A word of letters, which
+normalising leaves alone, goes straight to the tokenizer's model; others go through all its steps in batches.
 
 Defined results: a null or empty text has the end id alone. Rows without a doc_id come first; rows of one
 doc_id are ordered by a hash of the text, and equal rows are all kept. An empty table gives files without
@@ -28,6 +29,8 @@ rows and an empty result. Columns of other names do no harm: only kept ones are
 from __future__ import annotations
 
 import os
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -48,13 +51,14 @@ from clipmill.shipping import ship
 #: Files of one output, and so rows of its table of offsets.
 MOST_FILES = 100_000
 #: Bytes of text encoded at a time, unless one text has more.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Words of at most so many bytes are remembered, so many of them.
-WORD_BYTES, WORDS = 32, 600_000
+WORD_BYTES, WORDS = 32, 300_000
 #: Words of one call of the tokenizer, with a sign between them that is a token of its own.
 CALL, MARK = 4096, "!"
 #: Signs that may follow a word without changing its tokens.
 TAIL = ".,;:?"
+_SIGN = re.compile(rb"(?<=[a-z])([.,;:?])(?=[ \n])")
 ENCODINGS = ("dictionary", "delta")
 
 
@@ -85,17 +89,35 @@ class Layout:
         }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else the next from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _is_word(text: str) -> bool:
+    """Letters that lower-casing and composing leave alone; they are one word, whatever sign follows."""
+    return text.isalpha() and (text.isascii() and text.islower() or text == text.lower() and unicodedata.is_normalized("NFC", text))
+
+
 class Encoder:
     """Texts to ids, as little-endian 32-bit integers."""
 
     def __init__(self, vocabulary: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.by_word = Tokenizer.from_str(vocabulary), by_word
+        self.words: dict[bytes, bytes] = {}
+        if not by_word:
+            return
         mark = self.ids([MARK])[0]
-        if by_word and len(mark) != 4:
+        if len(mark) != 4:
             raise ValueError(f"{MARK!r} is not one token of this vocabulary, so words cannot be told apart")
         self.mark = int.from_bytes(mark, "little")
-        self.words: dict[bytes, bytes] = {}
+        self.lowers = self.ids(["AB"]) == self.ids(["ab"])
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        # Whether a word of letters reaches the model as it is; looked at, for any other vocabulary.
+        self.direct = all(self._letters(w) == self.ids([w])[0] for w in ("word", "añojado", "строка", "東京都"))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -108,7 +130,8 @@ class Encoder:
             self.words.clear()
         data = [t.encode("utf-8") for t in texts]
         # ASCII capitals are the same word for a lower-casing vocabulary, but for the names of special tokens.
-        split = [(d if b"<|" in d else d.lower()).split() for d in data] if self._lowers else [d.split() for d in data]
+        data = [d.lower() if self.lowers and b"<|" not in d else d for d in data]
+        split = [(_SIGN.sub(rb" \1", d) if self.direct else d).split() for d in data]
         words = list(chain.from_iterable(split))
         found = list(map(self.words.get, words))
         if None in found:
@@ -117,45 +140,48 @@ class Encoder:
         rest = iter(found)
         return [b"".join(islice(rest, len(s))) for s in split]
 
-    @property
-    def _lowers(self) -> bool:
-        if not hasattr(self, "_lower"):
-            self._lower = self.ids(["AB"]) == self.ids(["ab"])
-        return self._lower
-
     def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words not remembered; short ones are remembered from now on."""
-        parts: dict[bytes, tuple[str, str]] = {}
+        fresh, others = {b"": b""}, []
+        tails: dict[bytes, tuple[bytes, bytes]] = {}
         for word in new:
             text = word.decode("utf-8")
             core = text.rstrip(TAIL)
-            # Letters that folding and composing leave alone are one word, whatever sign follows them.
-            plain = core.isalpha() and (core.isascii() or core == core.lower() and unicodedata.is_normalized("NFC", core))
-            parts[word] = (core, text[len(core) :]) if plain else (text, "")
-        pieces = {p.encode() for pair in parts.values() for p in pair if p}
-        ids = {p: self.words[p] for p in pieces if p in self.words}
-        ids |= self._words([p for p in pieces if p not in ids])
-        ids[b""] = b""
-        fresh = {word: ids[core.encode()] + ids[tail.encode()] for word, (core, tail) in parts.items()}
-        self.words.update((w, v) for w, v in chain(ids.items(), fresh.items()) if len(w) <= WORD_BYTES)
+            if not self.direct or not _is_word(core):
+                others.append(word)
+                continue
+            if len(core) < len(text):
+                whole, word = word, core.encode("utf-8")
+                tails[whole] = word, whole[len(word) :]
+            if word not in fresh:
+                fresh[word] = self.words.get(word) or self._letters(core)
+        signs = {tail for _, tail in tails.values()}
+        fresh |= self._words([*others, *signs.difference(others)])
+        fresh |= {whole: fresh[word] + fresh[tail] for whole, (word, tail) in tails.items()}
+        self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_BYTES)
         return fresh
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of letters, straight from the model."""
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(tokens := [x.id for x in self.model.tokenize(word)])}I", *tokens)
+
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each word, many in one call, cut apart at the mark between them."""
         texts = [w.decode("utf-8") for w in words]
-        # Words that hold the mark, and special tokens, which may hold its id, go by themselves.
-        alone = [i for i, t in enumerate(texts) if MARK in t or unicodedata.normalize("NFC", t).find(MARK) >= 0 or "<|" in t]
-        apart = set(alone)
-        joined = [i for i in range(len(texts)) if i not in apart]
-        out = dict(zip((words[i] for i in alone), self.ids([texts[i] for i in alone]))) if alone else {}
+        # Words that hold the mark, or a special token, go by themselves.
+        apart = [i for i, t in enumerate(texts) if MARK in unicodedata.normalize("NFC", t) or "<|" in t]
+        out = dict(zip((words[i] for i in apart), self.ids([texts[i] for i in apart]))) if apart else {}
+        joined = [w for w in words if w not in out]
         for k in range(0, len(joined), CALL):
             part = joined[k : k + CALL]
-            ids = np.frombuffer(self.ids([f" {MARK} ".join(texts[i] for i in part)])[0], dtype="<u4")
+            ids = np.frombuffer(self.ids([f" {MARK} ".join(map(bytes.decode, part))])[0], dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1:
                 raise ValueError("words run into each other: encode whole texts (by_word=False)")
             starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            out.update((words[i], ids[a:b].tobytes()) for i, a, b in zip(part, starts, ends))
+            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends))
         return out
 
 
