@@ -29,7 +29,6 @@ rows and an empty result. Columns of other names do no harm: only kept ones are
 from __future__ import annotations
 
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -52,13 +51,12 @@ from clipmill.shipping import ship
 MOST_FILES = 100_000
 #: Bytes of text encoded at a time, unless one text has more.
 CHUNK = 2 << 20
-#: Words of at most so many bytes are remembered, so many of them.
-WORD_BYTES, WORDS = 32, 300_000
+#: Words of at most so many bytes are remembered, up to twice so many of them.
+WORD_BYTES, WORDS = 32, 160_000
 #: Words of one call of the tokenizer, with a sign between them that is a token of its own.
 CALL, MARK = 4096, "!"
 #: Signs that may follow a word without changing its tokens.
 TAIL = ".,;:?"
-_SIGN = re.compile(rb"(?<=[a-z])([.,;:?])(?=[ \n])")
 ENCODINGS = ("dictionary", "delta")
 
 
@@ -96,9 +94,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def _is_word(text: str) -> bool:
-    """Letters that lower-casing and composing leave alone; they are one word, whatever sign follows."""
-    return text.isalpha() and (text.isascii() and text.islower() or text == text.lower() and unicodedata.is_normalized("NFC", text))
+def _word(text: str) -> str | None:
+    """The text in lower case if it is letters that composing leaves alone: one word, whatever sign follows.
+
+    Capital sigma is left to the tokenizer, which lowers it without regard to its place.
+    """
+    if text.isascii():
+        return text if text.isalpha() and text.islower() else None
+    low = text.lower()
+    return low if low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else None
 
 
 class Encoder:
@@ -108,6 +112,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.by_word = Tokenizer.from_str(vocabulary), by_word
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # words before those, until they are met again
         if not by_word:
             return
         mark = self.ids([MARK])[0]
@@ -127,37 +132,40 @@ class Encoder:
         if not self.by_word:
             return self.ids(texts)
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words, self.old = {}, self.words
         data = [t.encode("utf-8") for t in texts]
         # ASCII capitals are the same word for a lower-casing vocabulary, but for the names of special tokens.
-        data = [d.lower() if self.lowers and b"<|" not in d else d for d in data]
-        split = [(_SIGN.sub(rb" \1", d) if self.direct else d).split() for d in data]
+        split = [(d.lower() if self.lowers and b"<|" not in d else d).split() for d in data]
         words = list(chain.from_iterable(split))
         found = list(map(self.words.get, words))
-        if None in found:
-            fresh = self._fresh({w for w, ids in zip(words, found) if ids is None})
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            fresh = self._fresh({words[i] for i in gaps})
+            for i in gaps:
+                found[i] = fresh[words[i]]
         rest = iter(found)
         return [b"".join(islice(rest, len(s))) for s in split]
 
     def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words not remembered; short ones are remembered from now on."""
-        fresh, others = {b"": b""}, []
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in new:
+        """The ids of words not met lately; short ones are remembered from now on."""
+        fresh = {w: self.old[w] for w in new if w in self.old}
+        known, others, tails = {b"": b""}, [], {}
+        for word in new.difference(fresh):
             text = word.decode("utf-8")
             core = text.rstrip(TAIL)
-            if not self.direct or not _is_word(core):
+            low = _word(core) if self.direct else None
+            if low is None:
                 others.append(word)
                 continue
             if len(core) < len(text):
                 whole, word = word, core.encode("utf-8")
                 tails[whole] = word, whole[len(word) :]
-            if word not in fresh:
-                fresh[word] = self.words.get(word) or self._letters(core)
+            if word not in known:
+                known[word] = fresh.get(word) or self.words.get(word) or self._letters(low)
         signs = {tail for _, tail in tails.values()}
-        fresh |= self._words([*others, *signs.difference(others)])
-        fresh |= {whole: fresh[word] + fresh[tail] for whole, (word, tail) in tails.items()}
+        known |= self._words([*others, *signs.difference(others)])
+        fresh |= known
+        fresh |= {whole: known[word] + known[tail] for whole, (word, tail) in tails.items()}
         self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_BYTES)
         return fresh
 
