@@ -29,7 +29,6 @@ rows and an empty result. Columns of other names do no harm: only kept ones are
 from __future__ import annotations
 
 import os
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -50,7 +49,7 @@ from clipmill.shipping import ship
 #: Files of one output, and so rows of its table of offsets.
 MOST_FILES = 100_000
 #: Bytes of text encoded at a time, unless one text has more.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 #: Words of at most so many bytes are remembered, up to twice so many of them.
 WORD_BYTES, WORDS = 32, 160_000
 #: Words of one call of the tokenizer, with a sign between them that is a token of its own.
@@ -121,6 +120,7 @@ class Encoder:
         self.mark = int.from_bytes(mark, "little")
         self.lowers = self.ids(["AB"]) == self.ids(["ab"])
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         # Whether a word of letters reaches the model as it is; looked at, for any other vocabulary.
         self.direct = all(self._letters(w) == self.ids([w])[0] for w in ("word", "añojado", "строка", "東京都"))
 
@@ -148,32 +148,37 @@ class Encoder:
 
     def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words not met lately; short ones are remembered from now on."""
-        fresh = {w: self.old[w] for w in new if w in self.old}
-        known, others, tails = {b"": b""}, [], {}
-        for word in new.difference(fresh):
-            text = word.decode("utf-8")
-            core = text.rstrip(TAIL)
-            low = _word(core) if self.direct else None
-            if low is None:
+        fresh, others, tails, old = {}, [], [], self.old
+        for word in new:
+            ids = old.get(word)
+            if ids is None and self.direct:
+                text = word.decode("utf-8")
+                core = text.rstrip(TAIL)
+                low = _word(core)
+                if low is not None:
+                    ids = self._letters(low)
+                    if len(core) < len(text):
+                        tails.append((word, ids, text[len(core) :].encode("utf-8")))
+                        continue
+            if ids is None:
                 others.append(word)
-                continue
-            if len(core) < len(text):
-                whole, word = word, core.encode("utf-8")
-                tails[whole] = word, whole[len(word) :]
-            if word not in known:
-                known[word] = fresh.get(word) or self.words.get(word) or self._letters(low)
-        signs = {tail for _, tail in tails.values()}
-        known |= self._words([*others, *signs.difference(others)])
-        fresh |= known
-        fresh |= {whole: known[word] + known[tail] for whole, (word, tail) in tails.items()}
-        self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_BYTES)
+            else:
+                fresh[word] = ids
+        fresh |= self._words([*others, *{tail for _, _, tail in tails if tail not in fresh}.difference(others)])
+        for word, ids, tail in tails:
+            fresh[word] = ids + fresh[tail]
+        if max(map(len, fresh)) <= WORD_BYTES:
+            self.words.update(fresh)
+        else:
+            self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= WORD_BYTES)
         return fresh
 
     def _letters(self, word: str) -> bytes:
         """The ids of a word of letters, straight from the model."""
         if not word.isascii():
             word = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return struct.pack(f"<{len(tokens := [x.id for x in self.model.tokenize(word)])}I", *tokens)
+        four = self.four
+        return b"".join([four[x.id] for x in self.model.tokenize(word)])
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each word, many in one call, cut apart at the mark between them."""
