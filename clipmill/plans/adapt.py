@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipmill import storage
+from clipmill import publication, storage
 from clipmill.functions.fields import label_to_endpoint
-from clipmill.operators.aggregates import split_counts
 from clipmill.operators.audio import settle_errors
-from clipmill.operators.validate import validate_manifest
+from clipmill.operators.joins import spread_lookup
+from clipmill.operators.validate import ManifestProfile, validate_manifest
+from clipmill.publication import Record
 from clipmill.schemas import DATASET
-from clipmill.sinks.dataset import write_dataset_card, write_splits
+from clipmill.sinks.dataset import DATA, QUARANTINE, split_counts_of, write_dataset_card, write_splits
 from clipmill.sources.clips import canonical_clips
 from clipmill.sources.export_dir import Export
+from clipmill.sources.manifest import staged_manifest
 
 
 # Spark reads Parquet in batches of 4,096 rows, which is too much memory for rows with audio.
@@ -53,8 +55,6 @@ def binary_endpoint(rows: DataFrame, language: str) -> DataFrame:
     return rows.select(*columns, "split")
 
 
-QUARANTINE = "quarantine.parquet"
-
 # name -> function(rows with canonical bytes, **options) -> dataset rows plus split
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {"binary_endpoint": binary_endpoint}
 
@@ -68,39 +68,80 @@ def adapt(
     how: str = "auto",
     on_error: str = "fail",
 ) -> AdaptResult:
-    """Run an adapter over an export and write the dataset with its card.
+    """Run an adapter over an export and publish the dataset with its card.
 
     All manifest rules are checked in one pass before any clip is read. With
-    ``on_error='quarantine'`` rows whose clip is broken go to ``quarantine.parquet``.
+    ``on_error='quarantine'`` rows whose clip is broken go to the run's ``quarantine`` directory.
     """
     to_dataset = partial(ADAPTERS[adapter], language=language)
-    with storage.staged(export.manifest(), "manifest") as manifest:
+    with staged_manifest(spark, export.manifest(), export.manifest_path) as manifest:
         profile = validate_manifest(manifest)
-        rows = canonical_clips(spark, manifest, export.clips_dir, profile, how)
-        if on_error == "quarantine":
-            counts = write_good_and_bad(rows, out_dir, to_dataset)
-        else:
-            counts = profile.split_counts
-            write_splits(to_dataset(settle_errors(rows, on_error)), out_dir)
-            storage.remove(spark, storage.join(out_dir, QUARANTINE))  # of an earlier run
+        record = publish_rows(spark, manifest, profile, export.clips_dir, out_dir, to_dataset, how, on_error)
     params = {"manifest": export.manifest_path, "clips_dir": export.clips_dir, "language": language}
-    write_dataset_card(spark, out_dir, counts, params)
-    return AdaptResult(sum(counts.values()), counts)
-
+    write_dataset_card(spark, out_dir, record.totals, params, [record.run])
+    return AdaptResult(sum(record.splits.values()), record.splits)
 
-def write_good_and_bad(rows: DataFrame, out_dir: str, to_dataset, batch: int | None = None) -> dict[str, int]:
-    """Decode once into a working copy; good rows become the dataset, bad ones a side table.
 
-    With ``batch`` only that batch's part of both is replaced.
+def publish_rows(
+    spark: SparkSession,
+    manifest: DataFrame,
+    profile: ManifestProfile,
+    clips_dir: str,
+    out_dir: str,
+    to_dataset: Callable[[DataFrame], DataFrame],
+    how: str = "auto",
+    on_error: str = "fail",
+    batch: int | None = None,
+) -> Record:
+    """Convert all clips of a manifest into a run, then publish it (as a batch of a stream, if given)."""
+    run = publication.new_run(batch)
+    run_dir = storage.join(out_dir, run)
+    try:
+        counts, quarantined = _write_run(spark, manifest, profile, clips_dir, run_dir, to_dataset, how, on_error)
+    except Exception:
+        publication.discard(spark, out_dir, run)
+        raise
+    return publication.publish(spark, out_dir, run, counts, quarantined, batch)
+
+
+def _write_run(
+    spark: SparkSession, manifest: DataFrame, profile: ManifestProfile, clips_dir: str, run_dir: str, to_dataset, how: str, on_error: str
+) -> tuple[dict[str, int], int]:
+    """Write a run's splits, and its quarantine if it has one; returns rows by split, and rows set aside."""
+    rows = canonical_clips(spark, manifest, clips_dir, profile, how)
+    if on_error != "quarantine":
+        write_splits(to_dataset(settle_errors(rows, on_error)), run_dir)
+        return profile.split_counts, 0
+    write_splits(to_dataset(rows.where("error is null").drop("error")), run_dir)
+    counts, quarantined = split_counts_of(spark, run_dir), 0
+    if sum(counts.values()) < profile.total:
+        quarantined = _set_aside(spark, manifest, profile, clips_dir, run_dir, to_dataset, how)
+        counts = split_counts_of(spark, run_dir)
+    return counts, quarantined
+
+
+def _set_aside(
+    spark: SparkSession, manifest: DataFrame, profile: ManifestProfile, clips_dir: str, run_dir: str, to_dataset, how: str
+) -> int:
+    """Write the rows that the run lacks to its quarantine, with the error; returns how many.
+
+    Good clips are neither decoded nor written again: the run's clip paths, which are read without the
+    audio, tell which clips are missing, and only those are tried once more for their error. One that
+    can be read now joins the run.
     """
-    aside = storage.join(out_dir, QUARANTINE, *([] if batch is None else [f"batch={batch}"]))
-    small_batches = storage.setting(rows.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", AUDIO_ROWS_PER_BATCH)
-    with storage.staged(rows, "decoded") as decoded, small_batches:
-        good = decoded.where(F.col("error").isNull()).drop("error")
-        bad = decoded.where(F.col("error").isNotNull()).drop("bytes")
-        bad.write.mode("overwrite").parquet(aside)
-        write_splits(to_dataset(good), out_dir, batch=batch)
-        return {r["split"]: r["n"] for r in split_counts(good).collect()}  # three rows at most
+    written = spark.read.schema(DATASET).parquet(storage.join(run_dir, DATA)).select(F.col("audio.path").alias("clip_path"))
+    lost = manifest.select("clip_path").distinct().join(written.distinct(), "clip_path", "left_anti")
+    rest = spread_lookup(manifest, lost, "clip_path", "annotation_id", "left_semi").select(*manifest.columns)
+    with storage.staged(rest, "second-try") as rest:
+        again = canonical_clips(spark, rest, clips_dir, replace(profile, total=rest.count()), how)
+        small = storage.setting(spark, "spark.sql.parquet.columnarReaderBatchSize", AUDIO_ROWS_PER_BATCH)
+        with storage.staged(again, "tried") as tried, small:
+            bad = tried.where("error is not null").drop("bytes")
+            bad.write.parquet(storage.join(run_dir, QUARANTINE))
+            n_bad = bad.count()
+            if n_bad < tried.count():
+                write_splits(to_dataset(tried.where("error is null").drop("error")), run_dir, more=True)
+            return n_bad
 
 
 def adapt_binary_endpoint(

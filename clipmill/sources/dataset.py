@@ -1,28 +1,38 @@
-"""Reading written datasets back."""
+"""Reading written datasets back, through the records that name their runs."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill import storage
-from clipmill.schemas import SPLITS
+from clipmill import publication, storage
+from clipmill.schemas import DATASET, SPLITS
+from clipmill.sinks.dataset import DATA, QUARANTINE
 
 
 def dataset_splits(spark: SparkSession, out_dir: str) -> list[str]:
-    """The splits on disk; an empty split is not written, so not offered."""
-    return [s for s in SPLITS if storage.exists(spark, storage.join(out_dir, f"{s}.parquet"))]
+    """The splits with rows; an empty split is not written, so not offered."""
+    held = {s for record in publication.records(spark, out_dir) for s in record.splits}
+    return [s for s in SPLITS if s in held]
 
 
 def read_dataset(spark: SparkSession, out_dir: str, split: str | None = None) -> DataFrame:
-    """One split, or all splits on disk with a ``split`` column."""
-    if split is not None:
-        # Splits written by the stream hold one folder per batch.
-        return spark.read.parquet(storage.join(out_dir, f"{split}.parquet")).drop("batch")
-    found = dataset_splits(spark, out_dir)
-    if not found:
-        raise FileNotFoundError(f"{out_dir}: no split on disk")
-    parts = [read_dataset(spark, out_dir, s).withColumn("split", F.lit(s)) for s in found]
-    return reduce(DataFrame.unionByName, parts)
+    """One split, or all splits with a ``split`` column, of the runs published at this moment."""
+    found = publication.records(spark, out_dir)
+    parts = []
+    for name in SPLITS if split is None else [split]:
+        paths = [storage.join(out_dir, r.run, DATA, f"split={name}") for r in found if r.splits.get(name)]
+        if paths:
+            parts.append(spark.read.schema(DATASET).parquet(*paths).withColumn("split", F.lit(name)))
+    if not parts:
+        raise FileNotFoundError(f"{out_dir}: no split {split or ''} published")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows if split is None else rows.drop("split")
+
+
+def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """Manifest rows set aside for their clips, with ``error``; none if no published run has any."""
+    found = [r.run for r in publication.records(spark, out_dir) if r.quarantined]
+    return spark.read.parquet(*[storage.join(out_dir, run, QUARANTINE) for run in found]) if found else None

@@ -61,6 +61,32 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     write_bytes(spark, path, text.encode("utf-8"))
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, p = _fs(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(source.readAllBytes()).decode("utf-8")
+    finally:
+        source.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a directory holds, sorted; nothing for one that is not there."""
+    fs, p = _fs(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all; its name must not be taken."""
+    folder, _, name = path.rpartition("/")
+    partial = join(folder, f"_{name}.{uuid.uuid4().hex}")
+    write_text(spark, partial, text)
+    if exists(spark, path):
+        raise FileExistsError(path)
+    rename(spark, partial, path)
+
+
 _local_roots: list[str] = []
 
 

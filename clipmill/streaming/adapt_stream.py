@@ -7,20 +7,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from clipmill import storage
-from clipmill.operators.audio import settle_errors
+from clipmill import publication
 from clipmill.operators.validate import validate_manifest
-from clipmill.plans.adapt import ADAPTERS, write_good_and_bad
-from clipmill.schemas import SPLITS
-from clipmill.sinks.dataset import write_dataset_card, write_splits
-from clipmill.sources.clips import canonical_clips
-from clipmill.sources.manifest import checked_records, nonblank_lines, parse_manifest
-
-
-def _on_disk(spark: SparkSession, out_dir: str) -> dict[str, int]:
-    """Rows of each split written so far, as the files' footers tell."""
-    paths = {split: storage.join(out_dir, f"{split}.parquet") for split in SPLITS}
-    return {split: spark.read.parquet(path).count() for split, path in paths.items() if storage.exists(spark, path)}
+from clipmill.plans.adapt import ADAPTERS, publish_rows
+from clipmill.sinks.dataset import write_dataset_card
+from clipmill.sources.manifest import checked_records, nonblank_lines, parse_manifest, staged_manifest
 
 
 def adapt_stream(
@@ -37,25 +28,24 @@ def adapt_stream(
 ) -> StreamingQuery:
     """Adapt every manifest file of a directory once, then stop; run again to take in new files.
 
-    The checkpoint remembers the files done. Each micro-batch is validated like a whole manifest
-    and goes to ``{split}.parquet/batch=<id>``; a bad manifest stops the stream before it writes.
-    With ``on_error='quarantine'`` rows whose clip is broken go to ``quarantine.parquet``, by batch
-    too. The card is written anew after each batch, from the rows on disk.
+    The checkpoint remembers the files done. Each micro-batch is validated like a whole manifest and
+    published as a batch of the dataset; a bad manifest stops the stream before it writes. A batch that
+    is repeated after a failure replaces itself. With ``on_error='quarantine'`` rows whose clip is broken
+    are set aside in the batch. The card is written anew after each batch, from the sums that its record
+    holds: no file of an earlier batch is opened.
     """
 
     def handle(lines: DataFrame, batch_id: int) -> None:
-        with storage.staged(checked_records(parse_manifest(lines)), "manifest") as manifest:
+        session = lines.sparkSession
+        with staged_manifest(session, checked_records(parse_manifest(lines)), lines=lines) as manifest:
             profile = validate_manifest(manifest, allow_empty=True)
             if profile.total == 0:
-                return
-            session = lines.sparkSession
-            rows = canonical_clips(session, manifest, clips_dir, profile, how)
-            to_dataset = partial(ADAPTERS[adapter], language=language)
-            if on_error == "quarantine":
-                write_good_and_bad(rows, out_dir, to_dataset, batch_id)
+                record = publication.publish(session, out_dir, None, {}, batch=batch_id)
             else:
-                write_splits(to_dataset(settle_errors(rows, on_error)), out_dir, batch=batch_id)
-            write_dataset_card(session, out_dir, _on_disk(session, out_dir), params)
+                to_dataset = partial(ADAPTERS[adapter], language=language)
+                record = publish_rows(session, manifest, profile, clips_dir, out_dir, to_dataset, how, on_error, batch_id)
+        runs = ([record.base] if record.base else []) + ["runs/batch=*/*"]
+        write_dataset_card(session, out_dir, record.totals, params, runs)
 
     params = {"manifest": manifest_dir, "clips_dir": clips_dir, "language": language}
     reader = spark.readStream.option("lineSep", "\n")

@@ -17,7 +17,7 @@ from clipmill.schemas import DATASET
 from clipmill.sinks.dataset import META_FILE
 from clipmill.sources import clips as clip_source
 from clipmill.sources.clips import attach_clips, read_clips
-from clipmill.sources.dataset import dataset_splits, read_dataset
+from clipmill.sources.dataset import dataset_splits, read_dataset, read_quarantine
 from clipmill.sources.export_dir import open_export
 from clipmill.sources.manifest import read_manifest
 from clipmill.sources.pages import read_pages
@@ -70,7 +70,7 @@ def test_written_columns_are_required(spark, six, tmp_path):
     import pyarrow.parquet as pq
 
     adapt_binary_endpoint(spark, six, str(tmp_path / "out"), "zh")
-    (part, *_) = (tmp_path / "out" / "train.parquet").glob("*.parquet")
+    (part, *_) = (tmp_path / "out").glob("runs/whole/*/data/split=train/*.parquet")
     schema = pq.read_schema(part)
     assert not any(schema.field(name).nullable for name in DATASET.fieldNames())
     assert pq.ParquetFile(part).metadata.row_group(0).column(0).compression == "SNAPPY"
@@ -103,11 +103,11 @@ def test_corrupt_clip_can_be_set_aside(spark, make_export, tmp_path):
     result = adapt_binary_endpoint(spark, export, out, "zh", on_error="quarantine")
     assert result.split_counts == {"train": 1}
     assert [r.annotation_id for r in read_dataset(spark, out, "train").collect()] == ["good"]
-    (aside,) = spark.read.parquet(f"{out}/quarantine.parquet").collect()
+    (aside,) = read_quarantine(spark, out).collect()
     assert aside.annotation_id == "bad" and "clips/bad.wav" in aside.error
     shutil.copy(os.path.join(export.clips_dir, "good.wav"), os.path.join(export.clips_dir, "bad.wav"))
     assert adapt_binary_endpoint(spark, export, out, "zh").split_counts == {"train": 2}
-    assert not os.path.exists(f"{out}/quarantine.parquet")
+    assert read_quarantine(spark, out) is None
 
 
 def test_stream_sets_aside_and_writes_a_card(spark, make_export, tmp_path):
@@ -117,7 +117,7 @@ def test_stream_sets_aside_and_writes_a_card(spark, make_export, tmp_path):
     (tmp_path / "incoming").mkdir()
     shutil.copy(f"{root}/manifest.jsonl", tmp_path / "incoming" / "first.jsonl")
     adapt_stream(spark, str(tmp_path / "incoming"), f"{root}/clips", out, str(tmp_path / "cp"), "zh", on_error="quarantine").awaitTermination()
-    assert [r.annotation_id for r in spark.read.parquet(f"{out}/quarantine.parquet").collect()] == ["bad"]
+    assert [r.annotation_id for r in read_quarantine(spark, out).collect()] == ["bad"]
     meta = json.loads((tmp_path / "out" / "export_meta.json").read_text())
     assert meta["split_counts"] == {"train": 1} and "train: 1 clips" in (tmp_path / "out" / "README.md").read_text()
 
