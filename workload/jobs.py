@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import partial
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +17,11 @@ from clipmill.plans.freeze import freeze_export, save_export
 from clipmill.plans.materialize import materialize, write_clips
 from clipmill.schemas import EXPORTS, MANIFEST, wire_name, wire_schema
 from clipmill.sinks.dataset import META_FILE
-from clipmill.sinks.manifest import write_manifest
+from clipmill.sinks.manifest import manifest_line, write_manifest
 from clipmill.sources.clips import attach_clips, read_clips
 from clipmill.sources.dataset import read_dataset
 from clipmill.sources.export_dir import Export, open_export
-from clipmill.sources.manifest import read_manifest
+from clipmill.sources.manifest import bad_lines, read_manifest
 from clipmill.sources.pages import read_pages
 from clipmill.streaming.adapt_stream import adapt_stream
 from workload.audio import _DECODED, pcm_of, pcm_oracle, source_wavs
@@ -61,6 +63,30 @@ def _(t):
     return read_manifest(t.spark, path)
 
 
+@query(
+    "bad_manifest_lines",
+    oracle(
+        """select annotation_id, place, 'not valid JSON' problem from (
+             select annotation_id, cast(row_number() over (order by annotation_id) as bigint) place from manifest)
+           where annotation_id like '%7'""",
+        "annotations",
+        manifest=MANIFEST_SQL,
+    ),
+)
+def _(t):
+    # Files in the order of the ids, some lines spoilt; a line's place adds the lines of the files before.
+    rows = manifest(t)
+    spoilt = F.when(F.endswith("annotation_id", F.lit("7")), "#").otherwise("")
+    path = storage.join(storage.scratch_dir(t.spark, "manifest"), "lines")
+    rows.orderBy("annotation_id").select(F.concat(spoilt, manifest_line(rows)).alias("value")).write.text(path)
+    files = t.spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    offsets = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    found = bad_lines(t.spark, path).join(offsets, "file")
+    name = F.get_json_object(F.substr("line", F.lit(2)), "$.annotationId").alias("annotation_id")
+    return found.select(name, (F.col("before") + F.col("number")).alias("place"), "problem")
+
+
 @query(
     "read_clips",
     oracle(
@@ -291,6 +317,25 @@ for _how in ("scan", "by_path"):
         return dataset_rows(read_dataset(t.spark, out))
 
 
+@query(
+    "dataset_republished",
+    oracle(
+        """select annotation_id, split, count(*) n from (
+             select * from clip_manifest union all select * from clip_manifest where label_value = 0) group by all""",
+        "clip_manifest",
+    ),
+)
+def _(t):
+    # A whole run, then a batch that is repeated with other rows: the last record of each counts.
+    export, out = export_on_disk(t), storage.scratch_dir(t.spark, "dataset")
+    adapt_plan.adapt_binary_endpoint(t.spark, export, out, "en")
+    for label in (1, 0):
+        rows = export.manifest().where(F.col("label_value") == label)
+        to_dataset = partial(adapt_plan.binary_endpoint, language="en")
+        adapt_plan.publish_rows(t.spark, rows, validate_manifest(rows), export.clips_dir, out, to_dataset, batch=0)
+    return read_dataset(t.spark, out).groupBy("annotation_id", "split").agg(F.count("*").alias("n"))
+
+
 @query("adapt_stream", _DATASET_SQL)
 def _(t):
     export = export_on_disk(t)
