@@ -1,7 +1,12 @@
+import os
 import random
 
+import numpy as np
+import pytest
 from cases import SCHEMA, awkward, prose
+from pyspark.sql import functions as F
 
+from clipmill import storage
 from clipmill.llm import near_dedup, shingles
 from clipmill.llm.components import components
 
@@ -65,10 +70,71 @@ def test_awkward_rows(spark):
     assert near_dedup.link_components(df.where("false")).count() == 0
 
 
-def test_packed_sets_round_trip():
-    for values in shingles.shingle_sets([prose(300, 1).encode(), b"one two"], 5):
-        kept = near_dedup._unpack(near_dedup._pack(values))
-        assert len(kept) == len(values) and set(kept.tolist()) == {int(v) >> 24 for v in values}
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_of_full_sets(percent, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_SHINGLES", 64)
+    texts = [t.encode() for t in [*variants(prose(120, 1), 12, 2, 1), *variants(prose(90, 2), 8, 4, 2), prose(300, 3), "one two"]]
+    sets = shingles.shingle_sets(texts, 5)
+    sets.append(sets[0][:-1])
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            same = len(np.intersect1d(x, sets[j]))
+            if same and 100 * same >= percent * (len(x) + len(sets[j]) - same):
+                want.add((i, j))
+    got = set(zip(*(x.tolist() for x in near_dedup.linked(sets, percent))))
+    assert {(i, j) for i, j in got if i < j} == want and want
+
+
+def test_large_buckets_and_clusters_meet_in_blocks(spark, monkeypatch):
+    """A loose cluster, hardly a link in it, and a tight one, cut into many blocks."""
+    monkeypatch.setattr(near_dedup, "NODES", 16)
+    monkeypatch.setattr(near_dedup, "SETS", 8)
+    texts = [*variants(prose(120, 70), 90, 3, 5), *variants(prose(150, 71), 60, 1, 6)]
+    rows = list(enumerate(texts))
+    random.Random(2).shuffle(rows)
+    got = near_dedup.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_sketches_rule_out_pairs_and_keep_links():
+    banding = near_dedup.Banding()
+    sets = shingles.shingle_sets([t.encode() for t in variants(prose(120, 80), 400, 3, 9)], 5)
+    _, sketch = banding.signatures(sets)
+    pairs = [(i, j) for i in range(400) for j in range(i + 1, 400)]
+    a, b = (np.array(x) for x in zip(*pairs))
+    kept = ((sketch[a] == sketch[b]).sum(axis=1) >= banding.least_equal).mean()
+    assert kept < 0.25  # pairs of about 0.6
+    close = [*variants(prose(400, 81), 60, 1, 3)]
+    _, sketch = banding.signatures(shingles.shingle_sets([t.encode() for t in close], 5))
+    assert ((sketch[:1] == sketch).sum(axis=1) >= banding.least_equal).all()
+
+
+def test_tasks_send_nodes_not_pairs(spark):
+    """A loose cluster of 300 nodes has 44,850 pairs; each table key sends a row a node at most."""
+    docs = spark.createDataFrame(list(enumerate(variants(prose(120, 82), 300, 3, 4))), "id long, text string")
+    banding = near_dedup.Banding()
+    nodes = near_dedup._signatures(docs, banding).withColumn("rep", F.col("id")).cache()
+    sent = near_dedup._clusters(nodes, banding)
+    assert sent.count() <= 300 * banding.tables
+    links = near_dedup._links(docs, nodes, components(sent), banding)
+    assert links.count() < 300 * 3  # blocks of one cluster
+    nodes.unpersist()
+
+
+def test_nothing_is_left_in_the_shared_folder(spark):
+    root = storage.shared_root(spark)
+    before = set(os.listdir(root))
+    docs = spark.createDataFrame(list(enumerate(variants(prose(60, 5), 20, 1, 1))), "doc_id long, text string")
+    assert near_dedup.link_components(docs).count() == 20
+    left = set(os.listdir(root)) - before
+    assert all(len(name) == 36 or name.startswith("package") for name in left), left  # checkpoints, one folder a session
+
+
+def test_labels_reach_along_chains():
+    a = np.arange(0, 99)
+    assert near_dedup.labels_of(101, a, a + 1).tolist() == [0] * 100 + [100]
+    assert near_dedup.labels_of(3, np.array([], dtype=int), np.array([], dtype=int)).tolist() == [0, 1, 2]
 
 
 def test_word_hashes_do_not_depend_on_neighbours():
