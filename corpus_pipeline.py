@@ -69,12 +69,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; stages are written to the shared folder on the way."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; stages are written to the shared folder on the way.
+
+    A stage's table is removed when the next is written; that of the last but one stays for the result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = storage.join(storage.scratch_dir(spark, f"stage-{name}"), "rows")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            folder = storage.scratch_dir(spark, f"stage-{name}")
+            docs.write.parquet(storage.join(folder, "rows"))
+            docs = spark.read.parquet(storage.join(folder, "rows"))
+            if before:
+                storage.remove(spark, before)
+            before = folder
     return docs
