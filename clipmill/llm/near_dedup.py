@@ -164,7 +164,8 @@ def _met(rows: DataFrame, group: str, size: Column, most: int, connect: Callable
     cut_up = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
     keep = [c for c in rows.columns if c != group]
-    met = cut_up.select(group, *pair, *keep).repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    # Sorted by node too, so that groups of much the same nodes name the same, least one for all of them.
+    met = cut_up.select(group, *pair, *keep).repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "node")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
