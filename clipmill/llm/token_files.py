@@ -37,6 +37,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,7 @@ MOST_FILES = 100_000
 #: Bytes of text encoded at a time, unless one text has more.
 CHUNK = 1 << 18
 #: Words of at most so many bytes are remembered, up to twice so many of them.
-WORD_BYTES, WORDS = 32, 160_000
+WORD_BYTES, WORDS = 32, 250_000
 #: Words of one call of the tokenizer, with a sign between them that is a token of its own.
 CALL, MARK = 4096, "!"
 #: Signs that may follow a word without changing its tokens.
@@ -122,18 +123,18 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         # Whether a word of letters reaches the model as it is; looked at, for any other vocabulary.
-        self.direct = all(self._letters(w) == self.ids([w])[0] for w in ("word", "añojado", "строка", "東京都"))
+        self.direct = self.lowers and all(self._letters(w) == self.ids([w])[0] for w in ("word", "añojado", "строка", "東京都"))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, data: list[bytes]) -> list[bytes]:
+        """The ids of texts in UTF-8."""
         if not self.by_word:
-            return self.ids(texts)
+            return self.ids([d.decode("utf-8") for d in data])
         if len(self.words) > WORDS:
             self.words, self.old = {}, self.words
-        data = [t.encode("utf-8") for t in texts]
         # ASCII capitals are the same word for a lower-casing vocabulary, but for the names of special tokens.
         split = [(d.lower() if self.lowers and b"<|" not in d else d).split() for d in data]
         words = list(chain.from_iterable(split))
@@ -149,9 +150,12 @@ class Encoder:
     def _fresh(self, new: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words not met lately; short ones are remembered from now on."""
         fresh, others, tails, old = {}, [], [], self.old
+        four, tokenize = self.four, self.model.tokenize
         for word in new:
             ids = old.get(word)
-            if ids is None and self.direct:
+            if ids is None and self.direct and word.isalpha() and word.islower():  # ASCII letters
+                ids = b"".join([four[x.id] for x in tokenize(word.decode("ascii"))])
+            elif ids is None and self.direct:
                 text = word.decode("utf-8")
                 core = text.rstrip(TAIL)
                 low = _word(core)
@@ -210,16 +214,16 @@ def _encoder(vocabulary: str, by_word: bool) -> Encoder:
     return _encoders[key]
 
 
-def _chunks(texts: list[str]) -> Iterator[range]:
-    """Ranges of rows with about `CHUNK` letters each."""
+def _chunks(lengths: list[int]) -> Iterator[range]:
+    """Ranges of rows with about `CHUNK` bytes each."""
     first = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
+    for i, length in enumerate(lengths):
+        if size and size + length > CHUNK:
             yield range(first, i)
             first, size = i, 0
-        size += len(text)
-    if first < len(texts):
-        yield range(first, len(texts))
+        size += length
+    if first < len(lengths):
+        yield range(first, len(lengths))
 
 
 def write(
@@ -257,11 +261,10 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = _encoder(shared.value, by_word), 0
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column("text").cast(pa.binary())
             given = batch.drop_columns(["text"])
-            texts = texts.to_pylist()
-            for part in _chunks(texts):
-                ids = [x + end for x in encoder.encode(texts[part.start : part.stop])]
+            for part in _chunks(pc.binary_length(texts).to_pylist()):
+                ids = [x + end for x in encoder.encode(texts.slice(part.start, len(part)).to_pylist())]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
                 places = np.concatenate(([0], ends)).astype(np.int32)
