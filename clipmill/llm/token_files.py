@@ -52,7 +52,7 @@ MOST_FILES = 100_000
 #: Bytes of text encoded at a time, unless one text has more.
 CHUNK = 1 << 18
 #: Words of at most so many bytes are remembered, up to twice so many of them.
-WORD_BYTES, WORDS = 32, 250_000
+WORD_BYTES, WORDS = 32, 400_000
 #: Words of one call of the tokenizer, with a sign between them that is a token of its own.
 CALL, MARK = 4096, "!"
 #: Signs that may follow a word without changing its tokens.
