@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from functools import cache
 from urllib.parse import urlsplit
 
@@ -44,6 +45,30 @@ def length(root: str, rel: str) -> int | None:
     return info.size if info.type == fs.FileType.File else None
 
 
+def entries(root: str, folder: str) -> Iterator[tuple[str, int | None]]:
+    """What a folder below a root holds itself: names with their lengths, null for folders.
+
+    A local folder is read entry by entry, another store's in the pages its client asks for. Hidden
+    names (``_x``, ``.x``), such as files that are still being written, are left out, as Spark's file
+    sources do.
+    """
+    store, base = _open_root(root)
+    path = f"{base}/{folder}" if folder else base
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            for entry in found:
+                if entry.name.startswith(("_", ".")):
+                    continue
+                if entry.is_dir():
+                    yield entry.name, None
+                elif entry.is_file():
+                    yield entry.name, entry.stat().st_size
+        return
+    for info in store.get_file_info(fs.FileSelector(path)):
+        if not info.base_name.startswith(("_", ".")):
+            yield info.base_name, info.size if info.type == fs.FileType.File else None
+
+
 def _write_pieces(root: str, rel: str, pieces) -> int:
     """Write a file whole: under another name first, then moved, so a lost task leaves no half file."""
     store, base = _open_root(root)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,7 @@ from clipmill.functions.fields import clip_rel_path
 from clipmill.operators.audio import map_rows, try_canonicalize_clips, try_canonicalize_files
 from clipmill.operators.joins import missing_clips
 from clipmill.operators.validate import ManifestProfile
+from clipmill.shipping import ship
 
 # A manifest up to this measured size is broadcast onto a scan of the clips directory.
 BROADCAST_BYTES = 64 << 20
@@ -18,6 +23,10 @@ BROADCAST_BYTES = 64 << 20
 SHARED_CLIP_ROWS = 1_000
 # Rows per task when clips are read by path.
 CLIPS_PER_TASK = 2_000
+# Names a listing task gives on at a time.
+NAMES_PER_BATCH = 10_000
+
+LISTED = "rel string, length long"
 
 
 def read_clips(spark: SparkSession, clips_dir: str, pattern: str | None = "*.wav") -> DataFrame:
@@ -34,6 +43,41 @@ def read_clips(spark: SparkSession, clips_dir: str, pattern: str | None = "*.wav
     return reader.load(clips_dir).select(rel.alias("rel"), "length", "content")
 
 
+def list_clips(spark: SparkSession, clips_dir: str, path: str) -> DataFrame:
+    """The files below a directory, ``rel`` and ``length``, as a table written to ``path``.
+
+    The directory is listed by jobs, a level of folders each: tasks list the folders of a level, and the
+    folders they find are the next. Names stay in that table, so the driver holds no index of the files,
+    however many there are; a folder is one task's work, which gives its names on in batches. Files are
+    not opened. A folder that is not there has no files.
+    """
+    root = storage.qualify(spark, clips_dir)
+    ship(spark)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                prefix = folder + "/" if folder else ""
+                for some in batched(files_io.entries(root, folder), NAMES_PER_BATCH):
+                    names, lengths = zip(*some)
+                    rels = pa.array([prefix + name for name in names], pa.string())
+                    yield pa.RecordBatch.from_arrays([rels, pa.array(lengths, pa.int64())], names=["rel", "length"])
+
+    def level(number: int) -> DataFrame:
+        return spark.read.schema(LISTED).parquet(storage.join(path, f"level={number}"))
+
+    folders, n, number = spark.range(1).select(F.lit("").alias("rel")), int(storage.exists(spark, clips_dir)), 0
+    while n:
+        tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-n // 100)))
+        found = folders.repartition(tasks).mapInArrow(look, LISTED)
+        found.write.parquet(storage.join(path, f"level={number}"))
+        folders, number = level(number).where("length is null").select("rel"), number + 1
+        n = folders.count()
+    if not number:
+        return spark.createDataFrame([], LISTED)
+    return spark.read.schema(LISTED).parquet(path).where("length is not null").select("rel", "length")
+
+
 def fetch_clips(rows: DataFrame, clips_dir: str, rel: str = "rel") -> DataFrame:
     """Add ``content``: each row's task opens the file itself, so only strings are ever shuffled."""
     root = storage.qualify(rows.sparkSession, clips_dir)

@@ -340,3 +340,80 @@ def test_bad_pages_fail(spark, tmp_path, text):
     (tmp_path / "p.json").write_text(text)
     with pytest.raises(Exception):
         read_pages(spark, str(tmp_path / "p.json"), "files").collect()
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("block", [64, 700, 1 << 20])
+def test_pages_of_one_file_span_tasks(spark, conf, tmp_path, indent, block):
+    item = {"projectId": "p", "name": 'n }\\n{ "}', "status": "ready", "filter": {"labelSetId": "é"},
+            "r2Prefix": "r", "createdBy": 1, "createdAt": "t"}
+    pages, ids = [], []
+    for n in range(12):
+        some = [f"e{n}-{i}" for i in range(n % 4)]
+        pages.append(json.dumps({"exports": [item | {"id": i} for i in some], "page": n}, indent=indent))
+        ids += some
+    (tmp_path / "pages.json").write_text("\n \r\n".join(pages) + "\n\n")
+    (tmp_path / "more.json").write_text(pages[3])
+    conf("spark.sql.files.maxPartitionBytes", str(block))
+    conf("spark.sql.files.openCostInBytes", "0")
+    rows = read_pages(spark, str(tmp_path), "exports")
+    assert sorted(r.id for r in rows.collect()) == sorted([*ids, "e3-0", "e3-1", "e3-2"])
+    tasks = spark.read.option("lineSep", "\n").text(str(tmp_path / "pages.json")).rdd.getNumPartitions()
+    assert tasks > 1 or block > 700
+
+
+def test_pages_of_an_empty_file(spark, tmp_path):
+    (tmp_path / "p.json").write_text("\n")
+    assert read_pages(spark, str(tmp_path), "files").count() == 0
+
+
+def test_listing_as_jobs(spark, tmp_path):
+    root = tmp_path / "clips"
+    wanted = {}
+    for folder in ("", "a", "a/b", "c é"):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for i in range(3):
+            (root / folder / f"{i} x.wav").write_bytes(b"." * (i + 1 + len(folder)))
+            wanted[f"{folder}/{i} x.wav".lstrip("/")] = i + 1 + len(folder)
+        (root / folder / "_0.wav.part").write_bytes(b"half")
+    (root / "empty").mkdir()
+    found = clip_source.list_clips(spark, str(root), str(tmp_path / "listing"))
+    assert {r.rel: r.length for r in found.collect()} == wanted
+    assert {r.rel: r.length for r in read_clips(spark, str(root)).select("rel", "length").collect()} == wanted
+    assert clip_source.list_clips(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_finished_export_resumes_from_its_ledger(spark, six, tmp_path, monkeypatch):
+    from clipmill.plans import materialize as plan
+
+    out = str(tmp_path / "copy")
+    manifest = six.manifest()
+    materialize(spark, exports_table(spark), "e1", manifest, six.clips_dir, out)
+    looks = []
+    lengths = plan.clip_lengths
+    monkeypatch.setattr(plan, "clip_lengths", lambda rows, root: looks.append(rows.count()) or lengths(rows, root))
+    again = materialize(spark, exports_table(spark), "e1", manifest, six.clips_dir, out)
+    assert (again.total, again.skipped, again.bytes) == (6, 6, 0) and not looks
+    # One clip got another digest, one is gone, one is new: only these are looked at.
+    os.remove(tmp_path / "copy" / "clips" / "a5.wav")
+    with open(f"{six.clips_dir}/a2.wav", "ab") as clip:
+        clip.write(b"longer")
+    shutil.copy(f"{six.clips_dir}/a1.wav", f"{six.clips_dir}/a7.wav")
+    new = manifest.where("annotation_id = 'a1'").withColumn("clip_path", F.lit("clips/a7.wav"))
+    digest = F.when(F.col("annotation_id") == "a2", F.lit("other")).otherwise(F.col("clip_sha256"))
+    changed = manifest.withColumn("clip_sha256", digest).unionByName(new).unionByName(new)
+    third = materialize(spark, exports_table(spark), "e1", changed, six.clips_dir, out)
+    assert (third.total, third.skipped, third.downloaded) == (8, 4, 4) and looks == [3, 3]
+    assert (tmp_path / "copy" / "clips" / "a2.wav").read_bytes() == open(f"{six.clips_dir}/a2.wav", "rb").read()
+    assert materialize(spark, exports_table(spark), "e1", changed, six.clips_dir, out).skipped == 8 and len(looks) == 2
+
+
+def test_a_run_that_died_leaves_no_entry(spark, six, tmp_path):
+    # Its copies are found by a look at them and enter the ledger.
+    out = tmp_path / "copy"
+    (out / "clips").mkdir(parents=True)
+    shutil.copy(f"{six.clips_dir}/a1.wav", out / "clips" / "a1.wav")
+    first = materialize(spark, exports_table(spark), "e1", six.manifest(), six.clips_dir, str(out))
+    assert (first.skipped, first.downloaded) == (1, 5)
+    entries = spark.read.parquet(str(out / "copied")).collect()
+    assert sorted((r.rel, r.copied) for r in entries) == [("a1.wav", False), *((f"a{i}.wav", True) for i in range(2, 7))]

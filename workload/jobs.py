@@ -18,7 +18,7 @@ from clipmill.plans.materialize import materialize, write_clips
 from clipmill.schemas import EXPORTS, MANIFEST, wire_name, wire_schema
 from clipmill.sinks.dataset import META_FILE
 from clipmill.sinks.manifest import manifest_line, write_manifest
-from clipmill.sources.clips import attach_clips, read_clips
+from clipmill.sources.clips import attach_clips, list_clips, read_clips
 from clipmill.sources.dataset import read_dataset
 from clipmill.sources.export_dir import Export, open_export
 from clipmill.sources.manifest import bad_lines, read_manifest
@@ -87,19 +87,25 @@ def _(t):
     return found.select(name, (F.col("before") + F.col("number")).alias("place"), "problem")
 
 
-@query(
-    "read_clips",
-    oracle(
-        """select concat(clip_id, '.wav') rel,
-                  cast(44 + 64 * case clip_id % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as bigint) length from waveforms""",
-        "waveforms",
-    ),
+_CLIPS_SQL = oracle(
+    """select concat(clip_id, '.wav') rel,
+              cast(44 + 64 * case clip_id % 5 when 0 then 1 when 1 then 2 when 2 then 3 else 4 end as bigint) length from waveforms""",
+    "waveforms",
 )
+
+
+@query("read_clips", _CLIPS_SQL)
 def _(t):
     export = export_on_disk(t)
     return read_clips(t.spark, export.clips_dir).select("rel", "length")
 
 
+@query("list_clips", _CLIPS_SQL)
+def _(t):
+    export = export_on_disk(t)
+    return list_clips(t.spark, export.clips_dir, storage.scratch_dir(t.spark, "listing"))
+
+
 _FILES_PER_PAGE = 100
 
 
@@ -267,6 +273,36 @@ def _(t):
     return t.spark.createDataFrame([row], "total bigint, skipped bigint, downloaded bigint, bytes bigint")
 
 
+@query(
+    "materialize_again",
+    oracle(
+        """select run, count(*) total, count(*) filter (where run = 3 or run = 2 and label_value = 1) skipped,
+                  count(*) filter (where run = 1 or run = 2 and label_value = 0) downloaded
+           from clip_manifest, (values (1), (2), (3)) r(run) group by run""",
+        "clip_manifest",
+    ),
+)
+def _(t):
+    # All clips are brought; then those of one label are gone and have new digests, the others are known;
+    # then all are known.
+    source = export_on_disk(t)
+    out = storage.scratch_dir(t.spark, "materialized")
+    exports = t.exports.where("status = 'ready'")
+    chosen = exports.agg(F.min("id")).head()[0]
+    manifest = source.manifest()
+    digest = F.when(F.col("label_value") == 0, F.concat(F.lit("new"), "clip_sha256")).otherwise(F.col("clip_sha256"))
+    changed = manifest.withColumn("clip_sha256", digest)
+    rows = []
+    for run, wanted in enumerate([manifest, changed, changed], 1):
+        if run == 2:
+            storage.remove(t.spark, storage.join(out, "clips"))
+            done = t.clip_manifest.where("label_value = 1").select("clip_path")
+            store_clips(source_wavs(t).join(done, "clip_path", "left_semi"), storage.join(out, "clips"))
+        result = materialize(t.spark, exports, chosen, wanted, source.clips_dir, out)
+        rows.append((run, result.total, result.skipped, result.downloaded))
+    return t.spark.createDataFrame(rows, "run int, total bigint, skipped bigint, downloaded bigint")
+
+
 # ---- adapt --------------------------------------------------------------------------------------
 
 _DATASET_SQL = pcm_oracle(
