@@ -10,10 +10,15 @@ from dataclasses import dataclass
 #: content is not text, and that a new one of their kind ends.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "button iframe math meter noscript object output progress select svg textarea "
+    "annotation menclose mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder "
+    "munderover semantics circle defs ellipse g line path polygon polyline rect text tspan use".split()
 )
+#: Elements to act on rather than to read: a block that lies in them alone names them in its path.
+CONTROLS = frozenset("button select textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "select", "textarea", "button")
+RAW = ("script", "style", "template")
 ENDED_BY_ITSELF = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
     "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -34,6 +39,8 @@ _MARKUP = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A slash that closes a tag; after an unquoted value it belongs to the value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 
 
 @dataclass
@@ -58,22 +65,25 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, list[str]]] = []
     pieces: list[str] = []
-    linked, anchors, at = 0, 0, 0
+    linked, anchors, at, free = 0, 0, 0, False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, free
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 path = tuple(x for tag, names in stack if tag not in INLINE for x in (tag, *names))
+                path += () if free else ("button",)
                 found.append(Block(text, path, min(linked, len(text))))
             pieces.clear()
-        linked = 0
+        linked, free = 0, False
 
     def add(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, free
         if raw:
             pieces.append(raw)
+            if not free and not raw.isspace():
+                free = not any(tag in CONTROLS for tag, _ in stack)
             if anchors:
                 linked += len(raw)
 
@@ -109,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] not in INLINE:
                     break
             attrs = m["attrs"] or m["attrs2"] or ""
-            if tag not in VOID and not attrs.rstrip().endswith("/"):
+            if tag not in VOID and not _CLOSED.search(attrs):
                 stack.append((tag, _names(attrs)))
                 anchors += tag == "a"
     add(page[at:])

@@ -5,15 +5,20 @@ of its tag path and of its text, each an average of learned embeddings, and a fe
 of links, place, punctuation). A bidirectional LSTM runs over the whole sequence, so every block is
 labelled main text or not knowing the page before and after it.
 
-The labeller is trained here, on a bounded sample of `Fit.pages` pages (those with the smallest hash).
+The labeller is trained here, on a bounded sample of `Fit.pages` different pages of at most
+`Fit.most_bytes` (those with the smallest hash). A page with over `Fit.most_blocks` blocks teaches those
+around the beginning of its main text; extraction reads whole pages.
 Labels come from the pages' own semantic markup: blocks inside ``article`` or ``main`` that no
 boilerplate element holds are main text. So that the labeller does not depend on that markup, each
 sampled page is also rebuilt in other layouts: its main text in other containers, blocks of other pages
-as menus, headers, sidebars, notices, adverts, forms and comments around and inside, and path words
-dropped at random. Pages without semantic markup teach nothing by themselves.
+as menus, headers, sidebars, notices, adverts, forms and comments around and inside, path words dropped
+at random, and some paragraphs cut to a word or two, so that shortness alone decides nothing. Pages without semantic markup teach nothing by themselves.
 
 Scoring is one pass over the pages; pages of similar length run through the LSTM together.
 
+Only scripts, styles and templates are dropped unread. Text in buttons, formulas, objects and the like
+belongs to the block around it; a block that is a button, a choice or a text field alone says so in its path.
+
 Defined results: null and empty pages have empty text. A page without a labelled block has empty text.
 Without a page to learn from, blocks inside ``article`` or ``main`` are taken. Truncated pages are read
 to their end. Repeated rows get equal texts; clashing input columns are replaced.
@@ -39,7 +44,7 @@ ADDED = ("text", "n_chars")
 NUMBERS = 7
 
 _MAIN = {"article", "main"}
-_ASIDE = {"nav", "header", "footer", "aside", "form", "head", "title", "menu", "dialog"}
+_ASIDE = {"nav", "header", "footer", "aside", "form", "head", "title", "menu", "dialog", "button"}
 
 #: Layouts that sampled pages are rebuilt in: names that pages commonly give to such containers.
 _CONTENT = (
@@ -253,15 +258,24 @@ def _layouts(pages: list[list[Block]], fit: Fit) -> Iterator[tuple[list[Block],
     rng = np.random.default_rng(fit.seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
     texts = [b.text for page in pages for b in page]
+
+    def cut_short(b: Block) -> Block:
+        """Some paragraphs are a word or two: their place says that they are main text, not their length."""
+        if rng.random() > 0.3:
+            return b
+        text = " ".join(pick(texts).split()[: int(rng.integers(1, 4))]).rstrip(".,;")[:40] or b.text
+        return Block(text + pick((".", ".", "!", "")), b.path, 0)
+
     for page in pages:
         labels = [is_main(b.path) for b in page]
         yield page, np.array(labels, dtype=float)
+        yield [cut_short(b) if y else b for b, y in zip(page, labels)], np.array(labels, dtype=float)
         body = [b for b, y in zip(page, labels) if y]
         for _ in range(fit.layouts if body else 0):
             container = ["html", "body", *pick((("",), ("div .wrapper",), ("div .container",), ("div",)))[0].split()]
             inside = container + pick(_CONTENT).split()
             main = [Block(b.text, (*inside, pick(("p", "p", "p", b.path[-1], "h2", "li", "blockquote")) if k else "h1"), b.linked) for k, b in enumerate(body)]
-            sequence = [(b, 1.0) for b in main]
+            sequence = [(cut_short(b), 1.0) for b in main]
             for kind, paths in _BOILERPLATE:
                 if rng.random() < 0.45:
                     continue
@@ -284,13 +298,22 @@ def _layouts(pages: list[list[Block]], fit: Fit) -> Iterator[tuple[list[Block],
             yield [b for b, _ in sequence], np.array([y for _, y in sequence])
 
 
+def _window(page: list[Block], size: int) -> list[Block]:
+    """At most ``size`` blocks of a page to learn from, half of them before its main text begins if there are as many."""
+    first = next((i for i, b in enumerate(page) if is_main(b.path)), 0)
+    start = max(0, min(first - size // 2, len(page) - size))
+    return page[start : start + size]
+
+
 def train(pages: DataFrame, fit: Fit = Fit(), html: str = "html") -> Labeller:
     """The labeller learned from a bounded sample of ``pages``."""
     content = F.col(quoted(html)).cast("string")
-    sample = pages.select(content.alias("h")).where(F.octet_length("h").between(1, fit.most_bytes))
-    rows = sample.select("h", F.xxhash64("h").alias("x")).orderBy("x", "h").limit(fit.pages).collect()
-    parsed = [blocks(h) for h in sorted({r.h for r in rows})]
-    parsed = [p[: fit.most_blocks] for p in parsed if any(is_main(b.path) for b in p[: fit.most_blocks])]
+    sample = pages.select(content.alias("h"), F.xxhash64(content).alias("x")).where(F.octet_length("h").between(1, fit.most_bytes))
+    # Hashes are ranked, not pages; each page chosen comes to the driver once, however often it occurs.
+    chosen = [r.x for r in sample.select("x").distinct().orderBy("x").limit(fit.pages).collect()]
+    rows = sample.where(F.col("x").isin(chosen)).groupBy("x").agg(F.min("h").alias("h")).collect() if chosen else []
+    parsed = [_window(blocks(h), fit.most_blocks) for h in sorted(r.h for r in rows)]
+    parsed = [p for p in parsed if any(is_main(b.path) for b in p)]
     labeller = Labeller(fit)
     if parsed:
         features, drop = Features(fit), np.random.default_rng(fit.seed + 2)

@@ -36,6 +36,39 @@ def test_blocks_of_untidy_markup():
     assert [b.text for b in blocks("cut &am")] == ["cut &am"] and len(blocks("<p>x" * 5000)) == 5000
 
 
+def test_only_code_is_dropped_unread():
+    found = blocks(
+        "<article><p>see <button type=button>More</button></p><p><math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>"
+        "<noscript><p>Without</p></noscript><object>Fallback</object><div><button>Share</button> <select><option>A</select></div>"
+        "<p><a href=http://x.com/>to x</a></p><p><br/>end</p><script>no</script><template><p>no</p></template></article>"
+    )
+    assert [b.text for b in found] == ["see More", "x=1 holds", "Without", "Fallback", "Share", "A", "to x", "end"]
+    assert [h.is_main(b.path) for b in found] == [True] * 4 + [False, False, True, True]
+    assert found[6].linked == 4 and found[7].path == ("article", "p")
+
+
+def test_pages_teach_where_their_article_begins():
+    found = blocks("<nav>%s</nav><article>%s</article>" % ("<p>a</p>" * 500, "<p>b</p>" * 400))
+    some = h._window(found, 120)
+    assert len(some) == 120 and sum(h.is_main(b.path) for b in some) == 60
+    assert h._window(found[:50], 120) == found[:50] and len(h._window(found[:510], 120)) == 120
+
+
+def test_short_paragraphs_stay(labeller):
+    features = h.Features(labeller.fit)
+    for i in range(20):
+        parts = [prose(30, 900 + i) + ".", prose(1, i) + ".", prose(25, 950 + i) + ".", prose(2, i + 40) + "."]
+        body = f"<article><h1>{prose(4, i)}</h1>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+        assert h.texts_of([page(body, seed=i)], labeller, features) == ["\n\n".join([prose(4, i), *parts])]
+
+
+def test_the_sample_is_bounded_by_different_pages(spark):
+    pages = [(page(f"<article><p>{prose(30, i)}.</p></article>", seed=i),) for i in range(8)]
+    df = spark.createDataFrame(pages[:1] * 300 + pages, "html string")
+    one, two = (h.train(d, h.Fit(pages=5, rounds=1)) for d in (df, df.distinct().repartition(3)))
+    assert one.trained and all((one.w[k] == two.w[k]).all() for k in one.w)
+
+
 def test_main_text_in_other_layouts(spark, labeller):
     main = [prose(4, 7), prose(40, 8) + ".", prose(35, 9) + "."]
     body = f"<div class='content'><h1>{main[0]}</h1><p>{main[1]}</p><div class='ad'>{prose(3, 20)}</div><p>{main[2]}</p></div>"
@@ -79,4 +112,4 @@ def expected(page):
 def test_given_pages_equal_brute_force(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     got = h.extract(pages, h.train(pages)).collect()
-    assert sum(r.text != expected(r.html) for r in got) <= 0.01 * len(got)
+    assert [r.page_id for r in got if r.text != expected(r.html)] == []
