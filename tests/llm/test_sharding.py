@@ -1,6 +1,8 @@
 from collections import defaultdict
 from zlib import crc32
 
+import pytest
+import xxhash
 from cases import SCHEMA, awkward, prose
 
 from clipmill.llm import sharding
@@ -49,3 +51,69 @@ def test_awkward_rows_twice(spark):
     one, two = sharding.shard(df).collect(), sharding.shard(df.repartition(3)).collect()
     assert len(one) == len(awkward()) and sorted(map(repr, one)) == sorted(map(repr, two))
     assert sharding.shard(df.where("false")).count() == 0
+
+
+def walked(texts, ring):
+    """Texts to shards by walking the ring one group after the other, larger ones first."""
+    top = lambda x: x >> 48
+    nodes = sorted((top(xxhash.xxh64_intdigest(f"{s}/{v}", ring.seed)), s, v) for s in range(ring.shards) for v in range(ring.vnodes))
+    loads, counts = defaultdict(int), defaultdict(int)
+    for t in texts:
+        cell = top(xxhash.xxh64_intdigest(t.encode(), 42))
+        loads[cell] += len(t.encode()) + 1
+        counts[cell] += 1
+    bound = -(-sum(loads.values()) * (1 + ring.slack) // ring.shards)
+    held, shard_of = defaultdict(int), {}
+    for cell in sorted(loads, key=lambda c: (-loads[c], c)):
+        at = next((i for i, n in enumerate(nodes) if n[0] >= cell), 0)
+        for step in range(len(nodes)):
+            shard = nodes[(at + step) % len(nodes)][1]
+            if held[shard] + loads[cell] <= bound:
+                break
+        else:
+            shard = min(range(ring.shards), key=lambda s: (held[s], s))
+        held[shard] += loads[cell]
+        shard_of[cell] = shard
+    return [shard_of[top(xxhash.xxh64_intdigest(t.encode(), 42))] for t in texts]
+
+
+@pytest.mark.parametrize("slack", [1 / 2048, 0.1, 1.0])
+def test_equals_a_walk_over_the_ring(spark, slack):
+    texts = [prose(3 + i % 40, i) for i in range(400)] + [prose(5, k) for k in range(9000, 9030) for _ in range(3)]
+    ring = sharding.Ring(shards=6, vnodes=20, slack=slack)
+    got = {r.doc_id: r for r in place(spark, list(enumerate(texts)), shards=6, vnodes=20, slack=slack)}
+    # Groups go whole here: none is larger than a shard.
+    wanted = walked(texts, ring)
+    if slack > 1 / 2048:
+        assert [got[i].shard for i in range(len(texts))] == wanted
+    slots = defaultdict(list)
+    for r in got.values():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_copies_without_ids_are_spread(spark):
+    rows = [(None, "the same text " * 18)] * 3000 + [(i, prose(10 + i % 20, i)) for i in range(3000)] + [(7, "twice")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = sharding.shard(df).collect(), sharding.shard(df.repartition(5)).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == len(rows)
+    loads, slots = defaultdict(int), defaultdict(list)
+    for r in one:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(loads.values()) / 16
+    assert len(loads) == 16 and max(loads.values()) <= 1.01 * mean and min(loads.values()) >= 0.99 * mean
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in one))) == sorted(map(repr, rows))
+
+
+def test_copies_that_differ_in_a_map_are_all_there(spark):
+    rows = [(None, "one text", {"a": i % 3}) for i in range(900)] + [(i, prose(8, i), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    got = sharding.shard(df, sharding.Ring(shards=4)).collect()
+    assert sorted(repr(r.more) for r in got) == sorted(repr(r[2]) for r in rows)
+    assert len({(r.shard, r.slot) for r in got}) == len(rows)
+    loads = defaultdict(int)
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) <= 1.02 * sum(loads.values()) / 4
