@@ -12,9 +12,14 @@ Sharp s is ss, the sigmas are one letter, and so are the dotted and dotless i of
 edits count bytes of the folded text.
 Documents are scanned whole, in numpy, where they lie: no document is shuffled. Passages are read in
 blocks of at most `Budget.block_bytes` (their sizes are summed first); each block goes to all tasks.
-
-Defined results: null and empty texts hold no passage. Passages under `Budget.least` bytes, or null,
-are no evidence and are not searched. Equal passages are reported under each of their ids. Repeated
+Where many passages share a phrase that a document repeats, q-grams are counted in windows that overlap
+by more than a passage, and bands are aligned together, as rows of a matrix from which those fall out
+that are over their budget.
+
+Defined results: null and empty texts hold no passage; very long ones are read whole. Null document ids
+are reported as null. Only the named columns of the documents are read by `find_passages`, so others may
+clash with its own. Passages shorter than a q-gram (`Budget.least` bytes), or null, are no evidence and
+are not searched; those too short for an edit are found where they stand verbatim. Equal passages are reported under each of their ids. Repeated
 documents are each reported. An empty benchmark leaves every document clean.
 """
 
@@ -40,6 +45,8 @@ _BITS = 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
+#: Shared q-grams counted at a time, and places of the matrix of bands aligned together.
+_SHARED, _PLACES = 1 << 21, 1 << 20
 #: No character from here on has a case.
 _CASED = 0x20000
 _DOT_ABOVE = 0x307
@@ -50,7 +57,7 @@ class Budget:
     """A passage may differ in ``share`` of its bytes."""
 
     share: float = 0.08
-    least: int = 32
+    least: int = Q
     block_bytes: int = 4 << 20
 
     def edits(self, length: int) -> int:
@@ -145,6 +152,21 @@ class Passages:
         slot = np.minimum(np.searchsorted(self.grams, codes[at]), len(self.grams) - 1)
         hit = self.grams[slot] == codes[at]
         at, slot = at[hit], slot[hit]
+        extent = self.largest + 2 * int(self.edits.max() + 1) + Q  # no band reaches farther than this
+        found: set[tuple[int, int]] = set()
+        windows = [(0, len(at))]
+        while windows:
+            first, end = windows.pop()
+            if self.count[slot[first:end]].sum() > _SHARED and at[end - 1] - at[first] > 3 * extent:
+                middle = (at[first] + at[end - 1]) // 2
+                windows.append((first, int(np.searchsorted(at, middle + extent))))
+                windows.append((int(np.searchsorted(at, middle)), end))
+            else:
+                found.update(self._reaching(at[first:end], slot[first:end], len(data)))
+        return sorted(found)
+
+    def _reaching(self, at: np.ndarray, slot: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """The bands that reach the bound with the q-grams at these places of a text."""
         counts = self.count[slot]
         total = int(counts.sum())
         if not total:
@@ -155,13 +177,14 @@ class Passages:
         diagonal = np.repeat(at, counts) - self.place[entry] + 2 * self.largest
         width = self.edits[item] + 1
         low = diagonal // width
-        span = np.int64(len(data) + 3 * self.largest + 2)
+        span = np.int64(size + 3 * self.largest + 2)
         keys, shared = np.unique(np.concatenate((item * span + low, item * span + low - 1)), return_counts=True)
         items, low = keys // span, keys % span
         enough = shared >= self.bound[items]
-        return [(int(i), int(b * (self.edits[i] + 1) - 2 * self.largest)) for i, b in zip(items[enough], low[enough])]
+        items, low = items[enough], low[enough]
+        return list(zip(items.tolist(), (low * (self.edits[items] + 1) - 2 * self.largest).tolist()))
 
-    @property
+    @functools.cached_property
     def largest(self) -> int:
         return max((len(d) for d in self.data), default=0)
 
@@ -190,16 +213,61 @@ def aligned(
     return int(cost[end]), low + len(passage) + end
 
 
+def within(
+    passages: Passages, data: np.ndarray, items: np.ndarray, lows: np.ndarray, lefts: np.ndarray, rights: np.ndarray
+) -> np.ndarray:
+    """Which bands may hold their passage within its budget: many at a time, as the rows of a matrix.
+
+    A band is a passage, a lowest diagonal in ``data`` and the borders of its text; one diagonal more
+    than `aligned` fills is allowed.
+    """
+    good = np.zeros(len(items), dtype=bool)
+    budgets = passages.edits[items]
+    lengths = np.array([len(passages.data[i]) for i in items.tolist()], dtype=np.int64)
+    for edits in np.unique(budgets).tolist():
+        steps = np.arange(2 * (edits + 1) + 2, dtype=np.int32)
+        of_budget = np.flatnonzero(budgets == edits)
+        of_budget = of_budget[np.argsort(lengths[of_budget], kind="stable")]
+        rows = max(1, _PLACES // max(len(steps), int(lengths[of_budget].max())))
+        for k in range(0, len(of_budget), rows):
+            at = of_budget[k : k + rows]
+            used, nth = np.unique(items[at], return_inverse=True)
+            letters = np.zeros((len(used), int(lengths[at].max())), dtype=np.uint8)
+            for j, i in enumerate(used.tolist()):
+                letters[j, : len(passages.data[i])] = passages.data[i]
+            cost = np.zeros((len(at), len(steps)), dtype=np.int32)
+            for i in range(letters.shape[1]):
+                where = (lows[at] + i)[:, None] + steps
+                inside = (where >= lefts[at][:, None]) & (where < rights[at][:, None])
+                same = inside & (data[np.where(inside, where, 0)] == letters[nth, i][:, None])
+                best = cost + ~same
+                best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
+                cost = np.minimum.accumulate(best - steps, axis=1) + steps
+                ended = lengths[at] == i + 1
+                if ended.any() or i % 8 == 7:
+                    able = cost.min(axis=1) <= edits
+                    good[at[ended & able]] = True
+                    stay = able & ~ended
+                    at, nth, cost = at[stay], nth[stay], cost[stay]
+                    if not len(at):
+                        break
+    return good
+
+
 def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, passage id, first character, end character, edits) of every passage found."""
     data, places = _plain(b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in texts) + b"\0")
     borders = np.flatnonzero(data == 0)
     found: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for item, low in passages.bands(data):
+    bands = np.array(passages.bands(data), dtype=np.int64).reshape(-1, 2)
+    items, lows = bands[:, 0], bands[:, 1]
+    halves = np.array([len(passages.data[i]) // 2 for i in items.tolist()], dtype=np.int64)
+    of_text = np.searchsorted(borders, np.maximum(lows, 0) + halves) - 1
+    known = (of_text >= 0) & (of_text < len(texts))
+    items, lows, of_text = items[known], lows[known], of_text[known]
+    good = within(passages, data, items, lows, borders[of_text] + 1, borders[of_text + 1])
+    for item, low, text in zip(items[good].tolist(), lows[good].tolist(), of_text[good].tolist()):
         passage, edits = passages.data[item], int(passages.edits[item])
-        text = int(np.searchsorted(borders, max(low, 0) + len(passage) // 2)) - 1
-        if not 0 <= text < len(texts):
-            continue
         left, right = int(borders[text]) + 1, int(borders[text + 1])
         body, width = data[left:right], 2 * (edits + 1) + 1
         stretch = body[max(low - left, 0) : low - left + len(passage) + width].tobytes()

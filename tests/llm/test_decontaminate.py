@@ -1,5 +1,6 @@
 import random
 import sys
+import time
 
 import numpy as np
 from cases import SCHEMA, awkward, prose
@@ -126,3 +127,45 @@ def test_fold_joins_all_forms_of_every_letter():
     plain = d._plain("a İi̇ \t É\ud800 😀ẞ".encode("utf-8", "surrogatepass"))
     assert plain[0].tobytes() == "a ii é\ud800 😀ss".encode("utf-8", "surrogatepass")
     assert plain[1].tolist() == [0, 1, 2, 3, 5, 8, 8, 9, 9, 9, 10, 11, 11, 11, 11, 12, 12]
+
+
+def test_short_passages_are_found_verbatim():
+    passages = d.Passages([(1, "What is the capital of Peru?"), (2, "Who is he?"), (3, "yes")], d.Budget())
+    texts = ["so: what is the  capital of PERU? Lima", "who is he?", "yes", "who is hen?", "what is a capital of peru"]
+    assert [(r[0], r[1], r[4]) for r in d.search(passages, [t.encode() for t in texts])] == [(0, 1, 0), (1, 2, 0)]
+
+
+def test_a_shared_opening_phrase(monkeypatch):
+    opening = "which of the following is correct about the "
+    items = [(i, opening + prose(5, i)) for i in range(200)]
+    passages = d.Passages(items, d.Budget())
+    texts = [opening * 500, f"{prose(30, 1)} {items[7][1]} {opening * 20} {items[9][1]}x", "", opening + prose(5, 7000)]
+    raw = [t.encode() for t in texts]
+    started = time.perf_counter()
+    got = d.search(passages, raw)
+    assert time.perf_counter() - started < 20
+    want = {(1, i) for i, p in items if distance(p, texts[1]) <= d.Budget().edits(len(p))}
+    want |= {(3, i) for i, p in items if distance(p, texts[3]) <= d.Budget().edits(len(p))}
+    assert {(r[0], r[1]) for r in got} == want and {(1, 7), (1, 9)} <= want
+    monkeypatch.setattr(d, "_SHARED", 1000)
+    monkeypatch.setattr(d, "_PLACES", 5000)
+    assert d.search(passages, raw[1:]) == [(r[0] - 1, *r[1:]) for r in got]
+
+
+def test_bands_aligned_together_equal_single_ones():
+    rng = random.Random(4)
+    items = [(i, prose(6 + i, i)) for i in range(12)]
+    passages = d.Passages(items, d.Budget())
+    texts = [f"{prose(3, k)} {edited(items[k % 12][1], k % 5, rng)} {prose(3, -k)}" for k in range(60)]
+    data, _ = d._plain(b"\0" + b"\0".join(t.encode() for t in texts) + b"\0")
+    borders = np.flatnonzero(data == 0)
+    bands, kinds = passages.bands(data), set()
+    for item, low in bands:
+        text = int(np.searchsorted(borders, max(low, 0) + len(passages.data[item]) // 2)) - 1
+        left, right = int(borders[text]) + 1, int(borders[text + 1])
+        edits = int(passages.edits[item])
+        cost, _ = d.aligned(passages.data[item], data[left:right], low - left, 2 * (edits + 1) + 2, edits)
+        one = d.within(passages, data, *(np.array([x]) for x in (item, low, left, right)))
+        assert one[0] == (cost <= edits)
+        kinds.add(bool(one[0]))
+    assert kinds == {True, False}
