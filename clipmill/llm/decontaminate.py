@@ -254,6 +254,15 @@ def within(
     return good
 
 
+def _verbatim(passages: Passages, data: np.ndarray, borders: np.ndarray, item: int, low: int, text: int) -> int:
+    """Where in its text a passage stands unchanged near a diagonal, or -1."""
+    left, right = int(borders[text]) + 1, int(borders[text + 1])
+    passage, width = passages.data[item], 2 * (int(passages.edits[item]) + 1) + 1
+    first, end = max(low, left), min(low + len(passage) + width, right)
+    at = data[first:end].tobytes().find(passage.tobytes()) if first < end else -1
+    return at if at < 0 else first - left + at
+
+
 def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
     """(text, passage id, first character, end character, edits) of every passage found."""
     data, places = _plain(b"\0" + b"\0".join(t.replace(b"\0", b" ") for t in texts) + b"\0")
@@ -265,16 +274,16 @@ def search(passages: Passages, texts: list[bytes]) -> list[tuple[int, int, int,
     of_text = np.searchsorted(borders, np.maximum(lows, 0) + halves) - 1
     known = (of_text >= 0) & (of_text < len(texts))
     items, lows, of_text = items[known], lows[known], of_text[known]
-    good = within(passages, data, items, lows, borders[of_text] + 1, borders[of_text + 1])
-    for item, low, text in zip(items[good].tolist(), lows[good].tolist(), of_text[good].tolist()):
+    verbatim = np.array([_verbatim(passages, data, borders, *x) for x in zip(items.tolist(), lows.tolist(), of_text.tolist())], dtype=np.int64)
+    rest = np.flatnonzero(verbatim < 0)
+    good = verbatim >= 0
+    good[rest] = within(passages, data, items[rest], lows[rest], borders[of_text[rest]] + 1, borders[of_text[rest] + 1])
+    for item, low, text, start in np.stack((items, lows, of_text, verbatim), 1)[good].tolist():
         passage, edits = passages.data[item], int(passages.edits[item])
         left, right = int(borders[text]) + 1, int(borders[text + 1])
         body, width = data[left:right], 2 * (edits + 1) + 1
-        stretch = body[max(low - left, 0) : low - left + len(passage) + width].tobytes()
-        exact = stretch.find(passage.tobytes()) if low - left + len(passage) + width > 0 else -1
-        if exact >= 0:
-            cost, start = 0, max(low - left, 0) + exact
-            end = start + len(passage)
+        if start >= 0:
+            cost, end = 0, start + len(passage)
         else:
             cost, end = aligned(passage, body, low - left, width, edits)
             if cost > edits:
