@@ -166,3 +166,25 @@ def test_quarantine_keeps_good_rows(spark):
         audio.canonicalize_clips(df).collect()
     with pytest.raises(ValueError):
         audio.canonicalize_clips(df, on_error="ignore")
+
+
+def test_files_of_any_length_in_one_task(spark, tmp_path):
+    """Buffers go from clip to clip: short after long, long after short, empty and broken ones."""
+    rng = np.random.default_rng(3)
+    lengths = [20_000, 1, 900, 40_000, 0, 17, 300_000, 5]
+    for i, n in enumerate(lengths * 4):
+        data = make_wav(rng.uniform(-1, 1, n), rate=(16_000, 44_100, 48_000)[i % 3])
+        (tmp_path / f"{i}.wav").write_bytes(data)
+    (tmp_path / "empty.wav").write_bytes(b"")
+    (tmp_path / "cut.wav").write_bytes(make_wav([0.5] * 50)[:-7])
+    names = sorted(p.name for p in tmp_path.iterdir())
+    rows = spark.createDataFrame([(n, n) for n in names], "rel string, clip_path string").coalesce(1)
+    got = {r.clip_path: r for r in audio.try_canonicalize_files(rows, str(tmp_path)).collect()}
+    assert set(got) == set(names)
+    for name, row in got.items():
+        try:
+            want = wav.canonicalize((tmp_path / name).read_bytes())
+        except wav.WavError:
+            want = None
+        assert (row.bytes, row.error is None) == (want, want is not None)
+    assert got["empty.wav"].bytes is None and got["cut.wav"].bytes is None
