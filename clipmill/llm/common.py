@@ -48,6 +48,25 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def labelled_texts(texts: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(y, i, x, t): the texts of at most ``per_class`` ids of each class 0 and 1, least hashes ``x`` first.
+
+    ``texts`` (i, t) is read once for both classes. Of several texts of one id the one with the least hash
+    is taken, so that reruns agree, however rows are spread.
+    """
+    classes = [
+        labels.where(F.col("y") == y)
+        .select("i", F.xxhash64("i").alias("x"), F.lit(y).alias("y"))
+        .distinct()
+        .orderBy("x", "i")
+        .limit(per_class)
+        for y in (0, 1)
+    ]
+    found = texts.join(F.broadcast(classes[0].union(classes[1])), "i")  # bounded by per_class
+    one = F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"]
+    return found.groupBy("y", "i", "x").agg(one.alias("t"))
+
+
 def scored(rows: DataFrame) -> T.StructType:
     """The columns of ``rows`` with a classifier's ``score`` and ``predicted``."""
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]

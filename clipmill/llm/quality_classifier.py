@@ -15,7 +15,8 @@ text) of each quarter. So it has 1 MB at most. Scoring reads whole texts, in one
 
 Defined results: null and empty texts have both numbers 0 and get the fitted base score. Rows with a
 null label teach nothing. With a class missing from the sample every score is the share of good
-labels, 0.5 without labels. Repeated rows get equal scores; clashing input columns are replaced.
+labels, 0.5 without labels. Of several texts of one id the one with the least hash teaches. Repeated
+rows get equal scores; clashing input columns are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmill.llm.common import others, quoted, scored
+from clipmill.llm.common import labelled_texts, others, quoted, scored
 from clipmill.shipping import ship
 
 ADDED = ("score", "predicted")
@@ -141,12 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), text: str = "tex
     texts = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(text)).alias("t"))
     texts = texts.where(F.octet_length("t").between(1, fit.most_bytes))
     sample: dict[int, list[bytes]] = {0: [], 1: []}
-    for y in sample:
-        some = rows.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(fit.per_class)
-        found = texts.join(F.broadcast(some), "i").dropDuplicates(["i"])  # bounded by per_class
-        # in the order of the hash, so that halves of the sample do not follow the ids
-        rows_of_class = sorted(found.select(F.xxhash64("i").alias("x"), "i", "t").collect())
-        sample[y] = [r.t.encode("utf-8", "surrogatepass") for r in rows_of_class]
+    # in the order of the hash, so that halves of the sample do not follow the ids
+    for r in sorted(labelled_texts(texts, rows, fit.per_class).collect(), key=lambda r: (r.x, r.i)):
+        sample[r.y].append(r.t.encode("utf-8", "surrogatepass"))
     counts = dict(rows.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect())
     labels = sum(counts.values())
     return Model(sample[1], sample[0], fit, counts.get(1, 0) / labels if labels else None)

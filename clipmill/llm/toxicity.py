@@ -20,7 +20,8 @@ pass; each worker scores a distinct word once.
 
 Defined results: null and empty texts, and texts without letters, score 0. Rows with a null label teach
 nothing; with a class missing from the sample every score is the share of toxic labels, 0 without
-labels. Repeated rows get equal scores; clashing input columns are replaced.
+labels. Of several texts of one id the one with the least hash teaches. Repeated rows get equal scores;
+clashing input columns are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.llm import shingles
-from clipmill.llm.common import others, quoted, scored
+from clipmill.llm.common import labelled_texts, others, quoted, scored
 from clipmill.shipping import ship
 
 ADDED = ("score", "predicted")
@@ -225,10 +226,8 @@ def train(
     texts = docs.select(F.col(quoted(doc_id)).alias("i"), F.col(quoted(text)).alias("t"))
     texts = texts.where(F.octet_length("t").between(1, fit.most_bytes))
     sample: dict[int, list[str]] = {0: [], 1: []}
-    for y in sample:
-        some = rows.where(F.col("y") == y).select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(fit.per_class)
-        found = texts.join(F.broadcast(some), "i").dropDuplicates(["i"])  # bounded by per_class
-        sample[y] = [r.t for r in sorted(found.collect(), key=lambda r: r.i)]
+    for r in sorted(labelled_texts(texts, rows, fit.per_class).collect(), key=lambda r: r.i):
+        sample[r.y].append(r.t)
     return Model(sample[1], sample[0], fit)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from cases import SCHEMA, awkward, prose
 
-from clipmill.llm import queries, quality_classifier, toxicity
+from clipmill.llm import common, queries, quality_classifier, toxicity
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -32,6 +32,29 @@ def test_quality_on_unseen_documents(spark):
     assert np.mean(right) > 0.95
 
 
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    """Ids with several texts, null ids and texts, ids of both classes: reruns learn the same."""
+    rows, labels = good_and_bad(120)
+    rows += [(i, prose(30, 1000 + i)) for i in range(60)] + [(None, "none"), (3, None), (4, "")]
+    labels += [(i, 0, 1) for i in range(5)] + [(i, 1, 0) for i in range(10)] + [(None, 1, 1), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    texts = docs.selectExpr("doc_id i", "text t").where("octet_length(t) > 0")
+    seen = []
+    for parts in (1, 7):
+        mixed = texts.repartition(parts, "t"), known.selectExpr("doc_id i", "quality y").where("i is not null").repartition(parts)
+        seen.append(sorted(map(tuple, common.labelled_texts(*mixed, 50).collect())))
+        for model in (quality_classifier.train(docs.repartition(parts, "text"), known), toxicity.train(docs.repartition(parts, "text"), known)):
+            seen.append(model.scores(["a fair text", prose(40, 77), prose(40, 78).upper()]).tolist())
+    assert seen[:3] == seen[3:]
+    by_id = {}
+    for i, t in rows:
+        if i is not None and t:
+            by_id.setdefault(i, set()).add(t)
+    assert all(t in by_id[i] for _, i, _, t in seen[0]) and len({(y, i) for y, i, _, _ in seen[0]}) == len(seen[0])
+    assert {y: sum(r[0] == y for r in seen[0]) for y in (0, 1)} == {0: 43, 1: 50}  # 40 bad ids and three more
+
+
 def test_quality_does_not_depend_on_length_or_batches():
     good = [prose(80, i).encode() for i in range(60)]
     bad = [prose(80, i).upper().encode() for i in range(60)]
