@@ -3,8 +3,13 @@
 A given rule fits its host and all subdomains of it if the path starts with the rule's path; the
 longest one that fits decides. URLs no given rule fits are judged by rules mined from labelled URLs:
 Spark's FP-growth finds combinations of URL tokens (scheme, host parts, path words, query names) that
-come with the label ``block``; those with enough support and confidence are kept, and of two rules of
-which one holds the other's tokens and no more confidence, the shorter stays.
+are frequent among the URLs with the label ``block``; the same combinations are then counted over all
+labelled URLs, which gives their confidence. Those with enough support and confidence are kept, and of two
+rules of which one holds the other's tokens and no more confidence, the shorter stays.
+
+The support asked for is a share of the blocked URLs, so the number of combinations follows from the kinds
+of URLs and not from how many there are. A host part of letters alone is a word already and makes no second token.
+Equal token sets are counted before they are looked up.
 
 Mined rules match by an inverted index: a rule stands under each of its tokens, a URL looks its tokens
 up, and a rule fits if all its tokens were found. Only distinct token sets are looked up, so a host
@@ -17,13 +22,14 @@ allowed. Repeated rows get equal verdicts. Clashing input columns are replaced.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipmill.llm.common import cut, others, packed, quoted
+from clipmill.llm.common import cut, others, packed, partitions_for, quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDED = ("host", "path", "rule", "verdict", "mined")
@@ -55,9 +61,11 @@ RULES = (
 
 @dataclass(frozen=True)
 class Mining:
-    """A mined rule needs ``least`` labelled URLs with its tokens, and ``confidence`` of them blocked."""
+    """A mined rule needs ``least`` blocked URLs and the ``share`` of all blocked ones with its tokens;
+    of the labelled URLs with its tokens ``confidence`` must be blocked."""
 
     least: int = 20
+    share: float = 0.001
     confidence: float = 0.8
 
 
@@ -95,7 +103,7 @@ def tokens_of(url: Column) -> Column:
     names = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))
     parts = [
         F.array(F.concat(F.lit("scheme="), F.regexp_extract(url, r"^([^:/?#]*)://", 1))),
-        F.transform(F.split(host, r"\."), lambda x: F.when(x != "", F.concat(F.lit("host="), x))),
+        F.transform(F.split(host, r"\."), lambda x: F.when(x.rlike("[0-9-]"), F.concat(F.lit("host="), x))),
         F.transform(F.split(host, r"[.-]"), lambda x: F.when(x != "", F.concat(F.lit("word="), plain(x)))),
         F.transform(F.split(path, "[/._-]+"), lambda x: F.when(x != "", F.concat(F.lit("path="), plain(x)))),
         F.transform(names, lambda x: F.when(x != "", F.concat(F.lit("query="), plain(x)))),
@@ -109,20 +117,15 @@ def mine(labelled: DataFrame, mining: Mining = Mining(), url: str = "url", block
     """(tokens, support, confidence) of the rules that labelled URLs show; ``block`` is boolean."""
     spark = labelled.sparkSession
     known = labelled.where(F.col(quoted(url)).isNotNull() & F.col(quoted(block)).isNotNull())
-    label = F.when(F.col(quoted(block)), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    rows = cut(known.select(F.concat(tokens_of(F.col(quoted(url))), label).alias("items")))
-    n = rows.count()
-    if n < mining.least:
+    known = cut(known.select(tokens_of(F.col(quoted(url))).alias("tokens"), F.col(quoted(block)).alias("b")))
+    blocked = known.where("b").count()
+    least = max(mining.least, math.ceil(mining.share * blocked))
+    if blocked < least:
         return spark.createDataFrame([], "tokens array<string>, support long, confidence double")
-    model = FPGrowth(minSupport=mining.least / n, minConfidence=mining.confidence).fit(rows)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK))
-    rules = cut(
-        rules.select(
-            F.array_sort("antecedent").alias("tokens"),
-            F.round(F.col("support") * n).cast("long").alias("support"),
-            "confidence",
-        )
-    )
+    growth = FPGrowth(minSupport=(least - 0.5) / blocked, numPartitions=partitions_for(spark))
+    sets = growth.fit(known.where("b").select(F.col("tokens").alias("items"))).freqItemsets
+    sets = cut(sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("support")))
+    rules = cut(_confident(sets, known.groupBy("tokens").agg(F.count("*").alias("n")), mining.confidence))
     part = F.explode("tokens").alias("token")
     longer = rules.select(F.col("tokens").alias("long"), F.col("confidence").alias("c"), part)
     held = longer.join(rules.select("tokens", "confidence", part), "token").groupBy("long", "c", "tokens", "confidence")
@@ -132,6 +135,22 @@ def mine(labelled: DataFrame, mining: Mining = Mining(), url: str = "url", block
     return rules.join(held.select(F.col("long").alias("tokens")).distinct(), "tokens", "left_anti")
 
 
+def _confident(sets: DataFrame, shapes: DataFrame, confidence: float) -> DataFrame:
+    """(tokens, support, confidence) of the frequent ``sets`` that are sure enough.
+
+    ``shapes`` (tokens, n) are the token sets of all labelled URLs. A set stands in the index under its
+    rarest token alone, so common tokens bring few sets to a shape, and each pair is tested where it meets.
+    """
+    single = sets.where("size(tokens) = 1").select(F.col("tokens")[0].alias("token"), F.col("support").alias("of"))
+    parts = sets.select("tokens", "support", F.explode("tokens").alias("token")).join(single, "token")
+    index = parts.groupBy("tokens", "support").agg(F.min(F.struct("of", "token"))["token"].alias("token"))
+    index = F.broadcast(index) if sets.count() <= BROADCAST_ROWS else index
+    seen = shapes.select(F.col("tokens").alias("shape"), "n", F.explode("tokens").alias("token")).join(index, "token")
+    hits = seen.where(F.size(F.array_except("tokens", "shape")) == 0).groupBy("tokens", "support")
+    sure = hits.agg((F.col("support") / F.sum("n")).alias("confidence"))
+    return sure.where(F.col("confidence") >= confidence)
+
+
 def match(shapes: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, mined) of the token sets some rule fits; ``mined`` is the surest such rule."""
     index = rules.select(F.col("tokens").alias("rule"), "confidence", "support", F.explode("tokens").alias("token"))

@@ -1,6 +1,8 @@
 import itertools
+import random
 import re
 
+from clipmill.llm import queries
 from clipmill.llm import url_rules as u
 
 
@@ -67,6 +69,58 @@ def test_mined_rules_equal_brute_force(spark):
     assert {r.url: r.verdict for r in judged} == dict(zip(fresh, ["block", "allow", "allow", "allow"]))
 
 
+def urls_of(n, seed=1):
+    """URLs of many hosts and paths whose kinds do not change with their number."""
+    rng = random.Random(seed)
+    parts = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    pick = lambda: parts[int(300 * rng.random() ** 2)]
+    for i in range(n):
+        url = f"http://{pick()}.{pick()}.org/{pick()}/{pick()}/{i}?{pick()}={i}"
+        yield url, "/wca/" in url or rng.random() < 0.3
+
+
+def test_rules_do_not_multiply_with_the_number_of_urls(spark, monkeypatch):
+    found = []
+
+    def counted(sets, shapes, confidence, plain=u._confident):
+        found.append(sets.count())
+        return plain(sets, shapes, confidence)
+
+    monkeypatch.setattr(u, "_confident", counted)
+    for n in (1500, 12_000):
+        df = spark.createDataFrame(list(urls_of(n)), "url string, block boolean")
+        u.mine(df, u.Mining(least=5, share=0.01)).count()
+    assert found[1] < 1.2 * found[0]
+
+
+def test_index_by_shuffle_equals_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(list(urls_of(2000)), "url string, block boolean")
+    mining = u.Mining(least=10, confidence=0.5)
+    want = sorted(map(repr, u.mine(df, mining).collect()))
+    monkeypatch.setattr(u, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, u.mine(df.repartition(5), mining).collect())) == want and want
+
+
+def test_query_finds_planted_rules(spark, tmp_path):
+    """Labels planted by URL: bad documents under one section of one host, through the query itself."""
+    pages, labels = [], []
+    for i in range(900):
+        host, section = ("shop.org", "paper.org", "forum.de")[i % 3], ("news", "offers")[i // 3 % 2]
+        bad = (host, section) == ("shop.org", "offers")
+        pages.append((i, f"https://{host}/{section}/{i}.html"))
+        if i % 5:
+            labels.append((i, 0 if bad or i % 90 == 1 else 1))
+    pages += [(901, None), (902, "https://shop.org/es/"), (903, "http://shop.org/offers/"), (904, "https://shop.net/es/offers/1")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels + [(None, 0), (5, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages)
+    for i, url in pages:
+        planted = url is not None and "//shop.org/offers/" in url
+        assert got[i].verdict == ("block" if planted or i == 904 else "allow")
+        assert (got[i].mined is not None) == planted and got[i].rule == ("net/es/" if i == 904 else None)
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("http://a.org/x", True)] * 30, "url string, block boolean")
     plan = u.judge(df, u.mine(df))._jdf.queryExecution().toString()
