@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import ExitStack
 from dataclasses import dataclass
 
@@ -29,8 +30,18 @@ class MaterializeResult:
     bytes: int
 
 
-def write_clips(rows: DataFrame, clips_dir: str, rel: str = "rel", content: str = "content") -> DataFrame:
-    """Write each row's ``content`` below a directory; gives back the rows with ``written`` bytes.
+def write_clips(
+    rows: DataFrame,
+    clips_dir: str,
+    rel: str = "rel",
+    content: str = "content",
+    make: Callable[[dict], bytes] | None = None,
+    inputs: tuple[str, ...] = (),
+) -> DataFrame:
+    """Write each row's ``content`` below a directory; gives back the other columns with ``written`` bytes.
+
+    With ``make``, a clip's bytes are made of the columns ``inputs`` (not given back) by the worker that writes
+    them: a step before this one that makes them would hold a second worker for every task.
 
     Lazy: the files appear when the result is computed. A file is complete under its final name or
     not there at all, and writing it again gives the same file, so lost tasks can be repeated.
@@ -39,11 +50,12 @@ def write_clips(rows: DataFrame, clips_dir: str, rel: str = "rel", content: str
     made = T.StructType([T.StructField("written", T.LongType())])
 
     def convert(row):
-        data = row[content].as_buffer()
+        data = make(row) if make else row[content].as_buffer()
         files_io.write_bytes(root, row[rel].as_py(), data)
-        return {"written": data.size}, 8
+        return {"written": len(data)}, 8
 
-    return map_rows(rows, convert, (rel, content), made, drop=(content,))
+    used = inputs if make else (content,)
+    return map_rows(rows, convert, (rel, *used), made, drop=used)
 
 
 def copy_clips(rows: DataFrame, source_dir: str, clips_dir: str, rel: str = "rel") -> DataFrame:
@@ -117,7 +129,8 @@ def _copy_pending(
         sized = clip_lengths(unknown.repartition(tasks), source_clips).withColumnRenamed("length", "source_length")
         here = F.lit(False) if force else F.col("length").eqNullSafe(F.col("source_length"))
         # The plan is written down first: copying changes what a recomputed look at the files would see.
-        sized = clip_lengths(sized, clips_dir).withColumn("here", here)
+        # Names are dealt anew between the two looks: in one stage they would hold two workers for every task.
+        sized = clip_lengths(sized.repartition(tasks), clips_dir).withColumn("here", here)
         plan = open_.enter_context(storage.staged(sized, "materialize"))
         seen = plan.agg(
             F.coalesce(F.sum(F.when(~F.col("here"), F.col("rows"))), F.lit(0)).alias("pending"),

@@ -22,6 +22,7 @@ from clipmill.sources.export_dir import open_export
 from clipmill.sources.manifest import read_manifest
 from clipmill.sources.pages import read_pages
 from clipmill.streaming.adapt_stream import adapt_stream
+from workload import QUERIES, Tables
 
 SIX = [
     ("a1", "end_of_turn", "train"),
@@ -417,3 +418,25 @@ def test_a_run_that_died_leaves_no_entry(spark, six, tmp_path):
     assert (first.skipped, first.downloaded) == (1, 5)
     entries = spark.read.parquet(str(out / "copied")).collect()
     assert sorted((r.rel, r.copied) for r in entries) == [("a1.wav", False), *((f"a{i}.wav", True) for i in range(2, 7))]
+
+
+def test_a_task_of_materialize_again_holds_one_python_worker(spark, tmp_path, monkeypatch):
+    vectors = [(i, [i / 100 - j / 64 for j in range(64)], i % 10) for i in range(60)]
+    orders = [(1, 1, "F", "2024-01-01", "1-URGENT")]
+    vectors = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_orderpriority string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    kind, below = type(orders), []
+
+    def looked_at(self, *args, map_rows=kind.mapInArrow, **kwargs):
+        plan = self._jdf.queryExecution().executedPlan().toString()
+        below.append("MapInArrow" in plan.split("Exchange")[0])  # a Python step of the same stage
+        return map_rows(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", looked_at)
+    table = QUERIES["materialize_again"](Tables(spark, str(tmp_path)))
+    assert sorted(map(tuple, table.collect())) == [(1, 60, 0, 60), (2, 60, 30, 30), (3, 60, 60, 0)]
+    assert len(below) > 6 and not any(below)
+    assert table.dtypes == [("run", "int"), ("total", "bigint"), ("skipped", "bigint"), ("downloaded", "bigint")]
+    assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()

@@ -69,11 +69,20 @@ def numbers_text(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-def source_wavs(t: Tables) -> DataFrame:
-    """Each waveform as a WAV file in one of five sample formats: ``clip_id, path, content``."""
-    made = T.StructType([T.StructField("content", T.BinaryType())])
+# Columns of a waveform that its WAV file is made of.
+WAV_INPUTS = ("clip_id", "samples", "channels", "sample_rate")
 
-    def convert(row):
+
+def named_waveforms(t: Tables) -> DataFrame:
+    """The waveforms with ``clip_path``, the name of their WAV file."""
+    path = F.concat(F.lit("clips/"), F.col("clip_id").cast("string"), F.lit(".wav"))
+    return t.waveforms.withColumn("clip_path", path)
+
+
+def wav_maker():
+    """What makes a waveform's WAV file, in one of five sample formats; a closure, as workers know ``clipmill`` only."""
+
+    def make(row) -> bytes:
         samples = np.asarray(row["samples"].values, dtype=np.float32)
         channels, rate = row["channels"].as_py(), row["sample_rate"].as_py()
         kind = row["clip_id"].as_py() % 5
@@ -89,11 +98,21 @@ def source_wavs(t: Tables) -> DataFrame:
             else:
                 packed = stored.astype(f"<i{bits // 8}").tobytes()
             data = wav.encode(packed, channels, rate, bits)
+        return data
+
+    return make
+
+
+def source_wavs(t: Tables) -> DataFrame:
+    """Each waveform as a WAV file in one of five sample formats: ``clip_id, path, content``."""
+    made = T.StructType([T.StructField("content", T.BinaryType())])
+    make = wav_maker()
+
+    def convert(row):
+        data = make(row)
         return {"content": data}, len(data)
 
-    path = F.concat(F.lit("clips/"), F.col("clip_id").cast("string"), F.lit(".wav"))
-    rows = t.waveforms.withColumn("clip_path", path)
-    wavs = audio.map_rows(rows, convert, ("clip_id", "samples", "channels", "sample_rate"), made)
+    wavs = audio.map_rows(named_waveforms(t), convert, WAV_INPUTS, made)
     return wavs.select("clip_id", "clip_path", "content")
 
 

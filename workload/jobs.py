@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from clipmill.sources.export_dir import Export, open_export
 from clipmill.sources.manifest import bad_lines, read_manifest
 from clipmill.sources.pages import read_pages
 from clipmill.streaming.adapt_stream import adapt_stream
-from workload.audio import _DECODED, pcm_of, pcm_oracle, source_wavs
+from workload.audio import _DECODED, WAV_INPUTS, named_waveforms, pcm_of, pcm_oracle, wav_maker
 from workload.catalogue import FINGERPRINT_SQL, HASHED_SQL, MANIFEST_SQL, RESERVED_RATIOS, manifest, uniform_sql
 from workload.registry import query
 from workload.tables import Tables, oracle
@@ -32,11 +33,22 @@ from workload.tables import Tables, oracle
 MANIFEST_NAMES = ", ".join(MANIFEST.fieldNames())
 
 
-def store_clips(wavs: DataFrame, clips_dir: str) -> int:
+def store_clips(wavs: DataFrame, clips_dir: str, **made) -> int:
     """Write clips as files and wait for them; returns how many."""
     storage.make_dirs(wavs.sparkSession, clips_dir)
     files = wavs.withColumn("rel", clip_rel_path(F.col("clip_path")))
-    return write_clips(files, clips_dir).agg(F.count("written")).head()[0]
+    return write_clips(files, clips_dir, **made).agg(F.count("written")).head()[0]
+
+
+def store_waveforms(waveforms: DataFrame, clips_dir: str) -> int:
+    """The same for waveforms, whose WAV files are made by the workers that write them."""
+    return store_clips(waveforms, clips_dir, make=wav_maker(), inputs=WAV_INPUTS)
+
+
+def counts_table(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of counts as a table; as Arrow data they need no Python workers, unlike a list of tuples."""
+    columns = [pa.array(column, pa.int64()) for column in zip(*rows)]
+    return t.spark.createDataFrame(pa.table(columns, T.StructType.fromDDL(schema).names), schema)
 
 
 # Exports written by this process, by application and data directory. Jobs only read them.
@@ -48,7 +60,7 @@ def export_on_disk(t: Tables) -> Export:
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _EXPORTS:
         root = storage.scratch_dir(t.spark, "export")
-        store_clips(source_wavs(t), storage.join(root, "clips"))
+        store_waveforms(named_waveforms(t), storage.join(root, "clips"))
         write_manifest(t.clip_manifest, root)
         _EXPORTS[key] = open_export(t.spark, root)
     return _EXPORTS[key]
@@ -265,12 +277,12 @@ def _(t):
     out = storage.scratch_dir(t.spark, "materialized")
     # An earlier run got as far as the clips of one label.
     done = t.clip_manifest.where("label_value = 1").select("clip_path")
-    store_clips(source_wavs(t).join(done, "clip_path", "left_semi"), storage.join(out, "clips"))
+    store_waveforms(named_waveforms(t).join(done, "clip_path", "left_semi"), storage.join(out, "clips"))
     exports = t.exports.where("status = 'ready'")
     chosen = exports.agg(F.min("id")).head()[0]
     result = materialize(t.spark, exports, chosen, source.manifest(), source.clips_dir, out)
     row = (result.total, result.skipped, result.downloaded, result.bytes)
-    return t.spark.createDataFrame([row], "total bigint, skipped bigint, downloaded bigint, bytes bigint")
+    return counts_table(t, [row], "total bigint, skipped bigint, downloaded bigint, bytes bigint")
 
 
 @query(
@@ -297,10 +309,10 @@ def _(t):
         if run == 2:
             storage.remove(t.spark, storage.join(out, "clips"))
             done = t.clip_manifest.where("label_value = 1").select("clip_path")
-            store_clips(source_wavs(t).join(done, "clip_path", "left_semi"), storage.join(out, "clips"))
+            store_waveforms(named_waveforms(t).join(done, "clip_path", "left_semi"), storage.join(out, "clips"))
         result = materialize(t.spark, exports, chosen, wanted, source.clips_dir, out)
         rows.append((run, result.total, result.skipped, result.downloaded))
-    return t.spark.createDataFrame(rows, "run int, total bigint, skipped bigint, downloaded bigint")
+    return counts_table(t, rows, "run int, total bigint, skipped bigint, downloaded bigint")
 
 
 # ---- adapt --------------------------------------------------------------------------------------
