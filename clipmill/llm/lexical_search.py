@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -46,6 +47,8 @@ from clipmill.shipping import ship
 BLOCK_ITEMS, BLOCK_BYTES = 2_000, 4 << 20
 #: Documents of a block of a task, and presence bits (documents x terms) it may hold.
 BLOCK_DOCS, BLOCK_BITS = 4_096, 1 << 26
+#: Columns of the result.
+RANKED = "item_id long, rank int, doc_id long, score long"
 #: Terms whose bits are combined before groups are numbered anew.
 BITS = 40
 #: Masks are evaluated until so many documents are, then twice as many, and so on.
@@ -261,19 +264,23 @@ def search(
     ship(spark)
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), text_of(text).alias("text"))
     items = items.select(F.col(quoted(item_id)).cast("long").alias("item_id"), text_of(item_text).alias("text"))
-    items = cut(items.groupBy("item_id", "text").agg(F.count("*").alias("times")))
+    # Items and results in few files: for each, Hadoop's local file system starts processes out of an executor.
+    few = spark.sparkContext.defaultParallelism
+    items = cut(items.groupBy("item_id", "text").agg(F.count("*").alias("times")).coalesce(few))
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     n_blocks = max(-(-size.n // BLOCK_ITEMS), -(-(size.b or 0) // BLOCK_BYTES))
-    out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    out = []
     parts = partitions_for(spark)
     for b in range(n_blocks):
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         block = own.collect()
         found = _block(rows, [r.text for r in block], k).withColumn("part", F.spark_partition_id() % parts)
-        best = _ranked(_ranked(found, k, "query", "part").drop("rank", "part"), k, "query")
-        names = [(i, r.item_id, r.times) for i, r in enumerate(block)]
+        best = _ranked(_ranked(found, k, "query", "part").drop("rank", "part"), k, "query").coalesce(few)
+        # As Arrow data the names need no Python workers of their own, unlike a list of tuples.
+        names = [range(len(block)), [r.item_id for r in block], [r.times for r in block]]
+        names = pa.table([pa.array(n, pa.int64()) for n in names], ["query", "item_id", "times"])
         names = spark.createDataFrame(names, "query long, item_id long, times long")
         best = best.join(F.broadcast(names), "query")  # BLOCK_ITEMS rows or so
         best = best.withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
-        out = out.union(best.select("item_id", F.col("rank").cast("int"), "doc_id", "score"))
-    return out
+        out.append(best.select("item_id", F.col("rank").cast("int"), "doc_id", "score"))
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], RANKED)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, awkward, prose
 
@@ -98,3 +99,17 @@ def test_few_documents_are_evaluated():
     got = [(i, r + 1, int(d), int(s)) for (i, _), b in zip(items, best) for r, (d, s) in enumerate(zip(b.id, b.score))]
     assert sorted(got, key=str) == want
     assert sum(b.evaluated for b in best) < 0.5 * len(docs) * len(items)
+
+
+def test_items_and_results_are_kept_in_few_files(spark, conf, monkeypatch):
+    conf("spark.sql.shuffle.partitions", "40")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept, cut = [], ls.cut
+    monkeypatch.setattr(ls, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    docs, items = corpus(50, 3)
+    tables = [pa.table(list(zip(*rows)), names) for rows, names in ((docs, ["doc_id", "text"]), (items, ["item_id", "text"]))]
+    found = ls.search(*map(spark.createDataFrame, tables))
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs, items)
+    few = spark.sparkContext.defaultParallelism
+    assert [df.rdd.getNumPartitions() for df in kept] == [few] == [found.rdd.getNumPartitions()]
+    assert "PythonRDD" not in found._jdf.queryExecution().toRdd().toDebugString()  # Python workers beside the search's
